@@ -3,8 +3,11 @@ helper columns, and Arrow plumbing for map-only operators."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,23 @@ from pyspark.sql import types as T
 BATCH_BYTES = 4 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    top = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp()) / f"{top.name}.zip"  # Spark's file server hands it out
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(archive))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share.
 
@@ -22,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     session gets a folder under /tmp, and a cluster session one in its
     warehouse, which executors share by definition.
     """
+    ship(spark)
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
@@ -79,6 +100,7 @@ def map_batches(
     the input that has the name of an added one is replaced.  Large inputs are
     cut into slices, so what a task holds does not depend on the table.
     """
+    ship(df.sparkSession)
     new = T._parse_datatype_string(added)
     names = {f.name.lower() for f in new.fields}
     keep = [f for f in df.schema.fields if f.name.lower() not in names]

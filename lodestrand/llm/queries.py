@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, mixing, pii, simhash, toxicity
 from .common import table
 
 
@@ -17,13 +17,37 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = ~F.coalesce(toxicity.may_teach(F.col("doc_id")), F.lit(True))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are of the base spans; ``n_added`` counts the others."""
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["plain"])
+    counts = [F.size(F.filter(base, _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    n_added = F.size(F.filter("pii", lambda s: ~s["plain"])).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"), n_added)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op10_simhash": op10_simhash}
+    return {"op1_bpe": op1_bpe, "op4_mixing": op4_mixing, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
