@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import connected_components, free_name, map_batches, materialize
@@ -209,7 +210,6 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     joined = reps.join(parts, reps.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     joined = materialize(joined, "simhash-reps")
     whole = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    # most classes are single, and their own smallest id is known without a join
     names = joined.join(whole, "component").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
@@ -218,11 +218,14 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """One row of each class: that with the smallest id.
 
     Rows without an id can't be named by a class and all stay; of rows that share
-    an id, one stays.  Columns are those of ``df``.
+    an id, the one whose columns hash lowest.  Columns are those of ``df``.
     """
     klass = near_duplicates(df.where(F.col(doc_id).isNotNull()), doc_id, text, **how)
     kept = klass.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     n = free_name(df.columns, "_kept")
     kept = kept.withColumnRenamed("_kept", n)
-    named = df.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col(n), "left_semi").dropDuplicates([doc_id])
+    first = free_name(df.columns, "_first")
+    named = df.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col(n), "left_semi")
+    order = W.partitionBy(doc_id).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    named = named.withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).drop(first)
     return named.unionByName(df.where(F.col(doc_id).isNull()))

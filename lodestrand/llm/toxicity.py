@@ -43,9 +43,13 @@ PATTERNS = {
     "masked": r"\b[a-z]+[*@#$]{2,}[a-z]*\b",
 }
 STEM_SIZES = range(3, 9)
+#: Shares of a text's different words that the lexicon and stems have to reach.
+DENSITIES = (0.0, 0.002, 0.004, 0.007, 0.012, 0.02, 0.04)
 WORDS = re.compile(r"[^\W\d_]+")
 _PATTERNS = {k: re.compile(p) for k, p in PATTERNS.items()}
 MEMO_WORDS = 200_000
+#: A row without label counts as so many with one.
+UNLABELLED = 0.1
 
 
 @dataclass
@@ -61,7 +65,7 @@ class Model:
 
     @property
     def voters(self) -> list[str]:
-        return [f"word:{w}" for w in self.lexicon] + [f"stem:{s}" for s in self.stems] + [f"pattern:{p}" for p in PATTERNS] + ["any", "several"]
+        return [f"word:{w}" for w in self.lexicon] + [f"stem:{s}" for s in self.stems] + [f"pattern:{p}" for p in PATTERNS] + [f"dense:{x:g}" for x in DENSITIES]
 
 
 class Featurizer:
@@ -74,7 +78,7 @@ class Featurizer:
     def __init__(self, lexicon: list[str], stems: list[str]):
         self.n_lex, self.n_stem = len(lexicon), len(stems)
         self.known = self.n_lex + self.n_stem
-        self.width = self.known + len(_PATTERNS) + 2
+        self.width = self.known + len(_PATTERNS) + len(DENSITIES)
         bare = list(dict.fromkeys(s.lstrip("2") for s in stems))
         at = {s: i for i, s in enumerate(bare)}
         self.stem_at = [(self.n_lex + i, at[s.lstrip("2")], 1 + s.startswith("2")) for i, s in enumerate(stems)]
@@ -93,11 +97,12 @@ class Featurizer:
 
     def __call__(self, text: str) -> np.ndarray:
         out = np.zeros(self.width, np.uint8)
-        hits = Counter()
-        memo = self.memo
-        for w in set(WORDS.findall(text.lower())):
+        hits, kinds = Counter(), 0
+        memo, words = self.memo, set(WORDS.findall(text.lower()))
+        for w in words:
             if got := memo[w]:
                 hits.update(got)
+                kinds += 1
         if hits:
             n = self.n_bare
             out[[k - n for k in hits if k >= n]] = 1
@@ -105,8 +110,8 @@ class Featurizer:
                 out[i] = hits.get(k, 0) >= least
         for i, p in enumerate(_PATTERNS.values()):
             out[self.known + i] = p.search(text) is not None
-        votes = int(out[: self.known].sum())
-        out[-2], out[-1] = votes >= 1, votes >= 2
+        for i, least in enumerate(DENSITIES, self.known + len(_PATTERNS)):
+            out[i] = kinds > least * len(words)
         return out
 
 
@@ -224,7 +229,7 @@ def class_moments(pats: DataFrame, width: int, rates: tuple | None, weight: floa
     return out
 
 
-def label_model(pats: DataFrame, width: int, *, rounds: int = 4, weight: float = 0.2) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def label_model(pats: DataFrame, width: int, *, rounds: int = 4, weight: float = UNLABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(P(vote | toxic), P(vote | harmless), discount, P(toxic)).
 
     Expectation maximisation over the vote patterns of all teaching rows: the
@@ -284,16 +289,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     pats = materialize(patterns(seen, "text", "toxic", lexicon, stems), "toxicity-votes")
     t, o, discount, balance = label_model(pats, width)
     model.accuracy = {v: (float(a), float(1 - b)) for v, a, b in zip(model.voters, t, o)}
-    # the classifier's patterns: a hash sample of the bound's size
-    pick = F.shiftrightunsigned(F.xxhash64(F.lit(13), "votes", "label"), 33) / F.lit(float(1 << 31))
-    kinds = pats.count()
-    packed = pats.where(pick < min(1.0, fit_rows / max(kinds, 1))).select("votes", "n").collect()
+    # the classifier's patterns: those with a label, and a hash sample of the others
+    pick = F.shiftrightunsigned(F.xxhash64(F.lit(13), "votes"), 33) / F.lit(float(1 << 31))
+    kinds = pats.where("label is null").count()
+    packed = pats.where(F.col("label").isNotNull() | (pick < min(1.0, fit_rows / max(kinds, 1)))).collect()
     x = unpacked([bytes(r.votes) for r in packed], width)
-    c = np.array([r.n for r in packed], float)
     if not len(x):
         model.weights, model.intercept = np.zeros(width), -2.0
         return model
-    y = posterior(x, t, o, discount, balance)
+    known_y = np.array([np.nan if r.label is None else float(r.label > 0) for r in packed])
+    c = np.array([r.n for r in packed], float) * np.where(np.isnan(known_y), UNLABELLED, 1)
+    # of a labelled row the posterior is its label
+    y = np.where(np.isnan(known_y), posterior(x, t, o, discount, balance), known_y)
     model.weights, model.intercept = fit_weighted(x, y, c)
     return model
 
