@@ -4,11 +4,13 @@ operator's real output."""
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, simhash, toxicity
+from . import bpe, minhash, mixing, pii, simhash, toxicity
 from .common import table
 
 
@@ -17,6 +19,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def _printed(text: str, following: str) -> tuple:
+    edited = minhash.edited(text, following)
+    own, its, next_ = (minhash.text_fingerprint(t) for t in (text, edited, following))
+    return len(text), hashlib.sha256(edited.encode()).hexdigest(), own.hex(), its.hex(), minhash.likeness(own, its), minhash.likeness(own, next_)
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.with_next(
+        table(spark, sf_dir, "documents"), _printed,
+        "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op4_mixing": op4_mixing, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
+    return {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
