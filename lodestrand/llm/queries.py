@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, pii, simhash, toxicity
-from .common import table
+from . import bpe, minhash, mixing, pii, simhash, tokenfile, toxicity
+from .common import scratch, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), out, path=public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenfile.read(spark, out, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -62,7 +68,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
+    return {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op7_tokenfile": op7_tokenfile, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
