@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, pii, simhash, tokenfile, toxicity
-from .common import scratch, table
+from . import ann, bpe, minhash, mixing, pii, simhash, tokenfile, toxicity, warc
+from .common import materialize, scratch, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), out, key="page_id", uri="url", payload="html")
+    captures = warc.transactions(warc.read(spark, out, with_payload=False))
+    narrow = captures.select("capture_id", F.struct("response.record_type", "response.refers_to", "response.payload_bytes", "response.payload_sha1").alias("response"), "metadata.fields")
+    full = warc.resolve(materialize(narrow, "captures"))
+    return full.select(
+        F.col("fields")["key"].cast("long").alias("page_id"), F.col("full_bytes").alias("payload_bytes"), F.col("full_sha1").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"), F.col("fields")["refersToKey"].cast("long").alias("refers_to"),
+    )
+
+
 def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "tokens")
     tokenfile.write(table(spark, sf_dir, "documents"), out, path=public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -68,8 +84,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op7_tokenfile": op7_tokenfile, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
+    return {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_ann": op5_ann, "op6_warc": op6_warc, "op7_tokenfile": op7_tokenfile, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+                  max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM q
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": OP6_SQL}
