@@ -73,8 +73,12 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return c
 
 
-def fit(sample: np.ndarray, rows: int, *, groups: int = 16, codes: int = 256, probe_share: float = 0.2, least_probes: int = 16, seed: int = 5) -> Index:
-    """An index over about ``rows`` vectors from a sample of them."""
+def fit(sample: np.ndarray, rows: int, *, groups: int = 16, codes: int = 256, recall: float = 0.97, seed: int = 5) -> Index:
+    """An index over about ``rows`` vectors from a sample of them.
+
+    As many lists are probed as find the share ``recall`` of the sample's own
+    exact neighbours; those of the whole table are nearer and easier.
+    """
     rng = np.random.default_rng(seed)
     x = sample.astype(np.float64)
     dims = x.shape[1]
@@ -85,7 +89,16 @@ def fit(sample: np.ndarray, rows: int, *, groups: int = 16, codes: int = 256, pr
     near = ((centroids**2).sum(1)[None, :] - 2 * x @ centroids.T).argmin(1)
     res, w = x - centroids[near], dims // groups
     books = np.stack([kmeans(res[:, k * w : (k + 1) * w], min(codes, len(x)), 6, rng) for k in range(groups)])
-    return Index(centroids, books, int(min(lists, max(least_probes, round(probe_share * lists)))))
+    index = Index(centroids, books, lists)
+    some = rng.choice(len(x), min(len(x), 300), replace=False)
+    d = (x**2).sum(1)[None, :] - 2 * x[some] @ x.T
+    d[np.arange(len(some)), some] = np.inf
+    best_ = np.argsort(d, axis=1)[:, : min(10, len(x) - 1)]
+    place = np.argsort(index.lists(x[some], lists), axis=1)  # of each list in the query's order
+    found = np.sort(np.take_along_axis(place, near[best_], 1).ravel())
+    if len(found):
+        index.probes = int(found[min(len(found) - 1, int(recall * len(found)))]) + 1
+    return index
 
 
 def usable(v: Column) -> Column:
