@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, minhash, mixing, pii, simhash, tokenfile, toxicity, warc
+from . import ann, bpe, html, minhash, mixing, pii, simhash, tokenfile, toxicity, warc
 from .common import materialize, scratch, table
 
 
@@ -19,6 +19,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def _printed(text: str, following: str) -> tuple:
     edited = minhash.edited(text, following)
     own, its, next_ = (minhash.text_fingerprint(t) for t in (text, edited, following))
@@ -84,7 +88,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_ann": op5_ann, "op6_warc": op6_warc, "op7_tokenfile": op7_tokenfile, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_ann": op5_ann, "op6_warc": op6_warc, "op7_tokenfile": op7_tokenfile, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
 
 
 OP6_SQL = """
