@@ -1,0 +1,24 @@
+"""Every registered query over the reads against its SQL, and those without SQL for shape."""
+
+import pytest
+
+from lodestrand.plans.queries import ORACLE, QUERIES
+from tests.helpers import assert_same
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_sql(name, spark, sf_dir, oracle):
+    assert_same(QUERIES[name](spark, sf_dir).toPandas(), oracle.execute(ORACLE[name]).df())
+
+
+def test_entry_and_registry(spark):
+    import __spark_entry__ as e
+
+    assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+    assert e.entry(spark).count() > 0
+
+
+def test_similarity_join_is_no_cartesian_product(spark, sf_dir, capsys):
+    QUERIES["pairs_d2"](spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
