@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.llm import bpe, mixing, pii, simhash, toxicity
-from lodestrand.llm.common import materialize, table
+from lodestrand.llm.common import table
+from lodestrand.storage import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

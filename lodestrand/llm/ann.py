@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, slices
+from ..storage import materialize, ship
+from .common import slices
 
 #: Rows that the model is fitted on, at most; most lists; rows of a block.
 FIT_ROWS, MOST_LISTS, BLOCK_ROWS = 20_000, 4_096, 20_000

@@ -1,82 +1,20 @@
-"""Helpers shared by the corpus operators: the shared scratch folder, names of
-helper columns, and Arrow plumbing for map-only operators."""
+"""Helpers shared by the corpus operators: table names, names of helper columns,
+and Arrow plumbing for map-only operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import ship
+
 #: Arrow batches leave a worker at about this many bytes of text.
 BATCH_BYTES = 4 << 20
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    top = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp()) / f"{top.name}.zip"  # Spark's file server hands it out
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(archive))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share.
-
-    It is ``spark.checkpoint.dir`` of the session.  Where that is unset, a local
-    session gets a folder under /tmp, and a cluster session one in its
-    warehouse, which executors share by definition.
-    """
-    ship(spark)
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        named = "/tmp/checkpoints" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; no other run uses it."""
-    return f"{shared_dir(spark)}/lodestrand/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no recomputation, and a second
-    use does not run the plan again.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a scratch path through Hadoop's file system API."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -125,41 +63,3 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     step = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.nbytes)))
     for i in range(0, batch.num_rows, step):
         yield batch.slice(i, step)
-
-
-def bytes_array(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
-
-
-def connected_components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """Label each node in ``edges`` with the smallest node it reaches.
-
-    Returns (node, component).  Alternating large-star and small-star rounds;
-    each round halves the distance to the smallest node and is written to the
-    shared folder.  Grouping uses min() and joins only, so a node with very many
-    links is pre-aggregated and never gathered in one task.  An empty table of
-    edges gives an empty result.
-    """
-    spark = edges.sparkSession
-    cur = materialize(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), f"{name}-e0"
-    )
-    seen = None
-    for i in range(60):
-        # large star: neighbours above a node get that node's smallest neighbour
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: neighbours below a node, and the node, get its smallest neighbour
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))).alias("s"))
-        nxt = materialize(small.select(F.col("s.x").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct(), f"{name}-e{i + 1}")
-        r = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        cur = nxt
-        if seen == (r.n, r.h):
-            break
-        seen = (r.n, r.h)
-    else:
-        raise RuntimeError("components did not settle in 60 rounds")
-    # settled: every node but the smallest of its component points to that node
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

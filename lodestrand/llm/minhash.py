@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_batches, ship, slices
+from ..storage import ship
+from .common import map_batches, slices
 from .simhash import shingle_hashes
 
 BINS, BITS, WIDTH, SEED = 512, 4, 5, 1_234_567

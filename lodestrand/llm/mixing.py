@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from ..storage import materialize
+from .common import free_name
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)

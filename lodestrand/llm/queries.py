@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, html, minhash, mixing, pii, simhash, tokenfile, toxicity, warc
-from .common import materialize, scratch, table
+from ..storage import materialize, scratch
+from .common import table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, free_name, map_batches, materialize
+from ..operators.components import stars
+from ..storage import materialize
+from .common import free_name, map_batches
 
 #: Ball values that a cell makes at once; fuller cells are dealt over more tasks.
 CELL_VALUES = 4_000_000
@@ -205,7 +207,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     """
     prints = materialize(fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text", width=width).select("doc_id", "fp"), "simhash-fp")
     links = ball_links(prints, radius=radius)
-    parts = connected_components(links, "a", "b", "simhash-cc")
+    parts = stars(links, "a", "b").withColumnsRenamed({"id": "node"})
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     joined = reps.join(parts, reps.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     joined = materialize(joined, "simhash-reps")

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, ship, slices
+from ..storage import ship
+from .common import BATCH_BYTES, slices
 
 MAGIC, MARK = b"TOKPLAN1", "\n"
 BLOCK = 1 << 16

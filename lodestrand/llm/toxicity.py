@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, slices
+from ..storage import materialize
+from .common import map_batches, slices
 
 #: A small lexicon of insults.
 LEXICON = ("idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "fool", "jerk", "imbecile", "bastard", "pig", "filth", "garbage", "freak", "creep", "hate", "ugly", "shut up", "crap", "damn")

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, ship, slices
+from ..storage import ship
+from .common import BATCH_BYTES, slices
 
 #: Fixed values of the format.
 VERSION, CRLF = "WARC/1.1", "\r\n"
