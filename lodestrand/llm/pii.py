@@ -53,7 +53,12 @@ _FOREIGN = re.compile(r"[­Ͱ-ԯ٠-٩۰-۹०-९​-―․⁠−。﹒-﹫﻿
 _CHAR = re.compile(f"[{INVISIBLE}]|[^\\x00-\\u024f]")
 _BRACKETED = re.compile(rf"(?<!\s)\s*{_OPEN}\s*({_AT}|{_DOT})\s*{_SHUT}\s*", re.I)
 _BRACKET_HINT = re.compile(rf"{_OPEN}\s*(?:at|@|arroba|chez|dot|\.|punkt|punto|point|period)\s*{_SHUT}", re.I)
-_SPOKEN = re.compile(r"(?<=[A-Za-z0-9])[ \t]+(at|arroba|dot|punkt|punto|point)[ \t]+(?=[A-Za-z0-9])", re.I)
+#: Ends of domains by which a spoken "at" is told from the preposition.
+_ENDS = "(?:com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|eu|uk|us|de|fr|es|it|nl|be|ch|at|pl|pt|se|no|dk|fi|ru|cn|jp|in|br|mx|ca|au|nz|za)"
+_SPOKEN_DOT = r"[ \t]+(?:dot|punkt|punto|point)[ \t]+"
+_SPOKEN = re.compile(
+    rf"(?<=[A-Za-z0-9])[ \t]+(?:(at|arroba)[ \t]+(?=[A-Za-z0-9-]+(?:(?:\.|{_SPOKEN_DOT})[A-Za-z0-9-]+){{0,6}}{_SPOKEN_DOT}{_ENDS}\b)|(dot|punkt|punto|point)[ \t]+(?=[A-Za-z0-9]))", re.I
+)
 _SPOKEN_HINT = re.compile(r" (?:dot|punkt|punto|point) ")
 _SPELLED_HINT = re.compile(rf"\b{_DIGIT}[ -]+{_DIGIT}[ -]+{_DIGIT}\b")
 _SPELLED = re.compile(rf"(?:\bplus[ -]+(?={_DIGIT}\b))?\b{_DIGIT}\b(?:[ -]+(?:{_DIGIT}|[0-9]+)\b)+", re.I)
@@ -164,7 +169,7 @@ def _plain_char(m: re.Match) -> list[tuple[str, int, int]] | None:
 
 
 def _sign(m: re.Match) -> list[tuple[str, int, int]]:
-    return [("@" if m.group(1).lower() in ("at", "@", "arroba", "chez") else ".", m.start(), m.end())]
+    return [("@" if (m.group(1) or "dot").lower() in ("at", "@", "arroba", "chez") else ".", m.start(), m.end())]
 
 
 def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:

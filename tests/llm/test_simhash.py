@@ -1,0 +1,103 @@
+import random
+import re
+
+import numpy as np
+import xxhash
+
+from lodestrand.llm import queries, simhash
+
+
+def brute_print(text):
+    t = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    runs = [" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else ([" ".join(w)] if w else [])
+    hs = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
+
+
+def brute_classes(prints, radius=4):
+    ids = list(prints)
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_query_against_brute_force(spark, sf_dir, oracle):
+    prints = {i: brute_print(t) for i, t in oracle.execute("SELECT doc_id, text FROM documents").fetchall()}
+    want = brute_classes(prints)
+    got = {r.doc_id: r for r in queries.op10_simhash(spark, sf_dir).collect()}
+    assert {i: r.fingerprint for i, r in got.items()} == {i: f"{v:016x}" for i, v in prints.items()}
+    assert {i: r.component_id for i, r in got.items()} == want
+
+
+def planted(rng, n):
+    out = set()
+    while len(out) < n:
+        base = rng.getrandbits(64)
+        out.add(base)
+        for _ in range(rng.randrange(0, 6)):
+            v = rng.choice(sorted(out)[-3:])
+            for b in rng.sample(range(64), rng.randrange(1, 7)):
+                v ^= 1 << b
+            out.add(v)
+    return sorted(out)
+
+
+def connected(n, pairs):
+    label = simhash._forest(n, np.array([a for a, _ in pairs] or [0]), np.array([b for _, b in pairs] or [0]))
+    return label.tolist()
+
+
+def links_of(spark, values):
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    at = {v: k for k, v in enumerate(values)}
+    return [(at[r.a % (1 << 64)], at[r.b % (1 << 64)]) for r in simhash.ball_links(df).collect()]
+
+
+def test_links_connect_what_brute_force_connects(spark, monkeypatch):
+    values = planted(random.Random(5), 1500)
+    near = [(i, j) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(np.array(values[i + 1 :], np.uint64) ^ np.uint64(values[i])) <= 4) + i + 1]
+    want = connected(len(values), near)
+    for own, cell in ((1_500, 4_000_000), (20, 4_000_000), (300, 60_000)):  # few cells, many cells, sharded cells
+        monkeypatch.setattr(simhash, "CELL_OWN", own)
+        monkeypatch.setattr(simhash, "CELL_VALUES", cell)
+        assert connected(len(values), links_of(spark, values)) == want
+
+
+def test_a_tight_group_gives_a_forest(spark):
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    values = sorted({base ^ (1 << a) ^ (1 << b) for a in range(30) for b in range(a)})
+    got = links_of(spark, values)
+    assert set(connected(len(values), got)) == {0} and len(got) < 40 * len(values)
+
+
+def test_values_that_share_only_their_hash_are_told_apart():
+    fps = np.array([0, 15, (1 << 64) - 1], np.uint64)
+    got = simhash.meet(fps, 0, 0, 1, 0, 2)
+    assert {tuple(r) for r in got.tolist()} == {(1, 0)}
+
+
+def test_rows(spark):
+    long_text = " ".join(f"w{i % 977}" for i in range(200_000))
+    df = spark.createDataFrame(
+        [(5, None, "a", 1), (6, "", "b", 2), (7, " \n ", "c", 3), (8, long_text, "d", 4), (9, long_text, "e", 5), (9, long_text, "e", 5), (None, "x y", "f", 6)],
+        "doc_id long, text string, FP string, component_id int",
+    )
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert got == {(5, 5), (6, 5), (7, 5), (8, 8), (9, 8), (None, None)}
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 5, 8]
+    assert brute_print(long_text) == [r.fp for r in simhash.fingerprint(df.where("doc_id = 8").select("doc_id", "text")).collect()][0] % (1 << 64)
