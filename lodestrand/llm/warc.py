@@ -67,8 +67,8 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.concat_ws(CRLF, *head), F.lit(CRLF * 2), block)
 
 
-def write(df: DataFrame, out: str, *, key: str, uri: str, payload: str, date: str = "2024-01-01T00:00:00Z", least: int = LEAST_REVISIT, file_bytes: int = 32 << 20) -> None:
-    """Write each row of ``df`` as a capture to the folder ``out``.
+def write(df: DataFrame, out: str, *, key: str, uri: str, payload: str, date: str = "2024-01-01T00:00:00Z", least: int = LEAST_REVISIT, file_bytes: int = 32 << 20, compression: str = "gzip") -> None:
+    """Write each row of ``df`` as a capture to the folder ``out``, gzipped by file or ``none``.
 
     Of captures with equal payloads of at least ``least`` bytes, that with the greatest key is a response and the others are
     revisits of it.
@@ -105,7 +105,7 @@ def write(df: DataFrame, out: str, *, key: str, uri: str, payload: str, date: st
     )
     records = p.select(F.explode(F.array(request, response, metadata)).alias("value"))
     per_file = max(1, int(3 * file_bytes / 6_000))
-    records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).text(out)
+    records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", compression).text(out)
 
 
 def parse(raw: bytes):
