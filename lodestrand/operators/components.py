@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -22,16 +22,20 @@ def stars(edges: DataFrame, a: str = "id_a", b: str = "id_b", *, most_rounds: in
         # large star: neighbours above a node get that node's smallest neighbour
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: neighbours below a node, and the node, get its smallest neighbour
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pair = F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))
         small = large.join(low, "u").select(F.explode(pair).alias("s"))
-        cur = materialize(small.select(F.col("s.x").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct(), "cc")
-        r = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == (r.n, r.h):
+        # what a round leaves is counted while it is written
+        left = Observation()
+        rows = small.select(F.col("s.x").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct()
+        rows = rows.observe(left, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        cur = materialize(rows, "cc")
+        now = left.get
+        if seen == now:
             break
-        seen = (r.n, r.h)
+        seen = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     # settled: every node but the smallest of its component points to that node

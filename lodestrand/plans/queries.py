@@ -11,9 +11,9 @@ from ..sources import reads as scan
 from ..sources import sinks
 from ..storage import scratch
 from ..streaming import unique as stream
-from .reads import READS_SQL, reads
+from .reads import ORACLE_KEYS, READS_SQL, reads, reads_from
 
-READS = READS_SQL.format(lineitem="lineitem")
+READS = READS_SQL.format(lineitem="lineitem", keys=ORACLE_KEYS)
 UNIQUES = f"""r AS ({READS}),
 u AS (SELECT sequence, count(*) AS n, min(read_idx) AS first_seen, CAST(length(sequence) AS INT) AS len
       FROM r WHERE length(translate(sequence, 'ACGT', '')) = 0 GROUP BY sequence),
@@ -117,7 +117,7 @@ def stream_uniques(spark, sf_dir):
     """Unique counts by Structured Streaming over the same reads."""
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
     lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
-    return stream.run_available(stream.unique_counts(spark.sql(READS_SQL.format(lineitem="{t}"), t=lines)))
+    return stream.run_available(stream.unique_counts(reads_from(spark, lines)))
 
 
 # -- files -----------------------------------------------------------------
