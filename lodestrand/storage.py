@@ -64,13 +64,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan of fewer files than cores over all cores.
+    """Deal a scan of fewer splits than cores over all cores.
 
     A small file has one row group, which one task reads; what follows would run
-    in that task too.  Scans of many files are left as they are.
+    in that task too.  Larger scans are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def dense_ids(df: DataFrame, *order, name: str = "id", start: int = 0) -> DataFrame:
