@@ -57,10 +57,10 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about BATCH_BYTES; a longer row is a slice of its own."""
+def slices(batch: pa.RecordBatch, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``size`` bytes; a longer row is a slice of its own."""
     if not batch.num_rows:
         return
-    step = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.nbytes)))
+    step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
     for i in range(0, batch.num_rows, step):
         yield batch.slice(i, step)

@@ -146,7 +146,7 @@ def with_next(df: DataFrame, fn, added: str, doc_id: str = "doc_id", text: str =
 
     dealt = d.mapInArrow(deal, "doc_id long, text string, range long, extra boolean")
     late = F.col("extra") != (F.col("range") == -1)  # null ids need the extra text before them, the others after
-    parts = max(1, len(full) // 4)
+    parts = max(1, min(len(full), n // (4 * RANGE_DOCS)))  # several small ranges to a task, to even them out
     dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", late, F.desc("doc_id"), F.xxhash64("text"))
 
     def run(batches):

@@ -35,6 +35,8 @@ from .common import BATCH_BYTES, slices
 
 MAGIC, MARK = b"TOKPLAN1", "\n"
 BLOCK = 1 << 16
+#: Above so many files their size grows instead.
+MOST_FILES = 300_000
 LEVEL = 3
 
 
@@ -240,13 +242,13 @@ def write(df: DataFrame, out: str, *, path: str, end_id: int, doc_id: str = "doc
     ship(spark)
     width = 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     d = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = max(1, -(-d.count() // file_docs))
+    parts = max(1, min(MOST_FILES, -(-d.count() // file_docs)))
     ordered = d.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
 
     def run(batches):
         enc, w, seen = word_ids(path), FileWriter(width, kind), False
         end = np.array([end_id])
-        for b in (x for batch in batches for x in slices(batch)):
+        for b in (x for batch in batches for x in slices(batch, 1 << 20)):  # its words are a hundred times as large
             ids = b.column(0).to_pylist()
             seen = seen or bool(ids)
             pieces = []
