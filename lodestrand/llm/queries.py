@@ -123,6 +123,16 @@ FROM r
 """
 
 
+#: For the layout of the test pages: headings and paragraphs of the one article.
+OP2_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
+     b AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda x:
+             regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g')) AS parts FROM a),
+     c AS (SELECT page_id, url, list_transform(parts, lambda x:
+             trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM b),
+     t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
 #: Base spans; the test tables hold no disguised identifiers, so ``spans`` has no others there.
 #: A match's start is the length of the pieces between matches and of the matches before it.
 _FOUND = "SELECT doc_id, {k} AS place, '{kind}' AS kind, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS gaps FROM d"
@@ -151,4 +161,4 @@ FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_pii": OP9_SQL, "op4_mixing": OP4_SQL, "op6_warc": OP6_SQL}
+    return {"op2_html": OP2_SQL, "op9_pii": OP9_SQL, "op4_mixing": OP4_SQL, "op6_warc": OP6_SQL}
