@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .operators import agreement, clusters, components, greedy, simjoin, unique
 from .sources import reads as scan
 from .sources import sinks
+from .storage import clear
 
 
 def _say(text: str, since: float) -> None:
@@ -129,5 +130,12 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
-    spark = spark or SparkSession.builder.appName("lodestrand").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    a.func(spark, a)
+    if spark is not None:
+        a.func(spark, a)
+        return
+    spark = SparkSession.builder.appName("lodestrand").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    try:
+        a.func(spark, a)
+    finally:
+        clear(spark)
+        spark.stop()

@@ -48,7 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; no other run uses it."""
-    return f"{shared_dir(spark)}/lodestrand/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestrand/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; its results must not be read any more."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

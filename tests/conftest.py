@@ -20,6 +20,9 @@ def spark():
     )
     s.sparkContext.setLogLevel("OFF")
     yield s
+    from lodestrand.storage import clear
+
+    clear(s)
     s.stop()
 
 
