@@ -62,7 +62,7 @@ class Model:
     weights: np.ndarray | None = None
     intercept: float = 0.0
     accuracy: dict[str, tuple[float, float]] = field(default_factory=dict)
-    correlated: list[tuple[str, str]] = field(default_factory=list)
+    share: dict[str, float] = field(default_factory=dict)  # what correlation leaves of a voter's weight
 
     @property
     def voters(self) -> list[str]:
@@ -299,6 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     pats = materialize(patterns(seen, "text", "toxic", lexicon, stems), "toxicity-votes")
     t, o, discount, balance = label_model(pats, width)
     model.accuracy = {v: (float(a), float(1 - b)) for v, a, b in zip(model.voters, t, o)}
+    model.share = dict(zip(model.voters, map(float, discount)))
     # the classifier's patterns: those with a label, and a hash sample of the others
     pick = F.shiftrightunsigned(F.xxhash64(F.lit(13), "votes"), 33) / F.lit(float(1 << 31))
     kinds = pats.where("label is null").count()
