@@ -32,14 +32,15 @@ LOOK_ALIKES = dict(zip("асеорхуіјѕԁһԛԝкмтвнАВСЕНІЈКМ
 #: Digits as words, in four languages.
 DIGIT_WORDS = dict(
     zero=0, one=1, two=2, three=3, four=4, five=5, six=6, seven=7, eight=8, nine=9,
-    null=0, eins=1, zwei=2, drei=3, vier=4, fünf=5, sechs=6, sieben=7, acht=8, neun=9,
+    oh=0, null=0, eins=1, zwei=2, drei=3, vier=4, fünf=5, sechs=6, sieben=7, acht=8, neun=9,
     zéro=0, un=1, deux=2, trois=3, quatre=4, cinq=5, sept=7, huit=8, neuf=9,
     cero=0, uno=1, dos=2, tres=3, cuatro=4, cinco=5, seis=6, siete=7, ocho=8, nueve=9,
 )
 INVISIBLE = "­​‌‍‎‏⁠﻿"
 
 _DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
-_AT, _DOT = "(?:at|@|arroba|chez)", r"(?:dot|\.|punkt|punto|point|period)"
+_AT_WORDS = ("at", "@", "a", "ät", "arroba", "arobase", "chez")
+_AT, _DOT = "(?:" + "|".join(_AT_WORDS) + ")", r"(?:dot|\.|punkt|punto|point|period)"
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -49,19 +50,21 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY_DIGIT = re.compile("[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-_FOREIGN = re.compile(r"[­Ͱ-ԯ٠-٩۰-۹०-९​-―․⁠−。﹒-﹫﻿！-｡]")
-_CHAR = re.compile(f"[{INVISIBLE}]|[^\\x00-\\u024f]")
-_BRACKETED = re.compile(rf"(?<!\s)\s*{_OPEN}\s*({_AT}|{_DOT})\s*{_SHUT}\s*", re.I)
-_BRACKET_HINT = re.compile(rf"{_OPEN}\s*(?:at|@|arroba|chez|dot|\.|punkt|punto|point|period)\s*{_SHUT}", re.I)
+_FOREIGN = re.compile(r"[²³¹⁰-₟①-⓿\U0001d400-\U0001d7ff­Ͱ-ԯ٠-٩۰-۹०-९​-―․⁠−。﹒-﹫﻿！-｡]")
+_CHAR = re.compile(f"[{INVISIBLE}²³¹]|[^\\x00-\\u024f]")
 #: Ends of domains by which a spoken "at" is told from the preposition.
 _ENDS = "(?:com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|eu|uk|us|de|fr|es|it|nl|be|ch|at|pl|pt|se|no|dk|fi|ru|cn|jp|in|br|mx|ca|au|nz|za)"
-_SPOKEN_DOT = r"[ \t]+(?:dot|punkt|punto|point)[ \t]+"
+_BRACKETED = re.compile(rf"(?<!\s)\s*{_OPEN}\s*({_AT}|{_DOT})\s*{_SHUT}\s*", re.I)
+_BRACKET_HINT = re.compile(rf"{_OPEN}\s*(?:{_AT}|{_DOT})\s*{_SHUT}", re.I)
+_ESCAPED = re.compile(r"&#0*64;|&#x0*40;|&commat;|%40|(&#0*46;|&#x0*2e;|&period;)", re.I)
+_LETTER_DIGIT = re.compile(r"(?<=[0-9.])(?:([Oo])|[Il])(?=[0-9.])")
+_SPOKEN_DOT = r"[ \t]+(?:dot|punkt|punto|point|\.)[ \t]+"
 _SPOKEN = re.compile(
-    rf"(?<=[A-Za-z0-9])[ \t]+(?:(at|arroba)[ \t]+(?=[A-Za-z0-9-]+(?:(?:\.|{_SPOKEN_DOT})[A-Za-z0-9-]+){{0,6}}{_SPOKEN_DOT}{_ENDS}\b)|(dot|punkt|punto|point)[ \t]+(?=[A-Za-z0-9]))", re.I
+    rf"(?<=[A-Za-z0-9])(?:[ \t]+(at|arroba|arobase)[ \t]+|[ \t]+(@)[ \t]*|(@)[ \t]+)(?=[A-Za-z0-9-]+(?:(?:\.|{_SPOKEN_DOT})[A-Za-z0-9-]+){{0,6}}(?:\.|{_SPOKEN_DOT}){_ENDS}\b)|(?<=[A-Za-z0-9])[ \t]+(?:dot|punkt|punto|point)[ \t]+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[ \t]+\.[ \t]+(?={_ENDS}\b)", re.I
 )
-_SPOKEN_HINT = re.compile(r" (?:dot|punkt|punto|point) ")
-_SPELLED_HINT = re.compile(rf"\b{_DIGIT}[ -]+{_DIGIT}[ -]+{_DIGIT}\b")
-_SPELLED = re.compile(rf"(?:\bplus[ -]+(?={_DIGIT}\b))?\b{_DIGIT}\b(?:[ -]+(?:{_DIGIT}|[0-9]+)\b)+", re.I)
+_SPOKEN_HINT = re.compile(r" (?:dot|punkt|punto|point) |@ | @| (?:at|arroba|arobase) [a-z0-9.-]+\." + f"{_ENDS}\\b")
+_SPELLED_HINT = re.compile(rf"\b{_DIGIT}[ ,-]+{_DIGIT}[ ,-]+{_DIGIT}\b")
+_SPELLED = re.compile(rf"(?:\bplus[ ,-]+(?={_DIGIT}\b))?\b{_DIGIT}\b(?:[ ,-]+(?:{_DIGIT}|[0-9]+)\b)*", re.I)
 _SPELLED_PART = re.compile(r"plus|[^\W\d_]+|[0-9]", re.I)
 
 
@@ -161,19 +164,30 @@ def _plain_char(m: re.Match) -> list[tuple[str, int, int]] | None:
         return []
     new = LOOK_ALIKES.get(c)
     if new is None:
-        if "！" <= c <= "～":
-            new = chr(ord(c) - 0xFEE0)
-        elif (d := unicodedata.decimal(c, None)) is not None:
+        if (d := unicodedata.digit(c, None)) is not None:
             new = str(d)
+        else:
+            plain = unicodedata.normalize("NFKC", c)
+            new = plain if len(plain) == 1 and plain.isascii() else None
     return None if new is None else [(new, m.start(), m.end())]
 
 
 def _sign(m: re.Match) -> list[tuple[str, int, int]]:
-    return [("@" if (m.group(1) or "dot").lower() in ("at", "@", "arroba", "chez") else ".", m.start(), m.end())]
+    word = next((g for g in m.groups() if g), ".")
+    return [("@" if word.lower() in _AT_WORDS else ".", m.start(), m.end())]
+
+
+def _escaped(m: re.Match) -> list[tuple[str, int, int]]:
+    return [("." if m.group(1) else "@", m.start(), m.end())]
+
+
+def _letter_digit(m: re.Match) -> list[tuple[str, int, int]]:
+    return [("0" if m.group(1) else "1", m.start(), m.end())]
 
 
 def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
-    if len(m.group().split()) < 3 and "-" not in m.group():
+    words = _SPELLED_PART.findall(m.group())
+    if len(words) < 2 or len(words) < 3 and words[0].lower() != "plus":
         return None
     out = []
     for w in _SPELLED_PART.finditer(m.group()):
@@ -189,18 +203,17 @@ def normalise(text: str) -> Tape | None:
     tape = Tape(text).rewrite(_CHAR, _plain_char) if foreign else None
     t = tape.text if tape else text
     low = t.lower()
+    escaped = ("&" in t or "%40" in t) and _ESCAPED.search(t)
+    letters = _LETTER_DIGIT.search(t)
     spelled = _SPELLED_HINT.search(low)
     bracketed = _BRACKET_HINT.search(t)
-    spoken = bracketed or spelled or _SPOKEN_HINT.search(low)
-    if not (foreign or spoken):
+    spoken = bracketed or spelled or escaped or _SPOKEN_HINT.search(low)
+    if not (foreign or escaped or letters or spoken):
         return None
     tape = tape or Tape(text)
-    if spelled:
-        tape = tape.rewrite(_SPELLED, _digits)
-    if bracketed:
-        tape = tape.rewrite(_BRACKETED, _sign)
-    if spoken:
-        tape = tape.rewrite(_SPOKEN, _sign)
+    for due, pattern, change in ((escaped, _ESCAPED, _escaped), (letters, _LETTER_DIGIT, _letter_digit), (spelled, _SPELLED, _digits), (bracketed, _BRACKETED, _sign), (spoken, _SPOKEN, _sign)):
+        if due:
+            tape = tape.rewrite(pattern, change)
     return tape
 
 
