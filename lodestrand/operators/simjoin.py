@@ -52,17 +52,18 @@ def _seeds_long(u: DataFrame, d: int, complete: bool, strands: bool) -> DataFram
         shifts = F.sequence(-m, F.col("delta") + m)
     else:
         shifts = F.sequence(F.lit(0), F.col("delta"))
-    s = s.select("sequence", "delta", "n", "p", F.explode(shifts).alias("sh"))
-    s = s.where((F.col("p.st") + F.col("sh") >= 0) & (F.col("p.st") + F.col("sh") + F.col("p.sz") <= n_b))
-    cut = lambda text: piece(text, F.col("p.st") + F.col("sh"), F.col("p.sz"))
+    # seeds that repeat over shifts are dropped within the row, without a shuffle
+    fits = F.filter(shifts, lambda sh: (F.col("p.st") + sh >= 0) & (F.col("p.st") + sh + F.col("p.sz") <= n_b))
+    seeds_of = lambda text: F.transform(fits, lambda sh: piece(text, F.col("p.st") + sh, F.col("p.sz")))
     fwd = F.col("sequence")
     if complete:
         sides = F.array(fwd, revcomp(fwd)) if strands else F.array(fwd)
-        s = s.select("sequence", "n", F.col("p.part").alias("part"), F.explode(F.array_distinct(sides)).alias("o"), "p", "sh")
-        return s.select(F.col("sequence").alias("b"), "o", "n", "part", cut(F.col("o")).alias("seed")).distinct()
-    seed = cut(fwd)
-    s = s.select(F.col("sequence").alias("b"), fwd.alias("o"), "n", F.col("p.part").alias("part"), F.explode(F.array_distinct(F.array(seed, revcomp(seed)))).alias("seed"))
-    return s.distinct()
+        s = s.select("sequence", "delta", "n", "p", F.explode(F.array_distinct(sides)).alias("o"))
+        seeds = seeds_of(F.col("o"))
+    else:
+        s = s.withColumn("o", fwd)
+        seeds = F.concat(seeds_of(fwd), F.transform(seeds_of(fwd), revcomp))
+    return s.select(fwd.alias("b"), "o", "n", F.col("p.part").alias("part"), F.explode(F.array_distinct(seeds)).alias("seed"))
 
 
 def candidates(u: DataFrame, d: int, mode: str, strands: bool) -> DataFrame:
