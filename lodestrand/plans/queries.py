@@ -299,13 +299,25 @@ g AS (SELECT s, t, len(places) AS m, places, list_transform(places, lambda i: in
 parent AS (SELECT s, t FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY m, places, letters) AS place FROM g) WHERE place = 1)"""
 
 
-def _greedy_seen_sql(r: int) -> str:
-    return f"""WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=r)},
-climb AS (SELECT sequence AS s, sequence AS top FROM o UNION SELECT climb.s, parent.t FROM climb JOIN parent ON parent.s = climb.top),
+_GROUPS = """climb AS (SELECT sequence AS s, sequence AS top FROM o UNION SELECT climb.s, parent.t FROM climb JOIN parent ON parent.s = climb.top),
 root AS (SELECT s, top FROM climb WHERE top NOT IN (SELECT s FROM parent)),
 j AS (SELECT o.*, q.first_seen AS root_first_seen FROM root JOIN o ON o.sequence = s JOIN o q ON q.sequence = top),
 w AS (SELECT *, row_number() OVER (PARTITION BY root_first_seen ORDER BY n DESC, first_seen) AS place FROM j)
 SELECT max(CASE WHEN place = 1 THEN sequence END) AS sequence, count(*) AS cluster_size, CAST(sum(n) AS BIGINT) AS total_count, root_first_seen FROM w GROUP BY root_first_seen"""
+#: Expanders one by one in a list; two balls of radius 1 meet where their centres differ in two places.
+_BALL = """ordered AS (SELECT sequence, len, row_number() OVER (ORDER BY first_seen) AS k FROM o),
+st AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS ex
+       UNION ALL
+       SELECT st.k + 1, CASE WHEN len(list_filter(ex, lambda e: CASE WHEN length(e) = q.len THEN hamming(e, q.sequence) <= 1 ELSE false END)) = 0 THEN list_append(ex, q.sequence) ELSE ex END
+       FROM st JOIN ordered q ON q.k = st.k + 1),
+x AS (SELECT unnest(ex) AS sequence FROM st WHERE k = (SELECT max(k) FROM ordered)),
+e AS (SELECT o.* FROM o JOIN x USING (sequence)),
+own AS (SELECT s.sequence AS s, arg_min(e.sequence, e.first_seen) AS t FROM o s JOIN e ON e.len = s.len AND e.first_seen < s.first_seen AND hamming(e.sequence, s.sequence) <= 1
+        WHERE s.sequence NOT IN (SELECT sequence FROM x) GROUP BY s.sequence),
+meet AS (SELECT s.sequence AS s, t.sequence AS t, t.first_seen AS seen, list_filter(range(1, s.len + 1), lambda i: s.sequence[i] <> t.sequence[i])[1] AS place
+         FROM e s JOIN e t ON s.len = t.len AND t.first_seen < s.first_seen AND hamming(s.sequence, t.sequence) = 2),
+late AS (SELECT s, arg_min(t, (place, instr('ATCG', t[place]), seen)) AS t FROM meet GROUP BY s),
+parent AS (SELECT * FROM own UNION ALL SELECT * FROM late)"""
 
 
 ORACLE = {
@@ -344,8 +356,9 @@ SELECT x AS id_a, y AS id_b FROM p UNION ALL SELECT y, x FROM p WHERE length(a)
     "clusters_d2": f"WITH RECURSIVE {UNIQUES}, {_brute(2)}, {CLUSTERS}",
     "clusters_d2_reference": f"WITH RECURSIVE {UNIQUES}, {_seeded(2)}, {CLUSTERS}",
     "run_stats_d1": f"WITH RECURSIVE {UNIQUES}, {_brute(1)}, {COMPONENTS} SELECT (SELECT count(*) FROM u) AS uniques, CAST((SELECT sum(n) FROM u) AS BIGINT) AS reads, (SELECT count(*) FROM p) AS pairs, (SELECT count(DISTINCT component) FROM comp) AS clusters",
-    "greedy_seen": _greedy_seen_sql(1),
-    "greedy_seen_2": _greedy_seen_sql(2),
+    "greedy_seen": f"WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=1)},\n{_GROUPS}",
+    "greedy_seen_2": f"WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=2)},\n{_GROUPS}",
+    "greedy_ball": f"WITH RECURSIVE {UNIQUES}, {_BALL},\n{_GROUPS}",
     "ranked": f"WITH {_TWO} SELECT rank, sequence, n AS count FROM k WHERE half = 0",
     "count_cdf": f"WITH {_TWO} SELECT rank, sum(n) OVER (ORDER BY rank) / sum(n) OVER () AS cdf FROM k WHERE half = 0",
     "topn_overlap": f"{_SHARED} SELECT rank, fraction_shared FROM s",
