@@ -251,9 +251,10 @@ def _greedy(kind: str, r: int):
 
 
 def _two_rankings(spark, sf_dir):
-    r = reads(spark, sf_dir)
-    half = lambda rest: unique.unique_sequences(r.where(F.col("read_idx") % 2 == rest))
-    return agreement.ranked(half(0), "first_seen"), agreement.ranked(half(1), "first_seen")
+    """Uniques by count, and the same with both strands of a sequence counted as one."""
+    u = uniques(spark, sf_dir)
+    strands = u.groupBy(F.least("sequence", fn.revcomp("sequence")).alias("sequence")).agg(F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"))
+    return agreement.ranked(u, "first_seen"), agreement.ranked(strands, "first_seen")
 
 
 def ranked(spark, sf_dir):
@@ -284,11 +285,12 @@ QUERIES = {
     "ranked": ranked, "count_cdf": count_cdf, "topn_overlap": topn_overlap, "agreement_report": agreement_report,
 }
 
-_TWO = f"""r AS ({READS}),
-v AS (SELECT sequence, read_idx % 2 AS half, count(*) AS n, min(read_idx) AS first_seen FROM r WHERE length(translate(sequence, 'ACGT', '')) = 0 GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY half ORDER BY n DESC, first_seen, sequence) AS rank FROM v)"""
+_TWO = f"""{UNIQUES},
+v AS (SELECT sequence, 0 AS side, n, first_seen FROM u
+      UNION ALL SELECT least(sequence, rc), 1, CAST(sum(n) AS BIGINT), min(first_seen) FROM o GROUP BY least(sequence, rc)),
+k AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY n DESC, first_seen, sequence) AS rank FROM v)"""
 _SHARED = f"""WITH {_TWO},
-come AS (SELECT greatest(a.rank, b.rank) AS rank FROM k a JOIN k b ON a.sequence = b.sequence AND a.half = 0 AND b.half = 1),
+come AS (SELECT greatest(a.rank, b.rank) AS rank FROM k a JOIN k b ON a.sequence = b.sequence AND a.side = 0 AND b.side = 1),
 ranks AS (SELECT rank FROM k GROUP BY rank HAVING count(*) = 2),
 s AS (SELECT rank, (SELECT count(*) FROM come WHERE come.rank <= ranks.rank) / rank AS fraction_shared FROM ranks)"""
 _PAIRS = "SELECT a, b, distance FROM p"
@@ -359,8 +361,8 @@ SELECT x AS id_a, y AS id_b FROM p UNION ALL SELECT y, x FROM p WHERE length(a)
     "greedy_seen": f"WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=1)},\n{_GROUPS}",
     "greedy_seen_2": f"WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=2)},\n{_GROUPS}",
     "greedy_ball": f"WITH RECURSIVE {UNIQUES}, {_BALL},\n{_GROUPS}",
-    "ranked": f"WITH {_TWO} SELECT rank, sequence, n AS count FROM k WHERE half = 0",
-    "count_cdf": f"WITH {_TWO} SELECT rank, sum(n) OVER (ORDER BY rank) / sum(n) OVER () AS cdf FROM k WHERE half = 0",
+    "ranked": f"WITH {_TWO} SELECT rank, sequence, n AS count FROM k WHERE side = 0",
+    "count_cdf": f"WITH {_TWO} SELECT rank, sum(n) OVER (ORDER BY rank) / sum(n) OVER () AS cdf FROM k WHERE side = 0",
     "topn_overlap": f"{_SHARED} SELECT rank, fraction_shared FROM s",
     "agreement_report": f"{_SHARED} SELECT rank, 'Top ' || lpad(format('{{:,}}', rank), 7, ' ') || ': ' || printf('%4.2f', 100 * fraction_shared) || '% shared' AS line FROM s WHERE rank IN (1, 10, 100, 1000, 10000, 100000) AND rank < (SELECT max(rank) FROM s)",
 }
