@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import parts, piece, revcomp
 
-#: Rows of one seed on one side above which it is salted, and rows of a salt.
-HOT_SEED = 4_000
+#: Rows of one seed on the shorter side above which it is salted, and rows to a salt.
+HOT_SEED = 1_000
 
 
 def _check(d: int) -> None:
@@ -45,7 +45,9 @@ def _seeds_long(u: DataFrame, d: int, complete: bool, strands: bool) -> DataFram
     """
     n_b = F.length("sequence")
     s = u.select("sequence", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("delta")).where(F.col("delta") <= n_b)
-    s = s.select("sequence", "delta", (n_b - F.col("delta")).alias("n"))
+    # shorter lengths that do not occur need no seeds; there is one row a length, so the side is small
+    lengths = u.select(n_b.alias("n")).distinct()
+    s = s.select("sequence", "delta", (n_b - F.col("delta")).alias("n")).join(F.broadcast(lengths), "n", "left_semi")
     s = s.select("sequence", "delta", "n", F.explode(parts(F.col("n"), d + 1)).alias("p"))
     if complete:
         m = F.floor((F.lit(d) - F.col("delta")) / 2).cast("int")
@@ -71,7 +73,8 @@ def candidates(u: DataFrame, d: int, mode: str, strands: bool) -> DataFrame:
     complete = mode == "complete"
     short, long_ = _seeds_short(u, d, not complete), _seeds_long(u, d, complete, strands)
     key = ["n", "part", "seed"]
-    hot = long_.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_SEED)
+    # the shorter side has the fewer rows to count; the longer side's grow with them
+    hot = short.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_SEED)
     hot = hot.select(*key, F.ceil(F.col("rows") / HOT_SEED).cast("int").alias("salts"))
     long_ = long_.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("b", "o"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     short = short.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
