@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each whole text, and digests of the ids and of the text they decode to."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path=public_tokenizers.path("byte_bpe_50k.json"), with_decoded=True)
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path=public_tokenizers.path("byte_bpe_50k.json"), with_decoded=True, keep_text=False)
     return coded.select(
         "doc_id", "lang", "source", "n_tokens", "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

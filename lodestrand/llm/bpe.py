@@ -32,8 +32,10 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: pre-tokenizer.
 SETTLED = r"[\x00-՗֐-ࠀऀ-ఀ฀-῿ -⁯₠-ꟍ가-힣豈-￿\U0001f000-\U0001faff\U00020000-\U0002a6df]*+"
 #: Words whose ids a task remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 MEMO_CHARS = 64
+#: Pairs of tokens whose test is remembered.
+MEMO_PAIRS = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -120,7 +122,7 @@ class Vocabulary:
                 left = self.parts[left][1]
             else:
                 right = self.parts[right][0]
-        if len(self._fits) < 1_000_000:
+        if len(self._fits) < MEMO_PAIRS:
             self._fits[key] = ok
         return ok
 
@@ -236,7 +238,7 @@ def coder(path: str) -> tuple[Encoder, Decoder]:
     return Encoder(vocab), Decoder(vocab)
 
 
-def encode(df: DataFrame, text: str = "text", *, path: str, with_decoded: bool = False) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", *, path: str, with_decoded: bool = False, keep_text: bool = True) -> DataFrame:
     """Append ``n_tokens`` and ``ids`` (packed little-endian unsigned 32-bit).
 
     ``with_decoded`` also appends ``decoded``, the decoder's text of those ids.
@@ -255,7 +257,7 @@ def encode(df: DataFrame, text: str = "text", *, path: str, with_decoded: bool =
 
         return run
 
-    return map_batches(df, make, "n_tokens long, ids binary" + ", decoded string" * with_decoded)
+    return map_batches(df, make, "n_tokens long, ids binary" + ", decoded string" * with_decoded, () if keep_text else (text,))
 
 
 def decode(df: DataFrame, ids: str = "ids", *, path: str, out: str = "decoded") -> DataFrame:

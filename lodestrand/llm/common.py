@@ -32,9 +32,12 @@ def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]],
     added: str,
+    drop: tuple[str, ...] = (),
 ) -> DataFrame:
     """Append the columns of the DDL string ``added``, made by a batch function.
 
+    Columns in ``drop`` are not sent back from the workers.
+
     ``make`` runs once in each task and returns the batch function.  A column of
     the input that has the name of an added one is replaced.  Large inputs are
     cut into slices, so what a task holds does not depend on the table.
@@ -42,7 +45,7 @@ def map_batches(
     ship(df.sparkSession)
     new = T._parse_datatype_string(added)
     names = {f.name.lower() for f in new.fields}
-    keep = [f for f in df.schema.fields if f.name.lower() not in names]
+    keep = [f for f in df.schema.fields if f.name.lower() not in names and f.name not in drop]
     kept_names = [f.name for f in keep]
     schema = T.StructType(keep + new.fields)
 

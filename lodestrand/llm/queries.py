@@ -16,7 +16,7 @@ from .common import table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path=public_tokenizers.path("byte_bpe_50k.json"), with_decoded=True)
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path=public_tokenizers.path("byte_bpe_50k.json"), with_decoded=True, keep_text=False)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
