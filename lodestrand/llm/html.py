@@ -3,16 +3,17 @@
 A page is cut into blocks.  Its markup places each block: inside the article's
 container (``article``, ``main`` and their like), in a part that never belongs to
 it (menus, headers, footers, sidebars, notices, adverts, forms, comments), or
-open.  A page with a container is its container's blocks; what other pages of the
-host repeat inside their articles is theirs to keep.
+open.  A page with a container is its container's blocks, another one its open ones.
 
-A page without one is decided by its host: the token streams of everything
-outside containers are concatenated, page by page, and a suffix array over them
-finds the long substrings that occur on several pages.  Open blocks lose the
-tokens that such substrings cover and keep their unique runs.  Hosts with many
-pages are dealt over groups of bounded size by a hash of the page, and a
-substring counts as repeated if a share of the group's pages has it, so each
-group of a large host finds the same boilerplate.
+A page without one loses what its host repeats.  The token streams outside
+containers are concatenated, page by page, and a suffix array over them finds the
+long substrings that occur on several pages.  Two pages make a substring
+boilerplate, whatever the host's size.
+
+Hosts with many pages are dealt over groups of bounded size by a hash of the page.
+Each group counts the pages of its runs of tokens by their hashes, and the counts
+are summed over the host before anything is decided, so the groups' number and
+size change nothing.
 
 Rows: a null or empty html has an empty text; a null url is a host of its own.
 Unclosed tags, comments, scripts and cut-off pages are read as far as they go.
@@ -21,16 +22,19 @@ Repeated rows with one id are pages of their own, but not distinct ones.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import ship
+from ..storage import materialize, ship
 from .common import slices
 
 #: Fixed values of HTML.
@@ -214,18 +218,18 @@ def _skip(page: str, pos: int, tag: str) -> tuple[str, int]:
     return page[pos:at], at
 
 
-def covered(pages: list[list[list[int]]], run: int, share: float) -> list[list[np.ndarray]]:
+def covered(pages: list[list[list[int]]], run: int, share: float, least: int = 2) -> list[list[np.ndarray]]:
     """For each page's blocks of token numbers, which tokens a repeated substring covers.
 
     Prefix doubling sorts all suffixes of the concatenated streams by their first
     ``run`` tokens, the next power of two at most; neighbours of equal rank are
     the places of one substring, which is boilerplate if the places lie on at
-    least two pages and on a share of all.
+    least ``least`` pages and on a share of all.
     """
     flat = [np.concatenate([np.array(b, np.int64) for b in p]) if p else np.zeros(0, np.int64) for p in pages]
     sizes = np.array([len(f) for f in flat])
     n = int(sizes.sum())
-    need = max(2, int(np.ceil(share * len(pages))))
+    need = max(least, int(np.ceil(share * len(pages))))
     mask = np.zeros(n + len(pages), bool)
     if n >= run and len(pages) > 1:
         top = max((int(f.max()) for f in flat if len(f)), default=0) + 1
@@ -270,69 +274,131 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", *, run: int = 8, share: float = 0.05, group_pages: int = 400) -> DataFrame:
-    """(page_id, url, text) of every row."""
+def run_hashes(pages: list[list[list[str]]], run: int) -> list[np.ndarray]:
+    """The hash of the run of words at each place of each page, the same in every task."""
+    memo: dict[str, int] = {}
+
+    def number(w: str) -> int:
+        if w not in memo:
+            memo[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return memo[w]
+
+    out = []
+    for p in pages:
+        x = np.array([number(w) for b in p for w in b], np.uint64)
+        n = max(0, len(x) - run + 1)
+        h = np.zeros(n, np.uint64)
+        for k in range(run):
+            h = (h ^ h >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + x[k : k + n]
+        out.append(h.view(np.int64))
+    return out
+
+
+def covered_by(pages: list[list[list[str]]], run: int, repeated: np.ndarray) -> list[list[np.ndarray]]:
+    """Like ``covered``, by the hashes of the runs that are boilerplate."""
+    out = []
+    for p, h in zip(pages, run_hashes(pages, run)):
+        edge = np.zeros(sum(map(len, p)) + 1, np.int64)
+        starts = np.flatnonzero(np.isin(h, repeated))
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + run, -1)
+        mask = edge.cumsum()[:-1] > 0
+        out.append(np.split(mask, np.cumsum([len(b) for b in p])[:-1]) if p else [])
+    return out
+
+
+def extract(
+    df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", *, run: int = 8, pages: int = 2, main_pages: int = 3, main_share: float = 0.5, group_pages: int = 400
+) -> DataFrame:
+    """(page_id, url, text) of every row.
+
+    Outside containers what ``pages`` pages of a host have is boilerplate, inside
+    what ``main_pages`` have and the share ``main_share`` of those with a container.
+    """
     spark = df.sparkSession
     ship(spark)
     d = df.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
 
-    def contained(batches):
-        for b in (x for batch in batches for x in slices(batch)):
-            rows = []
-            for i, u, page in zip(*(c.to_pylist() for c in b.columns)):
-                main = [t for place, t in blocks(page) if place == MAIN]
-                if main:
-                    rows.append((i, u, "\n\n".join(main)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["page_id", "url", "text"])
-
-    def outside(batches):
+    def placed(batches):
         for b in (x for batch in batches for x in slices(batch)):
             rows = []
             for i, u, page, h, slot in zip(*(c.to_pylist() for c in b.columns)):
                 found = blocks(page)
-                asks = not any(place == MAIN for place, _ in found)
-                rest = [(place, t) for place, t in found if place != MAIN]
-                if rest or asks:
-                    rows.append((i, u if asks else None, h, slot, asks, [t for _, t in rest], [place == OPEN for place, _ in rest]))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["page_id", "url", "host", "slot", "asks", "blocks", "open"])
-
-    kept = d.mapInArrow(contained, "page_id long, url string, text string")
-    hosted = d.withColumn("host", host(F.col("url"))).withColumn("slot", F.xxhash64("page_id", "url"))
-    rest = hosted.mapInArrow(outside, "page_id long, url string, host string, slot long, asks boolean, blocks array<string>, open array<boolean>")
-    # only hosts of several groups need a lookup, and their pages are salted for it
-    sizes = d.select(host(F.col("url")).alias("h")).groupBy("h").agg(F.ceil(F.count("*") / group_pages).alias("groups")).where("groups > 1")
+                rows.append((i, u, h, slot, [t for _, t in found], [place for place, _ in found]))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["page_id", "url", "host", "slot", "blocks", "places"])
+
+    # rows of one page meet in one group
+    hosted = d.withColumn("host", host(F.col("url"))).withColumn("slot", F.xxhash64("page_id", F.when(F.col("page_id").isNull(), F.col("url"))))
+    all_ = hosted.mapInArrow(placed, "page_id long, url string, host string, slot long, blocks array<string>, places array<string>")
+    # only hosts of several groups need a lookup, and their pages are salted for it; written first, so that a short list is known as such and no page is shuffled for it
+    sizes = materialize(d.select(host(F.col("url")).alias("h")).groupBy("h").agg(F.ceil(F.count("*") / group_pages).alias("groups")).where("groups > 1"), "html-hosts")
     sizes = sizes.select("h", "groups", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    dealt = rest.join(sizes, (rest.host == sizes.h) & (F.pmod(rest.slot, F.lit(SALTS)) == sizes.s), "left")
-    dealt = dealt.withColumn("group", F.pmod("slot", F.coalesce("groups", F.lit(1)))).drop("h", "s", "groups", "slot")
+    dealt = all_.join(sizes, (all_.host == sizes.h) & (F.pmod(all_.slot, F.lit(SALTS)) == sizes.s), "left")
+    dealt = dealt.withColumn("groups", F.coalesce("groups", F.lit(1))).withColumn("group", F.pmod("slot", F.col("groups"))).drop("h", "s", "slot")
+
+    def streams(t: pa.Table, inside: bool) -> tuple[list[list[list[str]]], list[list[tuple[int, int]]]]:
+        """The blocks' words of each page, and the (row, block) of each; rows of one page are one stream."""
+        by_page: dict = {}
+        for k, (i, texts, places) in enumerate(zip(*(t.column(c).to_pylist() for c in ("page_id", "blocks", "places")))):
+            got = by_page.setdefault(i, ([], []))
+            for at, (text, place) in enumerate(zip(texts, places)):
+                if (place == MAIN) == inside:
+                    got[0].append(text.lower().split())
+                    got[1].append((k, at))
+        used = [x for x in by_page.values() if x[0]]
+        return [x[0] for x in used], [x[1] for x in used]
+
+    def count(t: pa.Table) -> pa.Table:
+        out = {"host": [], "group": [], "inside": [], "run": [], "n": []}
+        if t.num_rows and t.column("groups")[0].as_py() > 1:
+            for inside in (False,):
+                words = streams(t, inside)[0]
+                hashes = [np.unique(h) for h in run_hashes(words, run)]
+                runs, n = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                if inside:
+                    runs, n = runs[n >= len(words) // 100], n[n >= len(words) // 100]
+                size = len(runs) + inside  # the row without a run counts the pages
+                for c in ("host", "group"):
+                    out[c] += [t.column(c)[0].as_py()] * size
+                out["inside"] += [inside] * size
+                out["run"] += [None] * inside + runs.tolist()
+                out["n"] += [len(words)] * inside + n.tolist()
+        return pa.table(out, schema=pa.schema([("host", pa.string()), ("group", pa.int64()), ("inside", pa.bool_()), ("run", pa.int64()), ("n", pa.int64())]))
 
-    def decide(t: pa.Table) -> pa.Table:
+    counts = dealt.groupBy("host", "group").applyInArrow(count, "host string, group long, inside boolean, run long, n long")
+    total = counts.withColumn("total", F.sum("n").over(W.partitionBy("host", "inside", "run")))
+    known_ = total.where(F.col("run").isNull() | (F.col("total") >= F.when(F.col("inside"), main_pages).otherwise(pages))).select("host", "group", "inside", "run", "total")
+
+    def decide(t: pa.Table, known: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        ids, urls, asks, texts, opens = (t.column(c).to_pylist() for c in ("page_id", "url", "asks", "blocks", "open"))
-        out = {"page_id": [], "url": [], "text": []}
-        if any(asks):
-            number: dict[str, int] = {}
-            by_page: dict = {}
-            for k, i in enumerate(ids):  # rows of one page are one stream
-                by_page.setdefault(i, []).append(k)
-            words = [[b.split() for b in x] for x in texts]
-            streams = [[[number.setdefault(w.lower(), len(number)) for w in b] for k in rows for b in words[k]] for rows in by_page.values()]
-            masks = covered(streams, run, share)
-            for rows, page_masks in zip(by_page.values(), masks):
-                at = 0
-                for k in rows:
-                    got = []
-                    for block, is_open in zip(words[k], opens[k]):
-                        gone = page_masks[at]
-                        at += 1
-                        left = " ".join(w for w, c in zip(block, gone) if not c) if is_open else ""
-                        if left:
-                            got.append(left)
-                    if asks[k]:
-                        out["page_id"].append(ids[k])
-                        out["url"].append(urls[k])
-                        out["text"].append("\n\n".join(got))
+        ids, urls, texts, places = (t.column(c).to_pylist() for c in ("page_id", "url", "blocks", "places"))
+        out = {"page_id": ids, "url": urls, "text": []}
+        gone: dict[tuple[int, int], np.ndarray] = {}
+        for inside in (False,):
+            if not inside and all(MAIN in p for p in places):
+                continue
+            words, at = streams(t, inside)
+            if t.num_rows and t.column("groups")[0].as_py() > 1:
+                k = known.filter(pc.equal(known.column("inside"), inside))
+                of = pc.sum(k.filter(pc.is_null(k.column("run"))).column("total")).as_py() or 0
+                k = k.filter(pc.and_(pc.is_valid(k.column("run")), pc.greater_equal(k.column("total"), int(np.ceil(main_share * of)))))
+                masks = covered_by(words, run, k.column("run").to_numpy())
+            else:
+                number: dict[str, int] = {}
+                numbers = [[[number.setdefault(w, len(number)) for w in b] for b in p] for p in words]
+                masks = covered(numbers, run, main_share, main_pages) if inside else covered(numbers, run, 0.0, pages)
+            gone.update(zip((k for p in at for k in p), (m for p in masks for m in p)))
+        for k in range(len(ids)):
+            wanted = MAIN if MAIN in places[k] else OPEN
+            got = []
+            for b, (text, place) in enumerate(zip(texts[k], places[k])):
+                if place == wanted:
+                    mask = gone.get((k, b))
+                    left = text if mask is None else " ".join(w for w, c in zip(text.split(), mask) if not c)
+                    if left:
+                        got.append(left)
+            out["text"].append("\n\n".join(got))
         return pa.table(out, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())]))
 
-    decided = dealt.groupBy("host", "group").applyInArrow(decide, "page_id long, url string, text string")
-    return kept.unionByName(decided)
+    return dealt.groupBy("host", "group").cogroup(known_.groupBy("host", "group")).applyInArrow(decide, "page_id long, url string, text string")

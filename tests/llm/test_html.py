@@ -111,3 +111,26 @@ def test_query_against_the_pages_own_layout(spark, sf_dir, oracle):
         parts = [" ".join(lib.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", p))).split()) for p in parts]
         want = "\n\n".join(p for p in parts if p)
         assert (got[i].url, got[i].text, got[i].n_chars) == (url, want, len(want))
+
+
+def test_hashed_runs_cover_what_the_suffix_array_covers():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    shared = [[rng.randrange(30) for _ in range(rng.randrange(1, 14))] for _ in range(4)]
+    pages = [[rng.choice(shared) if rng.random() < 0.4 else [rng.randrange(30) for _ in range(rng.randrange(0, 9))] for _ in range(rng.randrange(0, 6))] for _ in range(25)]
+    words = [[[str(w) for w in b] for b in p] for p in pages]
+    runs, n = np.unique(np.concatenate([np.unique(h) for h in html.run_hashes(words, 3)]), return_counts=True)
+    got = [[list(map(bool, b)) for b in p] for p in html.covered_by(words, 3, runs[n >= 5])]
+    assert got == brute_cover(pages, 3, 5)
+
+
+@pytest.mark.parametrize("groups", [400, 20])
+def test_rare_boilerplate_is_counted_over_the_whole_host(spark, groups):
+    foot = "all rights kept by the makers of this fine section"
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, f"http://h.example/{i}", f"<div>{text(i)}</div>" + f"<div>{foot}</div>" * (i % 60 == 0)) for i in range(180)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), group_pages=groups).collect()}
+    assert got == {i: text(i) for i in range(180)}
