@@ -134,3 +134,12 @@ def test_rare_boilerplate_is_counted_over_the_whole_host(spark, groups):
     rows = [(i, f"http://h.example/{i}", f"<div>{text(i)}</div>" + f"<div>{foot}</div>" * (i % 60 == 0)) for i in range(180)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), group_pages=groups).collect()}
     assert got == {i: text(i) for i in range(180)}
+
+
+@pytest.mark.parametrize("groups", [400, 9])
+def test_containers_lose_what_most_pages_of_the_host_repeat(spark, groups):
+    sign, quote = "sign up for our letter and never miss a story again", "a passage that a few articles of the host have in common"
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, f"http://h.example/{i}", f"<main><p>{text(i)}</p>" + f"<p>{quote}</p>" * (i < 6) + f"<p>{sign}</p>" * (i % 4 > 0) + "</main>") for i in range(40)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), group_pages=groups).collect()}
+    assert got == {i: text(i) + f"\n\n{quote}" * (i < 6) for i in range(40)}
