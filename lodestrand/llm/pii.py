@@ -18,6 +18,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,7 +51,6 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY_DIGIT = re.compile("[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-_FOREIGN = re.compile(r"[²³¹⁰-₟①-⓿\U0001d400-\U0001d7ff­Ͱ-ԯ٠-٩۰-۹०-९​-―․⁠−。﹒-﹫﻿！-｡]")
 _CHAR = re.compile(f"[{INVISIBLE}²³¹]|[^\\x00-\\u024f]")
 #: Ends of domains by which a spoken "at" is told from the preposition.
 _ENDS = "(?:com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|eu|uk|us|de|fr|es|it|nl|be|ch|at|pl|pt|se|no|dk|fi|ru|cn|jp|in|br|mx|ca|au|nz|za)"
@@ -62,8 +62,9 @@ _SPOKEN_DOT = r"[ \t]+(?:dot|punkt|punto|point|\.)[ \t]+"
 _SPOKEN = re.compile(
     rf"(?<=[A-Za-z0-9])(?:[ \t]+(at|arroba|arobase)[ \t]+|[ \t]+(@)[ \t]*|(@)[ \t]+)(?=[A-Za-z0-9-]+(?:(?:\.|{_SPOKEN_DOT})[A-Za-z0-9-]+){{0,6}}(?:\.|{_SPOKEN_DOT}){_ENDS}\b)|(?<=[A-Za-z0-9])[ \t]+(?:dot|punkt|punto|point)[ \t]+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[ \t]+\.[ \t]+(?={_ENDS}\b)", re.I
 )
-_SPOKEN_HINT = re.compile(r" (?:dot|punkt|punto|point) |@ | @| (?:at|arroba|arobase) [a-z0-9.-]+\." + f"{_ENDS}\\b")
-_SPELLED_HINT = re.compile(rf"\b{_DIGIT}[ ,-]+{_DIGIT}[ ,-]+{_DIGIT}\b")
+#: Hints: each is found wherever its transducer changes something.
+_SPOKEN_HINT = re.compile(rf"[ \t]@|@[ \t]|[ \t](?:dot|punkt|punto|point)[ \t]|[ \t]\.[ \t]+{_ENDS}\b|[ \t](?:at|arroba|arobase)[ \t]+[A-Za-z0-9-]+[ \t]*\.", re.I)
+_SPELLED_HINT = re.compile(rf"\bplus[ ,-]+{_DIGIT}\b|\b{_DIGIT}\b[ ,-]+(?:{_DIGIT}\b|[0-9])", re.I)
 _SPELLED = re.compile(rf"(?:\bplus[ ,-]+(?={_DIGIT}\b))?\b{_DIGIT}\b(?:[ ,-]+(?:{_DIGIT}|[0-9]+)\b)*", re.I)
 _SPELLED_PART = re.compile(r"plus|[^\W\d_]+|[0-9]", re.I)
 
@@ -158,17 +159,22 @@ class Tape:
         return Tape("".join(out), first, last)
 
 
+@lru_cache(1 << 14)
+def _plain(c: str) -> str | None:
+    """The ASCII character that one above it stands for."""
+    if c in LOOK_ALIKES:
+        return LOOK_ALIKES[c]
+    if (d := unicodedata.digit(c, None)) is not None:
+        return str(d)
+    plain = unicodedata.normalize("NFKC", c)
+    return plain if len(plain) == 1 and plain.isascii() else None
+
+
 def _plain_char(m: re.Match) -> list[tuple[str, int, int]] | None:
     c = m.group()
     if c in INVISIBLE:
         return []
-    new = LOOK_ALIKES.get(c)
-    if new is None:
-        if (d := unicodedata.digit(c, None)) is not None:
-            new = str(d)
-        else:
-            plain = unicodedata.normalize("NFKC", c)
-            new = plain if len(plain) == 1 and plain.isascii() else None
+    new = _plain(c)
     return None if new is None else [(new, m.start(), m.end())]
 
 
@@ -191,29 +197,32 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
         return None
     out = []
     for w in _SPELLED_PART.finditer(m.group()):
-        word, a = w.group().lower(), m.start() + w.start()
+        word = w.group().lower()
         c = "+" if word == "plus" else str(DIGIT_WORDS.get(word, word))
-        out.append((c, a, a + len(word)))
+        if len(c) > 1:  # one that only looks like a digit's word in lower case
+            return None
+        out.append((c, m.start() + w.start(), m.start() + w.end()))
     return out
 
 
+#: The transducers in their order, each with a hint whether the text so far may hold what it changes.
+STEPS: tuple[tuple[Callable[[str], object], re.Pattern, Callable], ...] = (
+    (lambda t: not t.isascii() and _CHAR.search(t), _CHAR, _plain_char),
+    (lambda t: ("&" in t or "%40" in t) and _ESCAPED.search(t), _ESCAPED, _escaped),
+    (_LETTER_DIGIT.search, _LETTER_DIGIT, _letter_digit),
+    (_SPELLED_HINT.search, _SPELLED, _digits),
+    (_BRACKET_HINT.search, _BRACKETED, _sign),
+    (_SPOKEN_HINT.search, _SPOKEN, _sign),
+)
+
+
 def normalise(text: str) -> Tape | None:
-    """The rewritten text, or nothing if the text holds no disguise at all."""
-    foreign = _FOREIGN.search(text) is not None
-    tape = Tape(text).rewrite(_CHAR, _plain_char) if foreign else None
-    t = tape.text if tape else text
-    low = t.lower()
-    escaped = ("&" in t or "%40" in t) and _ESCAPED.search(t)
-    letters = _LETTER_DIGIT.search(t)
-    spelled = _SPELLED_HINT.search(low)
-    bracketed = _BRACKET_HINT.search(t)
-    spoken = bracketed or spelled or escaped or _SPOKEN_HINT.search(low)
-    if not (foreign or escaped or letters or spoken):
-        return None
-    tape = tape or Tape(text)
-    for due, pattern, change in ((escaped, _ESCAPED, _escaped), (letters, _LETTER_DIGIT, _letter_digit), (spelled, _SPELLED, _digits), (bracketed, _BRACKETED, _sign), (spoken, _SPOKEN, _sign)):
-        if due:
-            tape = tape.rewrite(pattern, change)
+    """The rewritten text, or nothing if no hint finds a disguise."""
+    tape, t = None, text
+    for hint, pattern, change in STEPS:
+        if hint(t):
+            tape = (tape or Tape(text)).rewrite(pattern, change)
+            t = tape.text
     return tape
 
 

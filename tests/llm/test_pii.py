@@ -99,3 +99,35 @@ def test_rows(spark):
     assert got == {1: 0, 2: 0, 3: 3000} and pii.detect(df.limit(0)).count() == 0
     red = pii.redact(df).orderBy("doc_id").collect()
     assert red[0].text is None and red[1].text == "" and red[2].text == "[EMAIL] " * 3000 and pii.redact(df).columns == df.columns
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("card ৪১১১১১১১১১১১১১১১ ok", ("card", "৪১১১১১১১১১১১১১১১")),
+        ("card ๔๑๑๑๑๑๑๑๑๑๑๑๑๑๑๑ ok", ("card", "๔๑๑๑๑๑๑๑๑๑๑๑๑๑๑๑")),
+        ("mail anna at  example.com", ("email", "anna at  example.com")),
+        ("mail anna\tat\texample.com", ("email", "anna\tat\texample.com")),
+        ("mail anna@example . com", ("email", "anna@example . com")),
+        ("call plus one 212 five 55 one 234 nine", ("phone", "plus one 212 five 55 one 234 nine")),
+    ],
+)
+def test_disguises_that_narrow_hints_missed(text, want):
+    assert want in [(k, text[a:b]) for a, b, k, plain in pii.spans(text) if not plain]
+
+
+def test_hints_are_supersets_of_their_transducers(monkeypatch):
+    import random
+    import sys
+    import unicodedata
+
+    rng = random.Random(9)
+    words = ["anna", "example", "com", "org", "at", "AT", "arroba", "dot", "punkt", "plus", "Plus", "one", "FIVE", "fünf", "ſix", "sİx", "zero", "212", "55", "9", "1O.0", "4111", "@", ".", "+", "[at]", "(dot)", "&#64;", "%40", "&period;", "a@b.c", "at home."]
+    odd = [c for k in range(0x250, sys.maxunicode) if pii._plain(c := chr(k)) is not None] + list(pii.INVISIBLE)
+    assert len(odd) > 1_700 and {unicodedata.digit(c, None) for c in odd} >= set(range(10))
+    gaps = [" ", "  ", "\t", ", ", "-", "", " . ", "."]
+    texts = ["".join(x for _ in range(rng.randrange(1, 16)) for x in (rng.choice(words) if rng.random() < 0.9 else rng.choice(odd), rng.choice(gaps))) for _ in range(20_000)]
+    texts += [f"x{c}y 411111111111111{c}" for c in odd]
+    got = [(pii.spans(t), (pii.normalise(t) or pii.Tape(t)).text) for t in texts]
+    monkeypatch.setattr(pii, "STEPS", tuple((lambda t: True, pattern, change) for _, pattern, change in pii.STEPS))
+    assert got == [(pii.spans(t), pii.normalise(t).text) for t in texts]
