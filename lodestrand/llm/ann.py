@@ -3,7 +3,8 @@
 A bounded sample fits coarse centroids and, for the residuals, a codebook in each
 group of dimensions.  Every vector is indexed: it is put in the list of its
 nearest centroid with the code of its residual.  A query probes the lists whose
-centroids are nearest.  In each block of a list the query's asymmetric distance
+centroids are nearest, and more until they hold as many candidates as are wanted.
+In each block of a list the query's asymmetric distance
 tables rank all entries by their codes; the best are ranked again by the exact
 distance of the original vectors, which lie in the block, and blocks are merged.
 Long lists are dealt over blocks of bounded size, to all of which a query goes.
@@ -45,6 +46,15 @@ class Index:
         order = np.argsort(np.take_along_axis(d, part, 1), axis=1, kind="stable")
         return np.take_along_axis(part, order, 1)
 
+    def probed(self, x: np.ndarray, probes: int, held: np.ndarray, need: np.ndarray) -> list[np.ndarray]:
+        """The nearest lists of each row: ``probes``, and as many more as hold ``need`` entries in all."""
+        near = list(self.lists(x, probes))
+        short = [r for r, ls in enumerate(near) if held[ls].sum() < need[r]]
+        for i in range(0, len(short), 256):
+            for r, ls in zip(short[i : i + 256], self.lists(x[short[i : i + 256]], len(held))):
+                near[r] = ls[: max(probes, int(np.searchsorted(held[ls].cumsum(), need[r])) + 1)]
+        return near
+
     def encode(self, residuals: np.ndarray) -> np.ndarray:
         g, c, w = self.codebooks.shape
         out = np.empty((len(residuals), g), np.uint8)
@@ -143,7 +153,7 @@ def search(df: DataFrame, queries: Column, *, vec_id: str = "vec_id", vector: st
     schema = "query_id long, rank int, vec_id long, score double"
     if not dims:
         return spark.createDataFrame([], schema)
-    q = q.where(F.size("v") == dims).groupBy("id").agg(F.min("v").alias("v"))
+    q = q.where(F.size("v") == dims).groupBy("id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
     n = all_.count()
     slot = F.shiftrightunsigned(F.xxhash64(F.lit(17), "id", "v"), 33) / F.lit(float(1 << 31))
     sample = np.array([r.v for r in all_.where(slot < min(1.0, FIT_ROWS / n)).select("v").limit(2 * FIT_ROWS).collect()])
@@ -164,15 +174,19 @@ def search(df: DataFrame, queries: Column, *, vec_id: str = "vec_id", vector: st
     sizes = {r.list: r["count"] for r in entries.groupBy("list").count().collect()}  # MOST_LISTS rows at most
     blocks = {i: -(-s // BLOCK_ROWS) for i, s in sizes.items()}
 
+    alive = np.array(sorted(sizes))
+    held = np.array([sizes[i] for i in alive.tolist()])
+
     def probe(batches):
         ix = shared.value
+        full = Index(ix.centroids[alive], ix.codebooks, ix.probes)  # empty lists are no probes
         for b in (x for batch in batches for x in slices(batch)):
-            near = ix.lists(matrix(b.column(1), dims), ix.probes)
-            at = [(r, int(i), s) for r in range(len(near)) for i in near[r] for s in range(blocks.get(int(i), 0))]
+            near = full.probed(matrix(b.column(1), dims), ix.probes, held, k + b.column(2).to_numpy())
+            at = [(r, int(alive[i]), s) for r in range(len(near)) for i in near[r] for s in range(blocks[int(alive[i])])]
             c = b.take(pa.array([r for r, _, _ in at], pa.int64()))
             yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([i for _, i, _ in at], pa.int32()), pa.array([s for _, _, s in at], pa.int32())], names=["q", "qv", "list", "block"])
 
-    probes = q.select("id", "v").mapInArrow(probe, "q long, qv array<double>, list int, block int")
+    probes = q.select("id", "v", "own").mapInArrow(probe, "q long, qv array<double>, list int, block int")
     how_many = F.lit(1)
     long_lists = [(i, n_) for i, n_ in blocks.items() if n_ > 1]
     if long_lists:

@@ -73,3 +73,12 @@ def test_rows(spark):
     assert sorted(got) == [(0, 1, 100), (0, 2, 100), (0, 3, 1), (100, 1, 0), (100, 2, 1)]
     assert ann.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     assert ann.search(df.where("vec_id = 0"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_outliers_alone_in_their_lists_get_all_ranks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 1, (300, 8)), np.full((1, 8), 90.0)])
+    index = ann.Index(np.stack([np.zeros(8), np.full(8, 60.0), np.full(8, 90.0)]), rng.normal(0, 1, (4, 16, 2)), 1)
+    monkeypatch.setattr(ann, "fit", lambda *a, **how: index)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall(ann.search(df, F.col("vec_id") == 300).collect(), np.arange(301), x, [300]) > 0
