@@ -5,8 +5,8 @@ group of dimensions.  Every vector is indexed: it is put in the list of its
 nearest centroid with the code of its residual.  A query probes the lists whose
 centroids are nearest, and more until they hold as many candidates as are wanted.
 In each block of a list the query's asymmetric distance
-tables rank all entries by their codes; the best are ranked again by the exact
-distance of the original vectors, which lie in the block, and blocks are merged.
+tables rank all entries by their codes; the best, as many as the sample needs and
+all that tie with the last, are ranked again by the exact distance of the original vectors, which lie in the block, and blocks are merged.
 Long lists are dealt over blocks of bounded size, to all of which a query goes.
 
 Rows: null vectors, zero vectors, those with null or non-finite components and
@@ -36,6 +36,7 @@ class Index:
     centroids: np.ndarray  # lists x dims
     codebooks: np.ndarray  # groups x codes x dims of a group
     probes: int
+    depth: int = 1  # entries of a block to be ranked by exact distances
 
     def lists(self, x: np.ndarray, k: int) -> np.ndarray:
         """The k nearest lists of each row, nearest first."""
@@ -109,9 +110,25 @@ def fit(sample: np.ndarray, rows: int, *, groups: int = 16, codes: int = 256, re
     found = np.sort(np.take_along_axis(place, near[best_], 1).ravel())
     if len(found):
         index.probes = int(found[min(len(found) - 1, int(recall * len(found)))]) + 1
+        index.depth = depth(index, x, near, some, best_, recall, max(1.0, rows / len(x)))
     return index
 
 
+def depth(index: Index, x: np.ndarray, near: np.ndarray, some: np.ndarray, best_: np.ndarray, recall: float, scale: float) -> int:
+    """How many entries of a list to rank exactly, so that its share ``recall`` of neighbours is among them."""
+    code = index.encode(x - index.centroids[near]).astype(np.intp)
+    at, ahead = np.arange(code.shape[1]), []
+    for i in np.unique(near[best_]):
+        rows = np.flatnonzero(near == i)
+        for r in np.flatnonzero((near[best_] == i).any(1)):
+            t = index.tables((x[some[r]] - index.centroids[i])[None])[0]
+            approx = t[at, code[rows]].sum(1)
+            wanted = np.isin(rows, best_[r])
+            ahead += np.searchsorted(np.sort(approx), approx[wanted]).tolist()
+    ahead.sort()
+    return int(np.ceil(scale * (ahead[min(len(ahead) - 1, int(recall * len(ahead)))] + 1)))
+
+
 def usable(v: Column) -> Column:
     """Whether a vector takes part, its length apart."""
     x = lambda f: F.forall(v, f)
@@ -139,6 +156,11 @@ def best(approx: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([less, np.flatnonzero(approx == limit)[: k - len(less)]])
 
 
+def nearest(approx: np.ndarray, k: int) -> np.ndarray:
+    """Positions of all that are not above the k-th smallest."""
+    return np.arange(len(approx)) if len(approx) <= k else np.flatnonzero(approx <= np.partition(approx, k - 1)[k - 1])
+
+
 def search(df: DataFrame, queries: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, rerank: int = 100, **how) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query row.
 
@@ -209,7 +231,7 @@ def search(df: DataFrame, queries: Column, *, vec_id: str = "vec_id", vector: st
                     for g in range(1, code.shape[1]):
                         approx = approx + t[g][code[:, g]]
                     approx[ids == query] = np.inf
-                    top = best(approx, ids, rerank)
+                    top = nearest(approx, max(rerank, ix.depth))
                     top = top[ids[top] != query]
                     exact = np.sqrt(((x[top] - v) ** 2).sum(1))
                     top_k = np.lexsort((ids[top], exact))[:k]

@@ -82,3 +82,15 @@ def test_outliers_alone_in_their_lists_get_all_ranks(spark, monkeypatch):
     monkeypatch.setattr(ann, "fit", lambda *a, **how: index)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     assert recall(ann.search(df, F.col("vec_id") == 300).collect(), np.arange(301), x, [300]) > 0
+
+
+def test_large_groups_of_near_copies(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 1e-4, (600, 16)) for c in rng.normal(0, 3, (5, 16))] + [rng.normal(0, 3, (2000, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.search(df, (F.col("vec_id") < 3000) & (F.col("vec_id") % 60 == 0), groups=4, codes=16).collect()
+    assert recall(rows, np.arange(len(x)), x, range(0, 3000, 60)) >= 0.95
+
+
+def test_all_ties_of_the_last_are_ranked():
+    assert ann.nearest(np.array([1.0, 0.0, 1.0, 1.0, 2.0]), 2).tolist() == [0, 1, 2, 3]
