@@ -13,7 +13,7 @@ Spark's own text writer can write the file under its commit protocol:
            plane sizes), and for the documents (ids or null, numbers of ids)
     tail   length of the index as 8 bytes, MAGIC
 
-File names sort in the order of the documents.
+The part numbers in file names ascend in the order of the documents.
 """
 
 from __future__ import annotations
@@ -296,7 +296,7 @@ def read(spark: SparkSession, at: str, *, with_ids: bool = True) -> DataFrame:
 
     kind = "file string, place long, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     got = files.mapInArrow(run, kind)
-    # ids of the files before: from the files' indexes alone, one row a file
+    # ids of the files before, in the order of their part numbers, which have five digits or more: from the files' indexes alone, one row a file
 
     def totals(batches):
         for b in (x for batch in batches for x in slices(batch)):
@@ -309,7 +309,7 @@ def read(spark: SparkSession, at: str, *, with_ids: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"f": pa.array(names, pa.string()), "n": pa.array(sums, pa.int64())})
 
     total = files.mapInArrow(totals, "f string, n long")
-    run_sum = F.coalesce(F.sum("n").over(W.orderBy("f").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    run_sum = F.coalesce(F.sum("n").over(W.orderBy(F.regexp_extract("f", "^part-([0-9]+)", 1).try_cast("long"), "f").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     before = total.withColumn("before", run_sum).select("f", "before")
     out = got.join(before, got.file == before.f).withColumn("start", F.col("at") + F.col("before"))
     return out.select("file", "place", "doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

@@ -74,3 +74,12 @@ def test_rows(spark, tmp_path):
             assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens
     tokenfile.write(df.limit(0), f"{tmp_path}/none", path=PATH, end_id=1)
     assert tokenfile.read(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_files_are_read_in_the_order_of_their_part_numbers(spark, tmp_path):
+    for doc, part in enumerate(("00002", "10001", "99999", "100000", "100001")):
+        w = tokenfile.FileWriter()
+        pieces = [*w.add(doc, np.arange(10 + doc)), *w.close()]
+        (tmp_path / f"part-{part}-x-c000.txt").write_bytes(b"".join(p + b"\n" for p in pieces))
+    got = {r.doc_id: r.start for r in tokenfile.read(spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 10, 2: 21, 3: 33, 4: 46}
