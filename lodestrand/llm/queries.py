@@ -51,6 +51,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.transactions(warc.read(spark, out, with_payload=False))
     narrow = captures.select("capture_id", F.struct("response.record_type", "response.refers_to", "response.payload_bytes", "response.payload_sha1").alias("response"), "metadata.fields")
     full = warc.resolve(materialize(narrow, "captures"))
+    full = full.withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("fields")["copies"].cast("int"), F.lit(1)))))  # equal rows are one capture
     return full.select(
         F.col("fields")["key"].cast("long").alias("page_id"), F.col("full_bytes").alias("payload_bytes"), F.col("full_sha1").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"), F.col("fields")["refersToKey"].cast("long").alias("refers_to"),

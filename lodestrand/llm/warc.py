@@ -11,8 +11,9 @@ ends that the format asks for, so files appear under Spark's commit protocol on
 any file system that Spark knows.
 
 Rows: a null payload is an empty one; null URIs are written as an empty field and
-read back as null.  Rows that share a key, or that have none and share a payload,
-are one capture; those without a key are always whole.
+read back as null.  Rows equal in key, URI and payload are one capture, whose
+metadata says how many they are; all others are captures of their own.  Rows
+without a key are always whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import ship
@@ -43,16 +45,16 @@ def uuid_of(*key: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def revisits(pages: DataFrame, key: str, digest: str, size: str, *, least: int = LEAST_REVISIT) -> DataFrame:
-    """(key, original) of narrow rows (key, digest, size): the capture that holds the payload.
+def revisits(pages: DataFrame, key: str, digest: str, size: str, uri: str, *, least: int = LEAST_REVISIT) -> DataFrame:
+    """(key, digest, original, original_uri) of narrow rows (key, digest, size, uri): the capture that holds the payload.
 
     It is the greatest key of those with the digest; rows below the size limit
     hold their own.  Keys are pre-aggregated by digest before they are shuffled,
     and the join back is of narrow rows, whose hot digests Spark can split.
     """
     large = pages.where(F.col(size) >= least)
-    greatest = large.groupBy(F.col(digest).alias("_d")).agg(F.max(key).alias("original"), F.count("*").alias("_n")).where("_n > 1").select("_d", "original")
-    return large.join(greatest, large[digest] == greatest["_d"]).where(F.col(key) != F.col("original")).groupBy(F.col(key).alias("_key")).agg(F.max("original").alias("original"))
+    greatest = large.groupBy(F.col(digest).alias("_d")).agg(F.max(F.struct(F.col(key).alias("k"), F.col(uri).alias("u"))).alias("top"), F.count("*").alias("_n")).where("_n > 1").select("_d", F.col("top.k").alias("original"), F.col("top.u").alias("original_uri"))
+    return large.join(greatest, large[digest] == greatest["_d"]).where(F.col(key) != F.col("original")).groupBy(F.col(key).alias("_key"), F.col(digest).alias("_digest")).agg(F.max("original").alias("original"), F.max("original_uri").alias("original_uri"))
 
 
 def http_head(size: Column) -> Column:
@@ -76,11 +78,12 @@ def write(df: DataFrame, out: str, *, key: str, uri: str, payload: str, date: st
     spark = df.sparkSession
     ship(spark)
     pages = df.select(F.col(key).alias("key"), F.col(uri).alias("uri"), F.coalesce(payload, F.lit("")).alias("html"))
-    slim = pages.select("key", F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").alias("size"))
-    again = revisits(slim, "key", "sha1", "size", least=least)
-    p = pages.join(again, pages.key == again._key, "left").drop("_key")
-    p = p.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    own = lambda kind, k="key": uuid_of(F.lit(kind), F.coalesce(F.col(k).cast("string"), F.concat(F.lit("none:"), "sha1")))
+    pages = pages.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
+    again = revisits(pages.select("key", "sha1", "size", "uri"), "key", "sha1", "size", "uri", least=least)
+    p = pages.join(again, (pages.key == again._key) & (pages.sha1 == again._digest), "left").drop("_key", "_digest")
+    p = p.withColumn("copies", F.count("*").over(W.partitionBy("key", "sha1", "uri")))
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("none"))
+    own = lambda kind, k="key", u="uri": uuid_of(F.lit(kind), part(k), F.col("sha1"), part(u))
     url = F.regexp_replace(F.coalesce("uri", F.lit("")), r"[\r\n]+", " ")
     common = [("WARC-Target-URI", F.when(url != "", url)), ("WARC-Date", F.lit(date))]
     digest = F.concat(F.lit("sha1:"), F.col("sha1"))
@@ -89,7 +92,7 @@ def write(df: DataFrame, out: str, *, key: str, uri: str, payload: str, date: st
         [
             ("WARC-Type", F.when(whole, F.lit("response")).otherwise(F.lit("revisit"))), ("WARC-Record-ID", own("response")), *common,
             ("WARC-Payload-Digest", digest),
-            ("WARC-Refers-To", F.when(~whole, own("response", "original"))),
+            ("WARC-Refers-To", F.when(~whole, own("response", "original", "original_uri"))),
             ("WARC-Profile", F.when(~whole, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
@@ -101,7 +104,7 @@ def write(df: DataFrame, out: str, *, key: str, uri: str, payload: str, date: st
     )
     metadata = _record(
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", own("metadata")), *common, ("WARC-Concurrent-To", own("response")), ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("key: "), F.coalesce(F.col("key").cast("string"), F.lit("")), F.when(~whole, F.concat(F.lit("\r\nrefersToKey: "), F.col("original").cast("string"))).otherwise(F.lit("")), F.lit(CRLF)),
+        F.concat(F.lit("key: "), F.coalesce(F.col("key").cast("string"), F.lit("")), F.when(~whole, F.concat(F.lit("\r\nrefersToKey: "), F.col("original").cast("string"))).otherwise(F.lit("")), F.when(F.col("copies") > 1, F.concat(F.lit("\r\ncopies: "), F.col("copies").cast("string"))).otherwise(F.lit("")), F.lit(CRLF)),
     )
     records = p.select(F.explode(F.array(request, response, metadata)).alias("value"))
     per_file = max(1, int(3 * file_bytes / 6_000))

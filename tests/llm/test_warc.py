@@ -57,3 +57,21 @@ def test_query_against_sql(spark, sf_dir, oracle):
     want = oracle.execute(queries.OP6_SQL).df()
     got["refers_to"], want["refers_to"] = got["refers_to"].astype("Int64"), want["refers_to"].astype("Int64")
     assert_same(got, want)
+
+
+def test_rows_that_share_a_key_or_have_none_keep_their_payloads(spark, tmp_path):
+    big, other = "b" * 2000, "o" * 2000
+    rows = [(1, "u", big), (1, "u", other), (1, "v", other), (2, "u", big), (None, "u", "n"), (None, "v", "n"), (3, "u", "same"), (3, "u", "same")]
+    got = capture(spark, [(*r, "") for r in rows], f"{tmp_path}/w").collect()
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    found = sorted((r.metadata.fields["key"], r.response.uri, r.full_sha1, r.response.record_type) for r in got)
+    kinds = {(1, big): "revisit"}
+    assert found == sorted({("" if k is None else str(k), u, sha(h), kinds.get((k, h), "response")) for k, u, h in rows})
+    assert [r.metadata.fields["copies"] for r in got if r.metadata.fields["key"] == "3"] == ["2"]
+
+
+def test_query_gives_each_row_of_pages(spark, tmp_path):
+    rows = [(1, "u", "b" * 2000), (1, "u", "o" * 2000), (2, "u", "b" * 2000), (3, "u", "same"), (3, "u", "same")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in queries.op6_warc(spark, str(tmp_path)).collect())
+    assert got == sorted((k, len(h), hashlib.sha1(h.encode()).hexdigest()) for k, _, h in rows)
