@@ -6,7 +6,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import ship, spread
@@ -28,6 +29,12 @@ def free_name(taken: list[str], wish: str) -> str:
     return wish
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, equal for equal rows."""
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*[x for f in df.schema.fields for x in (plain(f), F.isnull(f"`{f.name}`"))])
+
+
 def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]],

@@ -53,8 +53,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = warc.resolve(materialize(narrow, "captures"))
     full = full.withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("fields")["copies"].cast("int"), F.lit(1)))))  # equal rows are one capture
     return full.select(
-        F.col("fields")["key"].cast("long").alias("page_id"), F.col("full_bytes").alias("payload_bytes"), F.col("full_sha1").alias("payload_digest"),
-        F.col("response.record_type").alias("record_type"), F.col("fields")["refersToKey"].cast("long").alias("refers_to"),
+        F.col("fields")["key"].try_cast("long").alias("page_id"), F.col("full_bytes").alias("payload_bytes"), F.col("full_sha1").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"), F.col("fields")["refersToKey"].try_cast("long").alias("refers_to"),
     )
 
 
@@ -105,7 +105,7 @@ FROM q
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, text, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
      s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
      w AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
      l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -113,13 +113,19 @@ WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^
      v AS (SELECT (SELECT level FROM l WHERE level * weight < cap ORDER BY cap / weight, place LIMIT 1) AS settled),
      t AS (SELECT source, source_size, CASE WHEN settled IS NULL THEN cap ELSE least(cap, settled * weight) END AS target FROM l, v),
      q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-12) AS BIGINT) ELSE 0 END AS sure FROM t),
-     e AS (SELECT *, greatest(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - sure, 0) AS p, greatest(target - sure * source_size, 0) AS rest FROM q),
-     u AS (SELECT *, (CAST(concat('0x', substr(md5(concat_ws('|', 7, doc_id, 1)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d),
-     r AS (SELECT u.doc_id, u.size, e.source_size, e.target, e.sure, e.rest,
-                  sum(u.size) OVER (PARTITION BY u.source ORDER BY (u.u / (1 - u.u)) / CASE WHEN p > 0 AND p < 1 THEN p / (1 - p) ELSE 1 END, u.doc_id ROWS UNBOUNDED PRECEDING) AS upto
-           FROM u JOIN e ON u.source IS NOT DISTINCT FROM e.source)
+     e AS (SELECT *, greatest(target - sure * source_size, 0) AS rest FROM q),
+     -- if documents of more than a.size words are certain, the others share what is left
+     z AS (SELECT source, size, count(*) AS n, sqrt(size::DOUBLE) AS x FROM d WHERE size > 0 GROUP BY ALL),
+     k AS (SELECT a.source, a.size, a.x, any_value(e.rest) AS rest, coalesce(sum(b.n * b.size) FILTER (b.size > a.size), 0) AS certain, sum(b.n * b.size * b.x) FILTER (b.size <= a.size) AS moment
+           FROM z a JOIN z b ON a.source IS NOT DISTINCT FROM b.source JOIN e ON e.source IS NOT DISTINCT FROM a.source GROUP BY ALL),
+     m AS (SELECT source, arg_max((rest - certain) / moment, size) AS factor, arg_max(certain, size) AS certain FROM k WHERE (rest - certain) / moment * x < 1 GROUP BY source),
+     u AS (SELECT *, (CAST(concat('0x', substr(md5(concat_ws('|', 7, doc_id, text)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d),
+     i AS (SELECT u.*, e.source_size, e.target, e.sure, e.rest - coalesce(m.certain, 0) AS rest, least(coalesce(factor, 0) * sqrt(size::DOUBLE), 1) AS p
+           FROM u JOIN e ON u.source IS NOT DISTINCT FROM e.source LEFT JOIN m ON m.source IS NOT DISTINCT FROM e.source),
+     r AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN sum(CASE WHEN p > 0 AND p < 1 THEN size END) OVER
+                       (PARTITION BY source ORDER BY CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) END AS upto FROM i)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (sure + CASE WHEN rest > 0 AND (upto <= rest OR (upto - size < rest AND abs(upto - rest) <= abs(upto - size - rest))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (sure + CASE WHEN p >= 1 OR (rest > 0 AND (upto <= rest OR (upto - size < rest AND abs(upto - rest) <= abs(upto - size - rest)))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r
 """
 

@@ -53,22 +53,57 @@ def test_query_against_the_contract(spark, sf_dir, oracle):
     assert {(r.doc_id, r.taken) for r in got} == {(r.doc_id, r.taken) for r in again}
 
 
+def spread(words, rest):
+    """Each document's expectation by the definition: those of one or more are certain, the others share again."""
+    p, certain = {}, set()
+    while True:
+        open_ = [i for i in words if i not in certain]
+        factor = (rest - sum(words[i] for i in certain)) / (sum(words[i] ** 1.5 for i in open_) or 1)
+        p = {i: 1.0 if i in certain else factor * words[i] ** 0.5 for i in words}
+        over = [i for i in open_ if p[i] >= 1]
+        if not over:
+            return p
+        certain.update(over)
+
+
+def draws(df):
+    return df.withColumn("bits", mixing.draw(7, F.col("doc_id")))
+
+
 def test_documents_follow_the_pareto_order(spark):
-    docs = [(i, 1, "a" if i < 600 else "b", 1 + i % 13) for i in range(700)]
-    df = spark.createDataFrame(docs, "doc_id long, rep long, source string, size long")
-    got = mixing.allocate(df).withColumn("u", mixing.unit(7, F.col("doc_id"), F.col("rep"))).collect()
+    docs = [(i, "a" if i < 600 else "b", 1 + i % 13 + 5000 * (i % 100 == 7)) for i in range(700)]
+    df = draws(spark.createDataFrame(docs, "doc_id long, source string, size long"))
+    got = mixing.allocate(df, share=0.5).withColumn("u", mixing.unit(F.col("bits"))).collect()
     for s in "ab":
         mine = [r for r in got if r.source == s]
-        copies = sorted({r.copies for r in mine})
-        assert len(copies) <= 2 and copies[-1] - copies[0] <= 1
-        if len(copies) == 2:
-            assert max(r.u for r in mine if r.copies == copies[1]) < min(r.u for r in mine if r.copies == copies[0])
-        assert abs(sum(r.copies * r["size"] for r in mine) - mine[0].target) <= 13 / 2 + 1e-6
+        sure = int(mine[0].target / mine[0].source_size + 1e-12)
+        p = spread({r.doc_id: r["size"] for r in mine}, mine[0].target - sure * mine[0].source_size)
+        assert {r.doc_id: r.expected for r in mine} == pytest.approx({i: sure + x for i, x in p.items()})
+        assert all(r.copies == sure + 1 for r in mine if p[r.doc_id] == 1)
+        rank = {r.doc_id: (r.u / (1 - r.u)) / (p[r.doc_id] / (1 - p[r.doc_id])) for r in mine if p[r.doc_id] < 1}
+        drawn = [rank[r.doc_id] for r in mine if r.doc_id in rank and r.copies > sure]
+        others = [rank[r.doc_id] for r in mine if r.doc_id in rank and r.copies == sure]
+        assert not drawn or not others or max(drawn) < min(others)
+        assert abs(sum(r.copies * r["size"] for r in mine) - mine[0].target) <= max(r["size"] for r in mine if p[r.doc_id] < 1) / 2 + 1e-6
+    assert any(len({round(r.expected, 6) for r in got if r.source == s}) > 5 for s in "ab")  # unequal
+
+
+def test_documents_are_included_as_often_as_expected(spark):
+    """The same 60 documents in 500 sources, each with draws of its own."""
+    words = {i: 1 + (i * i) % 97 + 900 * (i == 11) for i in range(60)}
+    df = draws(spark.range(500 * 60).select(F.col("id").alias("doc_id"), F.format_string("s%03d", F.floor(F.col("id") / 60)).alias("source"), (F.col("id") % 60).alias("k")))
+    size = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    df = df.withColumn("size", size[F.col("k").cast("int")].cast("long"))
+    got = mixing.allocate(df, weights=(1,), share=0.45).groupBy("k").agg(F.avg("copies").alias("mean"), F.first("expected").alias("expected")).collect()
+    p = spread(words, 0.45 * sum(words.values()))
+    assert {r.k: r.expected for r in got} == pytest.approx(p) and p[11] == 1 and min(p.values()) < 0.1 < 0.3 < sorted(p.values())[-2]
+    for r in got:  # four standard errors, and the little that a fixed size takes from the stated probabilities
+        assert abs(r["mean"] - r.expected) <= 4 * (max(r.expected * (1 - r.expected), 0.01) / 500) ** 0.5 + 0.02, (r, words[r.k])
 
 
 def test_many_buckets_give_the_same_sample(spark, monkeypatch):
-    docs = [(i, 1, "ab"[i % 5 == 0], 1 + i % 17) for i in range(3000)]
-    df = spark.createDataFrame(docs, "doc_id long, rep long, source string, size long")
+    docs = [(i, "ab"[i % 5 == 0], 1 + i % 17) for i in range(3000)]
+    df = draws(spark.createDataFrame(docs, "doc_id long, source string, size long"))
     want = {(r.doc_id, r.copies) for r in mixing.allocate(df).collect()}
     monkeypatch.setattr(mixing, "BUCKET_DOCS", 50)
     assert {(r.doc_id, r.copies) for r in mixing.allocate(df).collect()} == want
@@ -91,4 +126,10 @@ def test_rows(spark):
     for r in s.collect():
         out[r.doc_id] += 1
     assert {k: v for k, v in by.items() if v} == dict(out)
+    texts = defaultdict(set)
+    for r in s.collect():
+        texts[r.doc_id].add(r.text)
+    assert texts[4] <= {"x y", "z"} and all(r.copies == {"x y": 3, "z": 4}[r.text] for r in s.collect() if r.doc_id == 4)
+    clash = df.withColumn("_mix_id", F.lit(1)).withColumn("_MIX_rows", F.create_map(F.lit("a"), F.lit(1))).withColumn("bits", F.lit("x"))
+    assert mixing.sample(clash).columns == clash.columns and mixing.sample(clash).count() == s.count()
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.sample(df.limit(0)).count() == 0
