@@ -23,16 +23,17 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import ship
+from ..storage import materialize, ship
 from .common import BATCH_BYTES, slices
 
 #: Fixed values of the format.
 VERSION, CRLF = "WARC/1.1", "\r\n"
 #: Payloads of fewer bytes are always written whole.
 LEAST_REVISIT = 1_000
+#: What the heads of a capture's three records take, about.
+HEAD_BYTES = 1_500
 RECORD = (
     "file string, record_id string, record_type string, uri string, date string, concurrent_to string, refers_to string, "
     "payload_digest string, content_type string, content_length long, http_headers string, payload_bytes long, payload_sha1 string, fields map<string,string>, payload binary"
@@ -72,6 +73,8 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
 def write(df: DataFrame, out: str, *, key: str, uri: str, payload: str, date: str = "2024-01-01T00:00:00Z", least: int = LEAST_REVISIT, file_bytes: int = 32 << 20, compression: str = "gzip") -> None:
     """Write each row of ``df`` as a capture to the folder ``out``, gzipped by file or ``none``.
 
+    Files have about ``file_bytes`` before compression.
+
     Of captures with equal payloads of at least ``least`` bytes, that with the greatest key is a response and the others are
     revisits of it.
     """
@@ -79,9 +82,13 @@ def write(df: DataFrame, out: str, *, key: str, uri: str, payload: str, date: st
     ship(spark)
     pages = df.select(F.col(key).alias("key"), F.col(uri).alias("uri"), F.coalesce(payload, F.lit("")).alias("html"))
     pages = pages.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    again = revisits(pages.select("key", "sha1", "size", "uri"), "key", "sha1", "size", "uri", least=least)
-    p = pages.join(again, (pages.key == again._key) & (pages.sha1 == again._digest), "left").drop("_key", "_digest")
-    p = p.withColumn("copies", F.count("*").over(W.partitionBy("key", "sha1", "uri")))
+    narrow = materialize(pages.select("key", "sha1", "size", "uri"), "warc-digests")
+    again = revisits(narrow, "key", "sha1", "size", "uri", least=least)
+    # what there is to say of a capture but its payload, for those of which there is something; a short list leaves the payloads where they are
+    same = narrow.groupBy("key", "sha1", "uri").agg(F.count("*").alias("copies"))
+    notes = same.join(again, (same.key == again._key) & (same.sha1 == again._digest), "left").drop("_key", "_digest")
+    notes = materialize(notes.where("copies > 1 or original is not null"), "warc-notes").withColumnsRenamed({"key": "_key", "sha1": "_digest", "uri": "_uri"})
+    p = pages.join(notes, pages.key.eqNullSafe(notes._key) & (pages.sha1 == notes._digest) & pages.uri.eqNullSafe(notes._uri), "left").drop("_key", "_digest", "_uri")
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("none"))
     own = lambda kind, k="key", u="uri": uuid_of(F.lit(kind), part(k), F.col("sha1"), part(u))
     url = F.regexp_replace(F.coalesce("uri", F.lit("")), r"[\r\n]+", " ")
@@ -104,10 +111,12 @@ def write(df: DataFrame, out: str, *, key: str, uri: str, payload: str, date: st
     )
     metadata = _record(
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", own("metadata")), *common, ("WARC-Concurrent-To", own("response")), ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("key: "), F.coalesce(F.col("key").cast("string"), F.lit("")), F.when(~whole, F.concat(F.lit("\r\nrefersToKey: "), F.col("original").cast("string"))).otherwise(F.lit("")), F.when(F.col("copies") > 1, F.concat(F.lit("\r\ncopies: "), F.col("copies").cast("string"))).otherwise(F.lit("")), F.lit(CRLF)),
+        F.concat_ws("", *[F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), c.cast("string"), F.lit(CRLF))) for name, c in (("key", F.col("key")), ("refersToKey", F.col("original")), ("copies", F.when(F.col("copies") > 1, F.col("copies"))))]),
     )
     records = p.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    per_file = max(1, int(3 * file_bytes / 6_000))
+    # a task's rows are a mixture, so files of so many records are of about the size asked for
+    mean = narrow.agg(F.avg("size")).first()[0] or 0.0
+    per_file = max(3, int(3 * file_bytes / (mean + HEAD_BYTES)))
     records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", compression).text(out)
 
 
