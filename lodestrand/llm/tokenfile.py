@@ -162,9 +162,21 @@ class WordIds:
 
     Where a text is Latin and holds no special token, lower case and a full stop
     or comma set apart from its word change no id, and make runs meet more often.
+
+    All of this holds for tokenizers with the normalizer, pre-tokenizer and model
+    below; texts go whole to the library if the file has others.
     """
 
     MEMO, RUN, JOINED = 350_000, 48, 4_000
+    #: What the tokenizer's file must say.
+    NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already fill the cores
@@ -174,6 +186,11 @@ class WordIds:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.memo: dict[str, bytes] = {}
+        told = json.loads(self.lib.to_str())
+        self.by_word = (
+            told["normalizer"] == self.NORMAL and told["pre_tokenizer"] == self.SPLIT and told["post_processor"] is None
+            and told["model"]["type"] == "BPE" and not told["model"].get("dropout") and all(t["content"].startswith("<") and t["special"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in told["added_tokens"])
+        )
 
     def _runs(self, text: str) -> list[str]:
         if "<" not in text and _LATIN(text):
@@ -198,6 +215,8 @@ class WordIds:
             put(zip(part, [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            return [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         split = [self._runs(t) for t in texts]
         new = set().union(*split).difference(self.memo)
         if new:
@@ -216,8 +235,8 @@ class WordIds:
 
 #: Of these characters lower case and class are the same in all Unicode versions, and none combine.
 _LATIN = re.compile("[\x00-\u024f]*+").fullmatch
-#: A full stop or comma after a sign, which belongs to one word with it.
-_DOUBLED = re.compile("[^\\sa-z0-9\u00df-\u00f6\u00f8-\u024f][.,](?=\\s)").search
+#: A full stop or comma after a sign, which belongs to one word with it; the white space is the tokenizer's, which has no U+001C to U+001F.
+_DOUBLED = re.compile("[^ \t-\r\u0085\u00a0a-z0-9\u00df-\u00f6\u00f8-\u024f][.,](?=[ \t-\r])").search
 _word_ids: dict[str, WordIds] = {}
 
 
@@ -243,7 +262,8 @@ def write(df: DataFrame, out: str, *, path: str, end_id: int, doc_id: str = "doc
     width = 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     d = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = max(1, min(MOST_FILES, -(-d.count() // file_docs)))
-    ordered = d.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    # a frequent id, or none, is dealt over several ranges by the hash
+    ordered = d.repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
 
     def run(batches):
         enc, w, seen = word_ids(path), FileWriter(width, kind), False

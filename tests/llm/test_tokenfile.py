@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -51,6 +52,27 @@ def test_ids_equal_the_library(library):
     assert len(enc.memo) <= 3000
 
 
+def test_ids_equal_the_library_beside_control_characters(library):
+    rng = random.Random(9)
+    odd = [chr(c) for c in (*range(0x20), 0x7F, 0x85, 0xA0, 0xAA, 0xB2, 0xD7, 0x130, 0x2028)]
+    usual = list("aB1'.,.,-  \n") + ["'s", "n't", " . ", ", ", ". "]
+    texts = ["".join(rng.choice(odd if rng.random() < 0.35 else usual) for _ in range(rng.randrange(1, 24))) for _ in range(20_000)]
+    enc = tokenfile.WordIds(PATH)
+    assert enc.by_word
+    for k in range(0, len(texts), 2_000):
+        want = library.encode_batch(texts[k : k + 2_000], add_special_tokens=False)
+        for t, ids, e in zip(texts[k : k + 2_000], enc(texts[k : k + 2_000]), want):
+            assert ids.tolist() == e.ids, repr(t)
+    assert enc(["a\x1c. b"])[0].tolist() == [320, 216, 269, 321]
+
+
+def test_another_tokenizer_gets_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, enc = Tokenizer.from_file(path), tokenfile.WordIds(path)
+    texts = ["Some words, here. And THERE", "", " x\n\ty "]
+    assert not enc.by_word and [i.tolist() for i in enc(texts)] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_query_against_the_library(spark, sf_dir, library, oracle):
     got = {r.doc_id: r for r in queries.op7_tokenfile(spark, sf_dir).collect()}
     start = 0
@@ -72,6 +94,11 @@ def test_rows(spark, tmp_path):
         assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
         for r in got:
             assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens
+    many = spark.createDataFrame([(None if i % 3 else i, f"t{i}") for i in range(400)], "doc_id long, text string")
+    tokenfile.write(many, f"{tmp_path}/many", path=PATH, end_id=1, file_docs=20)
+    got = tokenfile.read(spark, f"{tmp_path}/many").orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 266 + list(range(0, 400, 3))
+    assert max(Counter(r.file for r in got if r.doc_id is None).values()) < 100
     tokenfile.write(df.limit(0), f"{tmp_path}/none", path=PATH, end_id=1)
     assert tokenfile.read(spark, f"{tmp_path}/none").count() == 0
 
