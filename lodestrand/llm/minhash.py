@@ -103,63 +103,56 @@ def with_next(df: DataFrame, fn, added: str, doc_id: str = "doc_id", text: str =
     driver and the tasks hold one id for each range, MOST_RANGES at most.
 
     Rows of one id are in the order of their text's hash.  A null id has no place
-    in the order: its next is the first document.  Returns doc_id and the columns
-    ``added``, which ``fn`` gives as a tuple.
+    in the order: its next is the first document, whose one text goes to all tasks
+    that read rows without id.  Returns doc_id and the columns ``added``, which
+    ``fn`` gives as a tuple.
     """
     spark = df.sparkSession
     ship(spark)
     d = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out_type = T._parse_datatype_string(f"doc_id long, {added}")
-    n = d.where("doc_id is not null").count()
+    n, nulls = d.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     if not n:
         return _alone(d, fn, out_type, "")
+    unplaced, d = d.where("doc_id is null"), d.where("doc_id is not null")
     ranges = max(1, min(MOST_RANGES, -(-n // RANGE_DOCS)))
     quantiles = d.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], max(1e-5, 0.1 / ranges)) if ranges > 1 else []
     cuts = np.unique(np.array(quantiles, np.int64))
 
     def place(ids: pa.Array) -> np.ndarray:
-        """Ranges count from the top; null ids have one of their own, -1."""
-        at = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), "left")
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, at)
+        """Ranges count from the top."""
+        return len(cuts) - np.searchsorted(cuts, ids.to_numpy(zero_copy_only=False), "left")
 
     def tops(batches):
         for b in batches:
             at, ids = place(b.column(0)), b.column(0).to_numpy(zero_copy_only=False)
-            known = np.unique(at[at >= 0])
+            known = np.unique(at)
             yield pa.RecordBatch.from_pydict({"range": pa.array(known, pa.int64()), "top": pa.array([int(ids[at == r].max()) for r in known], pa.int64())})
 
     found = d.select("doc_id").mapInArrow(tops, "range long, top long").groupBy("range").agg(F.max("top").alias("top")).orderBy("range").collect()
     full = [r.range for r in found]
-    # the first text of a range is also wanted at the end of the range before, and the very first by null ids
-    wanted = {r.top: [full[i - 1]] for i, r in enumerate(found)}
-    wanted[found[0].top] = [full[-1], -1]
+    # the first text of a range is also wanted at the end of the range before
+    wanted = {r.top: full[i - 1] for i, r in enumerate(found)}
 
     def deal(batches):
         names = ["doc_id", "text", "range", "extra"]
         for b in (x for batch in batches for x in slices(batch)):
             at = place(b.column(0))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int64()), pa.array(np.zeros(len(at), bool))], names=names)
-            copies = [(k, r) for k, i in enumerate(b.column(0).to_pylist()) for r in wanted.get(i, ())]
+            copies = [(k, wanted[i]) for k, i in enumerate(b.column(0).to_pylist()) if i in wanted]
             if copies:
                 c = b.take(pa.array([k for k, _ in copies]))
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([r for _, r in copies], pa.int64()), pa.array([True] * len(copies))], names=names)
 
     dealt = d.mapInArrow(deal, "doc_id long, text string, range long, extra boolean")
-    late = F.col("extra") != (F.col("range") == -1)  # null ids need the extra text before them, the others after
     parts = max(1, min(len(full), n // (4 * RANGE_DOCS)))  # several small ranges to a task, to even them out
-    dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", late, F.desc("doc_id"), F.xxhash64("text"))
+    dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "extra", F.desc("doc_id"), F.xxhash64("text"))
 
     def run(batches):
-        held, over, head, rows = None, None, None, []
+        held, over, rows = None, None, []
         for b in (x for batch in batches for x in slices(batch)):
             for i, t, r, extra in zip(*(c.to_pylist() for c in b.columns)):
                 t = t or ""
-                if r == -1:
-                    if extra:
-                        head = t if head is None else head
-                    else:
-                        rows.append((i, *fn(t, head)))
-                    continue
                 if extra and over == r:
                     continue
                 if held is not None:
@@ -168,7 +161,11 @@ def with_next(df: DataFrame, fn, added: str, doc_id: str = "doc_id", text: str =
             yield _batch(rows, out_type)
             rows = []
 
-    return dealt.mapInArrow(run, out_type)
+    placed = dealt.mapInArrow(run, out_type)
+    if not nulls:
+        return placed
+    head = d.where(F.col("doc_id") == found[0].top).orderBy(F.xxhash64("text")).select("text").first().text or ""
+    return placed.unionByName(_alone(unplaced, fn, out_type, head))
 
 
 def _batch(rows: list[tuple], kind: T.StructType) -> pa.RecordBatch:
@@ -177,7 +174,7 @@ def _batch(rows: list[tuple], kind: T.StructType) -> pa.RecordBatch:
 
 
 def _alone(d: DataFrame, fn, kind: T.StructType, following: str) -> DataFrame:
-    """For a table without ids: no document has a next."""
+    """Rows without id, each followed by the same text."""
 
     def run(batches):
         for b in (x for batch in batches for x in slices(batch)):
