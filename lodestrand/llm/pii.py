@@ -40,7 +40,7 @@ DIGIT_WORDS = dict(
 INVISIBLE = "­​‌‍‎‏⁠﻿"
 
 _DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
-_AT_WORDS = ("at", "@", "a", "ät", "arroba", "arobase", "chez")
+_AT_WORDS = ("at", "@", "ät", "arroba", "arobase", "chez")
 _AT, _DOT = "(?:" + "|".join(_AT_WORDS) + ")", r"(?:dot|\.|punkt|punto|point|period)"
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -54,16 +54,25 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _CHAR = re.compile(f"[{INVISIBLE}²³¹]|[^\\x00-\\u024f]")
 #: Ends of domains by which a spoken "at" is told from the preposition.
 _ENDS = "(?:com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|eu|uk|us|de|fr|es|it|nl|be|ch|at|pl|pt|se|no|dk|fi|ru|cn|jp|in|br|mx|ca|au|nz|za)"
-_BRACKETED = re.compile(rf"(?<!\s)\s*{_OPEN}\s*({_AT}|{_DOT})\s*{_SHUT}\s*", re.I)
+_SPOKEN_DOT = r"[ \t]+(?:dot|punkt|punto|point|\.)[ \t]+"
+_ANY_DOT = rf"(?:\.|{_SPOKEN_DOT}|[ \t]*{_OPEN}[ \t]*{_DOT}[ \t]*{_SHUT}[ \t]*)"
+_DOMAIN_AHEAD = rf"(?=[A-Za-z0-9-]+(?:{_ANY_DOT}[A-Za-z0-9-]+){{0,6}}{_ANY_DOT}{_ENDS}\b)"
+_BRACKETED = re.compile(rf"(?<!\s)\s*{_OPEN}\s*(?:({_AT})\s*{_SHUT}\s*{_DOMAIN_AHEAD}|{_DOT}\s*{_SHUT}\s*)", re.I)
 _BRACKET_HINT = re.compile(rf"{_OPEN}\s*(?:{_AT}|{_DOT})\s*{_SHUT}", re.I)
 _ESCAPED = re.compile(r"&#0*64;|&#x0*40;|&commat;|%40|(&#0*46;|&#x0*2e;|&period;)", re.I)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9.])(?:([Oo])|[Il])(?=[0-9.])")
-_SPOKEN_DOT = r"[ \t]+(?:dot|punkt|punto|point|\.)[ \t]+"
+#: Words after which a spoken "at" is the preposition.
+_BEFORE_AT = frozenset(
+    "a all am an and are around arrive arrived available back be been being book both buy call chat check come contact download early employed end even found free get go guest had has have he her here him hosted hours i image in info information is it join just "
+    "late learn least link listed live located look looked looking looks me meet meeting met more no not now of offered office on one online only or order out page photo picture posted published read register registered seen server she shop shown sign site sold staff start started "
+    "starting starts still store stay story submit subscribe support talk that the them there they this time tickets to up us version video visit was watch we website well went were while work worked working works write yes you".split()
+)
 _SPOKEN = re.compile(
-    rf"(?<=[A-Za-z0-9])(?:[ \t]+(at|arroba|arobase)[ \t]+|[ \t]+(@)[ \t]*|(@)[ \t]+)(?=[A-Za-z0-9-]+(?:(?:\.|{_SPOKEN_DOT})[A-Za-z0-9-]+){{0,6}}(?:\.|{_SPOKEN_DOT}){_ENDS}\b)|(?<=[A-Za-z0-9])[ \t]+(?:dot|punkt|punto|point)[ \t]+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[ \t]+\.[ \t]+(?={_ENDS}\b)", re.I
+    rf"(?<=[A-Za-z0-9])(?:[ \t]+(at|arroba|arobase)[ \t]+|[ \t]+(@)[ \t]*|(@)[ \t]+){_DOMAIN_AHEAD}|(?<=[A-Za-z0-9])[ \t]+(?:dot|punkt|punto|point)[ \t]+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[ \t]+\.[ \t]+(?={_ENDS}\b)", re.I
 )
+_LAST_WORD = re.compile(r"[A-Za-z0-9]+\Z")
 #: Hints: each is found wherever its transducer changes something.
-_SPOKEN_HINT = re.compile(rf"[ \t]@|@[ \t]|[ \t](?:dot|punkt|punto|point)[ \t]|[ \t]\.[ \t]+{_ENDS}\b|[ \t](?:at|arroba|arobase)[ \t]+[A-Za-z0-9-]+[ \t]*\.", re.I)
+_SPOKEN_HINT = re.compile(rf"[ \t]@|@[ \t]|[ \t](?:dot|punkt|punto|point)[ \t]|[ \t]\.[ \t]+{_ENDS}\b|[ \t](?:at|arroba|arobase)[ \t]+[A-Za-z0-9-]+[ \t]*[.\[({{<]", re.I)
 _SPELLED_HINT = re.compile(rf"\bplus[ ,-]+{_DIGIT}\b|\b{_DIGIT}\b[ ,-]+(?:{_DIGIT}\b|[0-9])", re.I)
 _SPELLED = re.compile(rf"(?:\bplus[ ,-]+(?={_DIGIT}\b))?\b{_DIGIT}\b(?:[ ,-]+(?:{_DIGIT}|[0-9]+)\b)*", re.I)
 _SPELLED_PART = re.compile(r"plus|[^\W\d_]+|[0-9]", re.I)
@@ -178,8 +187,10 @@ def _plain_char(m: re.Match) -> list[tuple[str, int, int]] | None:
     return None if new is None else [(new, m.start(), m.end())]
 
 
-def _sign(m: re.Match) -> list[tuple[str, int, int]]:
+def _sign(m: re.Match) -> list[tuple[str, int, int]] | None:
     word = next((g for g in m.groups() if g), ".")
+    if word.lower() == "at" and m.re is _SPOKEN and _LAST_WORD.search(m.string, max(0, m.start() - 30), m.start()).group().lower() in _BEFORE_AT:
+        return None
     return [("@" if word.lower() in _AT_WORDS else ".", m.start(), m.end())]
 
 

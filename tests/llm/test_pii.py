@@ -68,6 +68,73 @@ def test_plain_prose_is_left_alone(text):
     assert pii.spans(text) == []
 
 
+PROSE = """Option (a) e.g. this
+Exhibit (a) No.5 shows
+see clause (a) example.com
+Look {at} U.S.A.
+Item (a) v2.0
+He works at example.com since May
+The tickets are sold at example.org only
+Look at example.com for more
+More information is available at www.example.net
+They met at 10.30 at the station.
+We stayed at no. 5, at home
+Read it at home. In winter it is cold
+She laughed at it. It was a joke
+He is at peace. Me too
+Prices start at 5.99 in the shop
+The point at issue. De facto it was over
+Section (b) i.e. the second
+Clause [a] cf. example
+The variables (x) and {y} are at rest.
+Come at six dot com was not a word then
+A period. At last it rained
+We looked at index.html and at main.py
+Version 2.0 (a) beta.info
+The dot at the end. Com is no word
+Put a dot (.) at the end
+A full stop (period) ends it
+An array [at] the end of a list
+The at sign (@) is found in mail
+He paid 4.50 @ the bar. Us too
+Two @ 3.99 in total
+Follow us @ noon. In time
+Point (at) infinity and beyond
+Score 3 - 2 at half time. No goals
+One two three four, here we go
+Twelve minus one is eleven, plus one is twelve
+Plus one more, and one for you
+Seven or eight of the nine came
+Dial nine for an outside line, one two three
+Room 101 at level 3.2 is at the back
+Chapters 1.2 and 3.4 at most
+Figure 1.2.3 (at) the top
+The ratio is 1:2, 3:4 at best
+On 12.11.2020 at 8.15 we left
+It rose by 10 % at once. To us it was nothing
+ISBN 0-306-40615-3 is a book
+Order 12345 at once; order 67890 later
+In 1999 at least 2000 came, in 2001 3000
+A + b at c. De minimis
+It is +5 degrees at noon
+The sum 1 + 2 + 3 is 6 at last
+Temperatures of +12 to +15 at night
+Look around at it. There is nobody
+Go back at once. It is late
+She arrived at Io. Jupiter was near
+He aimed at me. In vain
+We arrived at St. Mary at nine""".splitlines()
+
+
+@pytest.mark.parametrize("text", PROSE)
+def test_more_plain_prose_has_no_span(text):
+    assert [(k, text[a:b]) for a, b, k, _ in pii.spans(text)] == []
+
+
+def test_prose_joined_to_one_text_has_no_span():
+    assert len(PROSE) >= 55 and pii.spans("\n".join(PROSE)) == []
+
+
 def test_tape_offsets_point_at_what_was_rewritten():
     text = "ａ b​ [at] c five six seven eight"
     tape = pii.normalise(text)
