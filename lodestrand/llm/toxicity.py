@@ -1,21 +1,23 @@
 """Toxicity scores by weak supervision.
 
-Voters: a fixed lexicon, pattern voters, and stems (word beginnings) that set
-toxic rows apart, mined from labelled rows.  Each votes toxic, harmless or
-abstains.  A generative label model estimates how often each voter votes in
-either class, by expectation maximisation over all rows that may teach, labelled
-or not, and which voters correlate within a class; correlated voters share their
-weight.  Its posterior is the label on which a linear classifier over the votes
-is trained.
-
-What a task or the driver holds is bounded: stems are counted in slices of the
-labelled rows, of which ``mine_rows`` are used at most (only these rows' ids are
-broadcast), the moments are two square tables of voters, and the linear
-classifier is fitted on at most ``fit_rows`` vote patterns.
+Voters: a fixed lexicon, pattern voters, stems (word beginnings) that set toxic
+rows apart, mined from labelled rows, and the label itself, which most rows lack.
+A generative label model says how a row's class makes the voters vote: each voter
+depends on the class and on one other voter, the one it agrees with most within
+the classes, so the voters form a tree and correlated ones add little to each
+other.  Expectation maximisation over all rows that may teach, labelled or not,
+estimates the accuracies and correlations of all voters in both classes, and the
+accuracy of labels with them.  Its posterior is the label on which a linear
+classifier over the votes is trained; a row's given label is evidence of it, no
+more.
+
+Only mining stems uses a bounded sample: ``mine_rows`` labelled rows at most.
+Label model and classifier are fitted to all rows by sums over vote patterns that
+Spark adds up; the driver holds square tables of voters.
 
 Rows: a null or empty text has no votes and gets the score of the intercept.
-Repeated rows get equal scores.  Other columns pass through.  Without labels of
-both classes only the fixed voters vote.
+Repeated rows get equal scores.  Other columns pass through.  Without labels the
+fixed voters teach each other.
 """
 
 from __future__ import annotations
@@ -61,8 +63,8 @@ class Model:
     stems: list[str] = field(default_factory=list)
     weights: np.ndarray | None = None
     intercept: float = 0.0
-    accuracy: dict[str, tuple[float, float]] = field(default_factory=dict)
-    share: dict[str, float] = field(default_factory=dict)  # what correlation leaves of a voter's weight
+    accuracy: dict[str, tuple[float, float]] = field(default_factory=dict)  # P(votes | toxic), P(silent | harmless)
+    leans_on: dict[str, str] = field(default_factory=dict)  # the voter that one depends on
 
     @property
     def voters(self) -> list[str]:
@@ -192,16 +194,19 @@ def mine(labelled: DataFrame, text: str, toxic: str, *, at_most: int = 60, round
     return list(dict.fromkeys(lexicon)), list(dict.fromkeys(chosen)), *first
 
 
-def patterns(df: DataFrame, text: str, label: str, lexicon: list[str], stems: list[str]) -> DataFrame:
-    """(votes, label, n): the rows of ``df`` by packed votes and label, which may be null."""
+def patterns(docs: DataFrame, known: DataFrame, lexicon: list[str], stems: list[str]) -> DataFrame:
+    """(votes, label, n): rows (doc_id, text) by packed votes and the label of ``known`` (l_id, toxic), which may be null.
+
+    Texts stay where they are; votes are joined with labels.
+    """
 
     def vote(batches):
         f = Featurizer(lexicon, stems)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(f(t or "")).tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1)], names=["votes", "label"])
+        for b in (part for batch in batches for part in slices(batch)):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.packbits(f(t or "")).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "votes"])
 
-    cast = df.select(F.col(text), F.col(label).cast("int"))
-    return cast.mapInArrow(vote, "votes binary, label int").groupBy("votes", "label").agg(F.count("*").alias("n"))
+    voted = docs.select("doc_id", "text").mapInArrow(vote, "id long, votes binary")
+    return voted.join(known, voted.id == known.l_id, "left").groupBy("votes", F.col("toxic").alias("label")).agg(F.count("*").alias("n"))
 
 
 def unpacked(votes: list[bytes], width: int) -> np.ndarray:
@@ -210,128 +215,173 @@ def unpacked(votes: list[bytes], width: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(votes), np.uint8).reshape(len(votes), -1), axis=1)[:, :width].astype(float)
 
 
-def class_moments(pats: DataFrame, width: int, rates: tuple | None, weight: float) -> np.ndarray:
-    """Sums of v v' for harmless and toxic rows, v the votes with a 1 in front.
-
-    Labelled rows count for their class, others by their posterior under
-    ``rates`` times ``weight``; without rates they are left out.
-    """
+@dataclass
+class LabelModel:
+    toxic: np.ndarray  # P(votes | toxic) of each voter
+    other: np.ndarray  # P(votes | harmless)
+    parent: np.ndarray  # the voter that each depends on; -1: none
+    given: np.ndarray  # P(votes | class, parent silent or voting): classes x 2 x voters
+    told: np.ndarray  # P(label is toxic | class) of labelled rows
+    balance: float  # P(toxic)
+
+    def posterior(self, votes: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+        """P(toxic | votes, label); nan: no label."""
+        leads = np.where(self.parent >= 0, votes[:, self.parent], 0) > 0
+        no, yes = (np.where(leads, self.given[c, 1], self.given[c, 0]) for c in (0, 1))
+        z = np.where(votes > 0, np.log(yes / no), np.log((1 - yes) / (1 - no))).sum(1) + math.log(self.balance / (1 - self.balance))
+        if label is not None:
+            said = np.where(label > 0, math.log(self.told[1] / self.told[0]), math.log((1 - self.told[1]) / (1 - self.told[0])))
+            z = z + np.where(np.isnan(label), 0, said)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def first_guess(width: int) -> LabelModel:
+    """Before anything is known: a toxic row has a few votes, another one hardly any, and labels are nearly always right."""
+    toxic = np.full(width, min(0.3, 6 / max(1, width)))
+    other = toxic / 30
+    return LabelModel(toxic, other, np.full(width, -1), np.stack([np.stack([r, r]) for r in (other, toxic)]), np.array([0.01, 0.97]), 0.05)
+
+
+def summed(pats: DataFrame, table, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of ``table(votes, label, n)`` over all vote patterns; tasks' tables are added up by Spark."""
 
     def add(batches):
-        total = np.zeros((2, width + 1, width + 1))
+        total = np.zeros(shape)
         for b in batches:
-            v = unpacked(b.column(0).to_pylist(), width)
-            y = np.array([np.nan if x is None else float(x > 0) for x in b.column(1).to_pylist()])
-            n = b.column(2).to_numpy().astype(float)
-            if rates is None:
-                n, y = np.where(np.isnan(y), 0, n), np.nan_to_num(y)
-            else:
-                n, y = np.where(np.isnan(y), weight * n, n), np.where(np.isnan(y), posterior(v, *rates), y)
-            v = np.hstack([np.ones((len(v), 1)), v])
-            for c, share in ((0, n * (1 - y)), (1, n * y)):
-                total[c] += (v * share[:, None]).T @ v
-        c, i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"c": c, "i": i, "j": j, "s": total[c, i, j]})
-
-    out = np.zeros((2, width + 1, width + 1))
-    for r in pats.select("votes", "label", "n").mapInArrow(add, "c long, i long, j long, s double").groupBy("c", "i", "j").agg(F.sum("s").alias("s")).collect():
-        out[r.c, r.i, r.j] = r.s
+            label = np.array([np.nan if x is None else float(x > 0) for x in b.column(1).to_pylist()])
+            total += table(b.column(0).to_pylist(), label, b.column(2).to_numpy().astype(float))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": at, "s": total.ravel()[at]})
+
+    out = np.zeros(shape)
+    got = pats.select("votes", "label", "n").mapInArrow(add, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).toPandas()
+    out.ravel()[got["at"].to_numpy()] = got["s"].to_numpy()
     return out
 
 
-def label_model(pats: DataFrame, width: int, *, rounds: int = 4, weight: float = UNLABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(P(vote | toxic), P(vote | harmless), discount, P(toxic)).
+def class_moments(pats: DataFrame, width: int, model: LabelModel, weight: float) -> np.ndarray:
+    """Sums of v v' by class, v being 1, the votes, label is toxic, label is harmless.
+
+    Rows count for both classes by the posterior, those without label ``weight`` times.
+    """
+
+    def table(votes, label, n):
+        x = unpacked(votes, width)
+        y = model.posterior(x, label)
+        n = np.where(np.isnan(label), weight * n, n)
+        v = np.hstack([np.ones((len(x), 1)), x, (label == 1)[:, None], (label == 0)[:, None]])
+        return np.stack([(v * share[:, None]).T @ v for share in (n * (1 - y), n * y)])
+
+    return summed(pats, table, (2, width + 3, width + 3))
+
+
+def leading(both: np.ndarray, ones: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each voter the one it depends on: the tree of the most information about each other within the classes.
+
+    ``both`` and ``ones`` count votes of two and of one voter by class, ``n``
+    rows.  Links that chance could explain are left out.
+    """
+    width = ones.shape[1]
+    info = np.zeros((width, width))
+    for c in (0, 1):
+        if n[c] <= 0:
+            continue
+        p, q = both[c] / n[c], ones[c] / n[c]
+        for cell, a, b in ((p, q[:, None], q), (q[:, None] - p, q[:, None], 1 - q), (q - p, 1 - q[:, None], q), (1 - q[:, None] - q + p, 1 - q[:, None], 1 - q)):
+            ok = cell > 1e-12
+            info += n[c] * np.where(ok, cell * np.log(np.where(ok, cell, 1) / np.maximum(a * b, 1e-300)), 0)
+    parent, joined = np.full(width, -1), np.zeros(width, bool)
+    gain, via = np.full(width, -1.0), np.full(width, -1)
+    for _ in range(width):  # the next voter is the one that the tree so far says most about
+        k = int(np.where(joined, -2.0, gain).argmax())
+        parent[k] = via[k] if gain[k] > 10 else -1
+        joined[k] = True
+        nearer = info[k] > gain
+        gain, via = np.where(nearer, info[k], gain), np.where(nearer, k, via)
+    return parent
+
+
+def label_model(pats: DataFrame, width: int, *, rounds: int = 5, weight: float = UNLABELLED) -> LabelModel:
+    """The model that expectation maximisation finds, from the votes' agreement and the labels.
+
+    A voter's probabilities given its parent are drawn to its own where few rows
+    tell them.
+    """
+    model = guess = first_guess(width)
+    for _ in range(rounds):
+        m = class_moments(pats, width, model, weight)
+        n, ones, both = m[:, 0, 0], m[:, 0, 1 : width + 1], m[:, 1 : width + 1, 1 : width + 1]
+        if n.sum() <= 0:
+            break
+        rate = np.clip((ones + np.stack([guess.other, guess.toxic])) / (n[:, None] + 1), np.array([[1e-6], [1e-4]]), 1 - 1e-4)
+        parent = leading(both, ones, n)
+        at = np.arange(width)
+        with_, leads = both[:, at, parent], ones[:, parent]
+        given = np.stack([(ones - with_ + 4 * rate) / (n[:, None] - leads + 4), (with_ + 4 * rate) / (leads + 4)], axis=1)
+        given = np.clip(np.where(parent < 0, rate[:, None], given), 1e-6, 1 - 1e-4)
+        yes, no = m[:, 0, width + 1], m[:, 0, width + 2]
+        told = np.clip((yes + 20 * np.array([0.01, 0.97])) / (yes + no + 20), 1e-3, 1 - 1e-3)
+        new = LabelModel(rate[1], rate[0], parent, given, told, float(min(0.5, max(0.002, n[1] / n.sum()))))
+        settled = np.abs(new.toxic - model.toxic).max() < 1e-4
+        model = new
+        if settled:
+            break
+    return model
+
+
+def classifier(pats: DataFrame, width: int, model: LabelModel, *, rounds: int = 15, weight: float = UNLABELLED, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the logistic regression on the posterior labels of all rows, by Newton steps.
 
-    Expectation maximisation over the vote patterns of all teaching rows: the
-    labelled ones keep their class, the others have their posterior, at a lower
-    weight.  Two voters that agree within a class more than chance correlate;
-    a voter's evidence is divided by one plus its correlations, so a group of
-    voters that say the same counts about once.
+    Gradient and curvature are sums over the vote patterns, one Spark job a step.
     """
-    rates = None
-    for _ in range(1 + rounds):
-        m = class_moments(pats, width, rates, weight)
-        n = m[:, 0, 0]
-        if rates is None and not n[1]:
+    w = np.r_[np.zeros(width), math.log(model.balance / (1 - model.balance))]
+    pen = np.r_[np.full(width, penalty), 1e-9]
+
+    def table(votes, label, n):
+        x = unpacked(votes, width)
+        y = model.posterior(x, label)
+        n = np.where(np.isnan(label), weight * n, n)
+        x = np.hstack([x, np.ones((len(x), 1))])
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        curve = (x * (n * p * (1 - p))[:, None]).T @ x
+        return np.vstack([curve, x.T @ (n * (y - p)), np.r_[np.zeros(width), n.sum()]])
+
+    for _ in range(rounds):
+        t = summed(pats, table, (width + 3, width + 1))
+        total = t[-1, -1]
+        if total <= 0:
+            return np.zeros(width), -2.0
+        step = np.linalg.solve(t[:-2] / total + np.diag(pen + 1e-9), t[-2] / total - pen * w)
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-3:
             break
-        toxic, other = ((m[c, 0, 1:] + (0.5, 0.05)[1 - c]) / (n[c] + 1) for c in (1, 0))
-        p = m[1, 1:, 1:] / max(n[1], 1)
-        mean = m[1, 0, 1:] / max(n[1], 1)
-        sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
-        corr = (p - np.outer(mean, mean)) / np.outer(sd, sd)
-        corr[sd < 1e-4] = corr[:, sd < 1e-4] = 0
-        np.fill_diagonal(corr, 0)
-        discount = 1 / (1 + np.where(corr > 0.15, corr, 0).sum(axis=1))
-        share = min(0.5, max(0.002, n[1] / n.sum()))
-        nxt = (np.clip(toxic, 1e-4, 1 - 1e-4), np.clip(other, 1e-6, 1 - 1e-4), discount, share)
-        if rates is not None and np.abs(nxt[0] - rates[0]).max() < 1e-4:
-            return nxt
-        rates = nxt
-    if rates is None:  # no label of either class: trust the fixed voters alike
-        return np.full(width, 0.3), np.full(width, 0.002), np.full(width, 1.0), 0.05
-    return rates
-
-
-def posterior(votes: np.ndarray, toxic: np.ndarray, other: np.ndarray, discount: np.ndarray, balance: float) -> np.ndarray:
-    """P(toxic | votes); a voter that is silent counts as evidence only through the rates."""
-    yes, no = np.log(toxic / other), np.log((1 - toxic) / (1 - other))
-    z = votes @ (discount * yes) + (1 - votes) @ (discount * no) + math.log(balance / (1 - balance))
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", *, folds: int = 5, fit_rows: int = 20_000, mine_rows: int = 40_000) -> Model:
+    return w[:-1], float(w[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", *, folds: int = 5, mine_rows: int = 40_000) -> Model:
     """A model from the rows that may teach.
 
-    Labels are used of about ``mine_rows`` rows at most and the classifier is
-    fitted on about ``fit_rows`` vote patterns at most, both chosen by a hash; the
-    label model covers all teaching rows.
+    Stems are mined from about ``mine_rows`` labelled rows at most, chosen by a
+    hash; the label model and the classifier cover all teaching rows and all
+    their labels.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & may_teach(F.col("doc_id"), folds))
-    known = labels.select(F.col(doc_id).alias("l_id"), F.col(toxic).cast("int").alias("toxic")).where("l_id is not null and toxic is not null")
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & may_teach(F.col("doc_id"), folds))
+    known = labels.select(F.col(doc_id).cast("long").alias("l_id"), F.col(toxic).cast("int").alias("toxic")).where("l_id is not null and toxic is not null")
     known = known.groupBy("l_id").agg(F.max("toxic").alias("toxic")).where(may_teach(F.col("l_id"), folds))
     total = known.count()
     slot = F.shiftrightunsigned(F.xxhash64(F.lit(11), "l_id"), 33) / F.lit(float(1 << 31))
     some = known.where(slot < min(1.0, mine_rows / max(total, 1)))
-    lexicon, stems, n_pos, n_neg = mine(materialize(d.join(F.broadcast(some), d.doc_id == some.l_id).select("text", "toxic"), "toxicity-known"), "text", "toxic")
+    lexicon, stems, *_ = mine(materialize(d.join(F.broadcast(some), d.doc_id == some.l_id).select("text", "toxic"), "toxicity-known"), "text", "toxic")  # mine_rows ids at most
     model = Model(lexicon, stems)
     width = len(model.voters)
-    seen = d.join(F.broadcast(some), d.doc_id == some.l_id, "left")
-    pats = materialize(patterns(seen, "text", "toxic", lexicon, stems), "toxicity-votes")
-    t, o, discount, balance = label_model(pats, width)
-    model.accuracy = {v: (float(a), float(1 - b)) for v, a, b in zip(model.voters, t, o)}
-    model.share = dict(zip(model.voters, map(float, discount)))
-    # the classifier's patterns: those with a label, and a hash sample of the others
-    pick = F.shiftrightunsigned(F.xxhash64(F.lit(13), "votes"), 33) / F.lit(float(1 << 31))
-    kinds = pats.where("label is null").count()
-    packed = pats.where(F.col("label").isNotNull() | (pick < min(1.0, fit_rows / max(kinds, 1)))).collect()
-    x = unpacked([bytes(r.votes) for r in packed], width)
-    if not len(x):
-        model.weights, model.intercept = np.zeros(width), -2.0
-        return model
-    known_y = np.array([np.nan if r.label is None else float(r.label > 0) for r in packed])
-    c = np.array([r.n for r in packed], float) * np.where(np.isnan(known_y), UNLABELLED, 1)
-    # of a labelled row the posterior is its label
-    y = np.where(np.isnan(known_y), posterior(x, t, o, discount, balance), known_y)
-    model.weights, model.intercept = fit_weighted(x, y, c)
+    pats = materialize(patterns(d, known, lexicon, stems), "toxicity-votes")
+    truth = label_model(pats, width)
+    model.accuracy = {v: (float(a), float(1 - b)) for v, a, b in zip(model.voters, truth.toxic, truth.other)}
+    model.leans_on = {v: model.voters[p] for v, p in zip(model.voters, truth.parent) if p >= 0}
+    model.weights, model.intercept = classifier(pats, width, truth)
     return model
 
 
-def fit_weighted(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels ``y`` by Newton steps, each row counted ``c`` times."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w, n = np.zeros(x1.shape[1]), c.sum()
-    pen = np.full(len(w), 1e-3)
-    pen[-1] = 1e-9
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        h = (x1 * (c * p * (1 - p))[:, None]).T @ x1 / n + np.diag(pen + 1e-9)
-        step = np.linalg.solve(h, x1.T @ (c * (y - p)) / n - pen * w)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w[:-1], float(w[-1])
-
-
 def score(df: DataFrame, model: Model, text: str = "text", *, out: str = "score") -> DataFrame:
     """Append the classifier's probability that each whole text is toxic."""
     lexicon, stems, w, b = model.lexicon, model.stems, model.weights, model.intercept

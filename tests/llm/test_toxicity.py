@@ -44,31 +44,64 @@ def test_held_out_labels_are_never_read(spark):
     assert a.stems == b.stems and np.allclose(a.weights, b.weights) and a.intercept == b.intercept
 
 
-def test_correlated_voters_share_their_weight():
-    v = np.array([[1.0, 1.0], [0.0, 0.0]])
-    t, o = np.array([0.5, 0.5]), np.array([0.05, 0.05])
-    apart = toxicity.posterior(v, t, o, np.ones(2), 0.1)
-    together = toxicity.posterior(v, t, o, np.full(2, 0.5), 0.1)
-    one = toxicity.posterior(v[:, :1], t[:1], o[:1], np.ones(1), 0.1)
-    assert np.allclose(together, one) and apart[0] > together[0]
+def packed(votes, label):
+    return [(bytearray(np.packbits(v.astype(np.uint8)).tobytes()), t, 1) for v, t in zip(votes, label)]
 
 
-def test_label_model_finds_rates(spark):
+def test_label_model_finds_accuracies_and_correlations(spark):
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.2
+    y = rng.random(8000) < 0.2
     rates = [(0.7, 0.01), (0.4, 0.05), (0.4, 0.05)]
-    votes = np.stack([np.where(y, rng.random(4000) < a, rng.random(4000) < b) for a, b in rates], axis=1)
+    votes = np.stack([np.where(y, rng.random(8000) < a, rng.random(8000) < b) for a, b in rates], axis=1)
     votes = np.hstack([votes, votes[:, 2:3]])  # the last repeats the one before
-    rows = [(bytearray(np.packbits(v.astype(np.uint8)).tobytes()), int(t) if k % 4 == 0 else None, 1) for k, (v, t) in enumerate(zip(votes, y))]
-    toxic, other, discount, share = toxicity.label_model(spark.createDataFrame(rows, "votes binary, label int, n long"), 4)
-    assert np.allclose(toxic[:3], [0.7, 0.4, 0.4], atol=0.06) and np.allclose(other[:3], [0.01, 0.05, 0.05], atol=0.02)
-    assert discount[2] < 0.6 and discount[3] < 0.6 and discount[0] > 0.8 and abs(share - 0.2) < 0.03
-
-
-def test_query_shape(spark, sf_dir):
+    rows = packed(votes, [int(t) if k % 4 == 0 else None for k, t in enumerate(y)])
+    m = toxicity.label_model(spark.createDataFrame(rows, "votes binary, label int, n long"), 4)
+    assert np.allclose(m.toxic[:3], [0.7, 0.4, 0.4], atol=0.06) and np.allclose(m.other[:3], [0.01, 0.05, 0.05], atol=0.02)
+    assert abs(m.balance - 0.2) < 0.03 and m.told[1] > 0.9 and m.told[0] < 0.05
+    assert sorted(m.parent.tolist()) in ([-1, -1, -1, 2], [-1, -1, -1, 3]) and (m.parent[3] == 2 or m.parent[2] == 3)
+    # a voter that only repeats another adds next to nothing, an independent one does
+    p = m.posterior(np.array([[0, 0, 1, 1], [0, 1, 1, 1]], float))
+    odds = 0.2 / 0.8 * (0.3 / 0.99) * (0.6 / 0.95) * (0.4 / 0.05)
+    assert abs(p[0] - odds / (1 + odds)) < 0.08 and p[1] > p[0] + 0.2
+
+
+def test_a_label_is_evidence_and_may_be_overruled(spark):
+    """A few labels are wrong; what nine good voters say of such rows is believed."""
+    rng = np.random.default_rng(1)
+    y = rng.random(4000) < 0.3
+    votes = np.stack([np.where(y, rng.random(4000) < 0.8, rng.random(4000) < 0.05) for _ in range(9)], axis=1)
+    wrong = rng.random(4000) < 0.05
+    rows = packed(votes, (y ^ wrong).astype(int).tolist())
+    pats = spark.createDataFrame(rows, "votes binary, label int, n long")
+    m = toxicity.label_model(pats, 9)
+    assert 0.85 < m.told[1] < 0.99 and 0.01 < m.told[0] < 0.15
+    p = m.posterior(votes.astype(float), (y ^ wrong).astype(float))
+    assert np.mean((p > 0.5) == y) > 0.99
+    w, b = toxicity.classifier(pats, 9, m)
+    assert (w > 0.5).all() and np.mean((votes @ w + b > 0) == y) > 0.98
+
+
+def test_voters_teach_each_other_without_labels(spark):
+    rng = np.random.default_rng(2)
+    y = rng.random(6000) < 0.2
+    votes = np.stack([np.where(y, rng.random(6000) < a, rng.random(6000) < 0.03) for a in (0.8, 0.7, 0.6, 0.7)], axis=1)
+    m = toxicity.label_model(spark.createDataFrame(packed(votes, [None] * 6000), "votes binary, label int, n long"), 4, rounds=30)
+    assert np.allclose(m.toxic, [0.8, 0.7, 0.6, 0.7], atol=0.08) and (m.other < 0.08).all()
+
+
+def test_query_finds_held_out_toxic_documents(spark, sf_dir):
     rows = queries.op8_toxicity(spark, sf_dir).collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    _precision_and_recall(spark, "/root/testdata/sf0.1")
+
+
+def _precision_and_recall(spark, sf_dir):
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    got = [(r.predicted, label[r.doc_id]) for r in queries.op8_toxicity(spark, sf_dir).where("held_out").collect() if label.get(r.doc_id) is not None]
+    hit = sum(p and t for p, t in got)
+    assert sum(t for _, t in got) >= 20
+    assert hit >= 0.9 * sum(t for _, t in got) and hit >= 0.9 * sum(p for p, _ in got)
 
 
 def test_rows(spark):
