@@ -5,34 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import discard, materialize
+
+
+#: A node with so many links, and with more than its share of all, is a hub.
+HUB, HUBS = 200, 500
+#: Up to so many links several star steps run before a round is written.
+FEW_LINKS, STEPS = 500_000, 2
+
+
+def _with_least(links: DataFrame, rows: int) -> DataFrame:
+    """(u, v, m): links (u, v) with the smallest v of their u.
+
+    A hub's links are dealt over salts, and its one row of the smallest is repeated
+    for them.  ``rows`` is about the number of links; as hubs have a
+    share of them, their list is never longer than twice HUBS and is broadcast.
+    """
+    hub = max(HUB, rows // HUBS)
+    salts = F.ceil(F.col("links") / hub).cast("int")
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("links"))
+    hubs = F.broadcast(least.where(F.col("links") > hub).select("u", salts.alias("salts")))
+    dealt = links.join(hubs, "u", "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))).cast("int"))
+    repeated = least.select("u", "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return dealt.join(repeated, ["u", "salt"]).select("u", "v", "m")
+
+
+def _star(cur: DataFrame, rows: int) -> DataFrame:
+    """One large-star and one small-star step over links (u, v), u > v."""
+    # large star: neighbours above a node get the smallest of the node and its neighbours
+    both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = _with_least(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v")
+    # small star: neighbours below a node, and the node, get its smallest neighbour
+    pair = F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))
+    small = _with_least(large, 2 * rows).select(F.explode(pair).alias("s"))
+    return small.select(F.col("s.x").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct()
 
 
 def stars(edges: DataFrame, a: str = "id_a", b: str = "id_b", *, most_rounds: int = 60) -> DataFrame:
     """(id, component): for each node of ``edges`` the smallest node it reaches.
 
     Alternating large-star and small-star rounds; each is written to the shared
-    folder, so plans do not grow and a lost executor costs one round at most.
-    Grouping uses min() and joins only: a node with very many links is
-    pre-aggregated and never gathered in one task.
+    folder, so plans do not grow and a lost executor costs one round at most, and
+    the round before is deleted.  Grouping uses min() and joins only: a node with
+    very many links is pre-aggregated, and its links are dealt over tasks.
     """
-    cur = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
-    seen = None
+
+    def written(rows: DataFrame) -> tuple[DataFrame, dict]:
+        left = Observation()  # what a round leaves is counted while it is written
+        done = materialize(rows.observe(left, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "cc")
+        return done, left.get
+
+    cur, seen = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     for _ in range(most_rounds):
-        # large star: neighbours above a node get that node's smallest neighbour
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        # small star: neighbours below a node, and the node, get its smallest neighbour
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pair = F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))
-        small = large.join(low, "u").select(F.explode(pair).alias("s"))
-        # what a round leaves is counted while it is written
-        left = Observation()
-        rows = small.select(F.col("s.x").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct()
-        rows = rows.observe(left, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        cur = materialize(rows, "cc")
-        now = left.get
+        rows = cur
+        for _ in range(STEPS if seen["n"] <= FEW_LINKS else 1):
+            rows = _star(rows, seen["n"])
+        before = cur
+        cur, now = written(rows)
+        discard(before)
         if seen == now:
             break
         seen = now
@@ -64,7 +94,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, *, strict: bool
 class DisjointSets:
     """Sets of the numbers below ``n`` as a table; unions are batches of edges.
 
-    ``update`` adds edges, ``find`` and ``components`` settle what was added.
+    ``update`` adds edges and ``components`` settles what was added, once;
+    ``find`` and ``find_all`` look up what is settled.
     """
 
     def __init__(self, spark, n: int):
@@ -84,15 +115,24 @@ class DisjointSets:
 
     def union(self, a: int, b: int) -> bool:
         """Join the sets of two numbers; whether they were apart."""
-        apart = self.find(a) != self.find(b)
-        if apart:
-            self.update(self.spark.createDataFrame([(a, b)], "id_a long, id_b long"))
-        return apart
+        at = self.find_all([a, b])
+        if at[a] == at[b]:
+            return False
+        # two sets become one by renaming the larger name; nothing else has to settle
+        low, high = sorted((at[a], at[b]))
+        old = self._labels
+        self._labels = materialize(old.select("id", F.when(F.col("component") == high, low).otherwise(F.col("component")).cast("long").alias("component")), "sets")
+        return True
 
     def find(self, x: int) -> int:
-        if not 0 <= x < self.n:
-            raise IndexError(x)
-        return self.components().where(F.col("id") == x).first().component
+        return self.find_all([x])[x]
+
+    def find_all(self, xs: list[int]) -> dict[int, int]:
+        """The set's name for each of some numbers, in one job."""
+        for x in xs:
+            if not 0 <= x < self.n:
+                raise IndexError(x)
+        return {r.id: r.component for r in self.components().where(F.col("id").isin(xs)).collect()}
 
     def components(self) -> DataFrame:
         """(id, component), the component named by its smallest number."""
