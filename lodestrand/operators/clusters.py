@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .simjoin import edges_by_id, similar_pairs
+from .simjoin import similar_edges
 from .unique import with_ids
 
 
@@ -31,7 +31,7 @@ def summarise(labelled: DataFrame) -> DataFrame:
 def cluster(uniques: DataFrame, d: int, *, mode: str = "complete") -> DataFrame:
     """Clusters of uniques (sequence, count[, first_seen]) linked within ``d`` edits."""
     u = uniques if "seq_id" in uniques.columns else with_ids(uniques)
-    edges = edges_by_id(similar_pairs(u, d, mode=mode), u)
+    edges = similar_edges(u, d, mode=mode)
     return summarise(label(u, edges))
 
 

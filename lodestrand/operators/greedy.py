@@ -10,23 +10,25 @@ uniques, and the group is the root that pointer jumping finds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequences import generation_key, hamming_neighbors, mismatches, parts, piece
-from ..storage import materialize
+from ..storage import discard, materialize
+from .simjoin import salted_join
 
 
 def hamming_pairs(uniques: DataFrame, r: int) -> DataFrame:
     """(s, s_seen, t, t_seen): strings of one length within ``r`` mismatches, s after t.
 
-    Joined on the r + 1 parts of which one is untouched.
+    Joined on the r + 1 parts of which one is untouched; frequent parts are salted.
     """
     u = uniques.select("sequence", "first_seen", F.length("sequence").alias("n"), F.explode(parts(F.length("sequence"), r + 1)).alias("p"))
     u = u.select("sequence", "first_seen", "n", F.col("p.part").alias("part"), piece(F.col("sequence"), F.col("p.st"), F.col("p.sz")).alias("seed"))
     s = u.withColumnsRenamed({"sequence": "s", "first_seen": "s_seen"})
     t = u.withColumnsRenamed({"sequence": "t", "first_seen": "t_seen"})
-    pairs = s.join(t, ["n", "part", "seed"]).where("s_seen > t_seen").where(F.size(mismatches(F.col("s"), F.col("t"))) <= r)
+    pairs = salted_join(s, t, ["n", "part", "seed"], "s", "t").where("s_seen > t_seen").where(F.size(mismatches(F.col("s"), F.col("t"))) <= r)
     return pairs.select("s", "s_seen", "t", "t_seen").distinct()
 
 
@@ -36,10 +38,12 @@ def roots(uniques: DataFrame, parents: DataFrame) -> DataFrame:
     cur = materialize(cur, "roots")
     while True:
         up = cur.select(F.col("sequence").alias("root"), F.col("root").alias("up"))
-        nxt = materialize(cur.join(up, "root").select("sequence", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "roots")
-        if not nxt.where("moved").limit(1).count():
-            return nxt.select("sequence", "root")
-        cur = nxt.select("sequence", "root")
+        nxt = cur.join(up, "root").select("sequence", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved"))
+        moved = Observation()  # counted while the step is written
+        old, cur = cur, materialize(nxt.observe(moved, F.count_if("moved").alias("n")).select("sequence", "root"), "roots")
+        discard(old)
+        if not moved.get["n"]:
+            return cur
 
 
 def _grouped(uniques: DataFrame, rooted: DataFrame) -> DataFrame:
@@ -61,20 +65,26 @@ def expanders(uniques: DataFrame, near: DataFrame) -> DataFrame:
     Rounds: an undecided read all of whose earlier neighbours are decided not to
     expand expands, and its later neighbours do not.
     """
-    state = materialize(uniques.select("sequence", F.lit(None).cast("boolean").alias("expands")), "expand")
-    while True:
+    def step(state: DataFrame) -> DataFrame:
         of = state.select(F.col("sequence").alias("t"), F.col("expands").alias("t_expands"))
         met = near.select("s", "t").join(of, "t").groupBy(F.col("s").alias("sequence")).agg(
             F.bool_or(F.coalesce("t_expands", F.lit(False))).alias("held"), F.bool_or(F.col("t_expands").isNull()).alias("waits")
         )
-        j = state.join(met, "sequence", "left")
         decided = (
             F.when(F.col("expands").isNotNull(), F.col("expands"))
             .when(F.coalesce("held", F.lit(False)), F.lit(False))
             .when(~F.coalesce("waits", F.lit(False)), F.lit(True))
         )
-        state = materialize(j.select("sequence", decided.alias("expands")), "expand")
-        if not state.where("expands is null").limit(1).count():
+        return state.join(met, "sequence", "left").select("sequence", decided.alias("expands"))
+
+    # those without earlier neighbours expand at once
+    later = near.select(F.col("s").alias("sequence")).distinct().withColumn("waits", F.lit(True))
+    state = materialize(uniques.select("sequence").join(later, "sequence", "left").select("sequence", F.when(F.col("waits").isNull(), True).alias("expands")), "expand")
+    while True:
+        open_ = Observation()  # two steps are written, and counted, at a time
+        old, state = state, materialize(step(step(state)).observe(open_, F.count_if(F.col("expands").isNull()).alias("n")), "expand")
+        discard(old)
+        if not open_.get["n"]:
             return state.where("expands").select("sequence")
 
 
@@ -87,12 +97,15 @@ def greedy_ball(uniques: DataFrame, r: int = 1) -> DataFrame:
     claimed = near.join(exp.withColumnRenamed("sequence", "t"), "t", "left_semi")
     owned = claimed.groupBy(F.col("s").alias("sequence")).agg(F.min(first)["t"].alias("parent"))
     owned = owned.join(exp, "sequence", "left_anti")
-    # expanders whose balls meet: any string of both balls was claimed by the earlier one
+    # expanders whose balls meet: of the strings that an expander claims, the first that an earlier one had claimed.  Each string has as many
+    # claimers as its ball has strings at most, so nothing is compared with anything but through a shared string
     late = uniques.join(exp, "sequence", "left_semi").select("sequence", "first_seen")
-    meet = hamming_pairs(late, 2 * r)
-    ball = meet.withColumn("n", F.explode(hamming_neighbors(F.col("s"), r)))
-    ball = ball.where(F.size(mismatches(F.col("n.neighbor"), F.col("t"))) <= r)
-    joined = ball.groupBy(F.col("s").alias("sequence")).agg(F.min(F.struct("n.ordinal", "t_seen", "t"))["t"].alias("parent"))
+    own = F.struct(F.col("sequence").alias("x"), F.lit(-1).alias("k"))
+    ball = F.concat(F.array(own), F.transform(hamming_neighbors(F.col("sequence"), r), lambda n: F.struct(n["neighbor"].alias("x"), n["ordinal"].alias("k"))))
+    claims = late.select("sequence", "first_seen", F.explode(ball).alias("c")).select("sequence", "first_seen", "c.x", "c.k")
+    earliest = F.min(F.struct("first_seen", "sequence")).over(W.partitionBy("x"))
+    met = claims.withColumn("owner", earliest["sequence"]).where("owner <> sequence")
+    joined = met.groupBy("sequence").agg(F.min_by("owner", "k").alias("parent"))
     return _grouped(uniques, roots(uniques, owned.unionByName(joined)))
 
 

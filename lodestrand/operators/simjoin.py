@@ -6,9 +6,10 @@ joined on (length, part, seed) - an equi-join that Spark shuffles by seed - and
 the bounded distance is a residual predicate of that join.  A theta join on the
 distance alone would be a Cartesian product.
 
-Frequent seeds of low complexity would make one task verify most candidates.
-Their rows are counted first; one side of a frequent seed is dealt over several
-salts and the other is repeated for each.
+Frequent seeds would make one task verify most candidates.  They are looked for
+in a sample of the strings, on both sides, and each side of a frequent seed is dealt over salts and
+repeated for the other's, so a task compares blocks of bounded size.  The sample
+decides only how work is dealt, never what is found.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import parts, piece, revcomp
+from ..storage import materialize
 
-#: Rows of one seed on the shorter side above which it is salted, and rows to a salt.
-HOT_SEED = 1_000
+#: Rows of one seed on a side above which it is salted, and rows to a salt; one string of SAMPLE is looked at.
+HOT_SEED, SAMPLE = 1_000, 16
 
 
 def _check(d: int) -> None:
@@ -27,14 +29,30 @@ def _check(d: int) -> None:
         raise ValueError("the distance must not be negative")
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: list[str], left_of: str, right_of: str) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``; rows of frequent keys are dealt by ``left_of`` and ``right_of``."""
+
+    def frequent(side: DataFrame, of: str, name: str) -> DataFrame:
+        some = side.where(F.pmod(F.xxhash64(of), F.lit(SAMPLE)) == 0).groupBy(*key).agg(F.count("*").alias("rows"))
+        return some.where(F.col("rows") * SAMPLE > HOT_SEED).select(*key, F.ceil(F.col("rows") * SAMPLE / HOT_SEED).cast("int").alias(name))
+
+    hot = frequent(left, left_of, "l_salts").join(frequent(right, right_of, "r_salts"), key, "full")
+    hot = materialize(hot.na.fill(1, ["l_salts", "r_salts"]), "hot-seeds")  # written, so that a short list is known as such
+    one = F.lit(1)
+    own = lambda of, n: F.pmod(F.xxhash64(of), F.coalesce(n, one)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, one) - 1))
+    left = left.join(hot, key, "left").withColumn("l_salt", own(left_of, "l_salts")).withColumn("r_salt", every("r_salts")).drop("l_salts", "r_salts")
+    right = right.join(hot, key, "left").withColumn("r_salt", own(right_of, "r_salts")).withColumn("l_salt", every("l_salts")).drop("l_salts", "r_salts")
+    return left.join(right, [*key, "l_salt", "r_salt"]).drop("l_salt", "r_salt")
+
+
 def _seeds_short(u: DataFrame, d: int, both: bool) -> DataFrame:
     """Seeds of the shorter string: its parts, and their complements if ``both``."""
-    s = u.select("sequence", F.length("sequence").alias("n"), F.explode(parts(F.length("sequence"), d + 1)).alias("p"))
+    own = [F.col("sequence").alias("a"), *([F.col("seq_id").alias("a_id")] if "seq_id" in u.columns else [])]
+    s = u.select("*", F.length("sequence").alias("n"), F.explode(parts(F.length("sequence"), d + 1)).alias("p"))
     seed = piece(F.col("sequence"), F.col("p.st"), F.col("p.sz"))
-    if both:
-        s = s.select("sequence", "n", "p", F.explode(F.array_distinct(F.array(seed, revcomp(seed)))).alias("seed"))
-        return s.select(F.col("sequence").alias("a"), "n", F.col("p.part").alias("part"), "seed")
-    return s.select(F.col("sequence").alias("a"), "n", F.col("p.part").alias("part"), seed.alias("seed"))
+    seed = F.explode(F.array_distinct(F.array(seed, revcomp(seed)))) if both else seed
+    return s.select(*own, "n", F.col("p.part").alias("part"), seed.alias("seed"))
 
 
 def _seeds_long(u: DataFrame, d: int, complete: bool, strands: bool) -> DataFrame:
@@ -43,12 +61,13 @@ def _seeds_long(u: DataFrame, d: int, complete: bool, strands: bool) -> DataFram
     Complete: both strands as strings of their own, shifts from -m to delta + m with
     m = (d - delta) / 2.  Otherwise: shifts from 0 to delta, and complements of the seeds.
     """
+    own = ["sequence", *(["seq_id"] if "seq_id" in u.columns else [])]
     n_b = F.length("sequence")
-    s = u.select("sequence", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("delta")).where(F.col("delta") <= n_b)
-    # shorter lengths that do not occur need no seeds; there is one row a length, so the side is small
+    s = u.select(*own, F.explode(F.sequence(F.lit(0), F.lit(d))).alias("delta")).where(F.col("delta") <= n_b)
+    # shorter lengths that do not occur need no seeds
     lengths = u.select(n_b.alias("n")).distinct()
-    s = s.select("sequence", "delta", (n_b - F.col("delta")).alias("n")).join(F.broadcast(lengths), "n", "left_semi")
-    s = s.select("sequence", "delta", "n", F.explode(parts(F.col("n"), d + 1)).alias("p"))
+    s = s.select(*own, "delta", (n_b - F.col("delta")).alias("n")).join(lengths, "n", "left_semi")
+    s = s.select(*own, "delta", "n", F.explode(parts(F.col("n"), d + 1)).alias("p"))
     if complete:
         m = F.floor((F.lit(d) - F.col("delta")) / 2).cast("int")
         shifts = F.sequence(-m, F.col("delta") + m)
@@ -60,26 +79,38 @@ def _seeds_long(u: DataFrame, d: int, complete: bool, strands: bool) -> DataFram
     fwd = F.col("sequence")
     if complete:
         sides = F.array(fwd, revcomp(fwd)) if strands else F.array(fwd)
-        s = s.select("sequence", "delta", "n", "p", F.explode(F.array_distinct(sides)).alias("o"))
+        s = s.select(*own, "delta", "n", "p", F.explode(F.array_distinct(sides)).alias("o"))
         seeds = seeds_of(F.col("o"))
     else:
         s = s.withColumn("o", fwd)
         seeds = F.concat(seeds_of(fwd), F.transform(seeds_of(fwd), revcomp))
-    return s.select(fwd.alias("b"), "o", "n", F.col("p.part").alias("part"), F.explode(F.array_distinct(seeds)).alias("seed"))
+    ids = [F.col("seq_id").alias("b_id")] if "seq_id" in u.columns else []
+    return s.select(fwd.alias("b"), *ids, "o", "n", F.col("p.part").alias("part"), F.explode(F.array_distinct(seeds)).alias("seed"))
 
 
 def candidates(u: DataFrame, d: int, mode: str, strands: bool) -> DataFrame:
-    """(a, b, o): pairs that share a seed, a the shorter, or the smaller of equal lengths."""
+    """(a, b, o[, a_id, b_id]): pairs that share a seed, a the shorter, or the smaller of equal lengths."""
     complete = mode == "complete"
     short, long_ = _seeds_short(u, d, not complete), _seeds_long(u, d, complete, strands)
-    key = ["n", "part", "seed"]
-    # the shorter side has the fewer rows to count; the longer side's grow with them
-    hot = short.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_SEED)
-    hot = hot.select(*key, F.ceil(F.col("rows") / HOT_SEED).cast("int").alias("salts"))
-    long_ = long_.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("b", "o"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    short = short.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     ordered = (F.length("b") > F.col("n")) | (F.col("a") < F.col("b"))
-    return short.join(long_, [*key, "salt"]).where(ordered)
+    return salted_join(short, long_, ["n", "part", "seed"], "a", "b").where(ordered)
+
+
+def _verified(u: DataFrame, d: int, mode: str, strands: bool, lengths: tuple[int, int] | None) -> DataFrame:
+    """The candidates within ``d`` edits, with their distance; a pair once for each seed it shares."""
+    _check(d)
+    if mode not in ("complete", "reference"):
+        raise ValueError(f"unknown mode {mode}")
+    if lengths is not None:
+        u = u.where(F.length("sequence").isin(*lengths))
+    c = candidates(u.where("sequence is not null"), d, mode, strands)
+    if lengths is not None:
+        c = c.where((F.col("n") == min(lengths)) & (F.length("b") == max(lengths)))
+    if mode == "complete":
+        return c.withColumn("distance", F.levenshtein("a", "o", d)).where("distance >= 0")
+    fwd, back = F.levenshtein("a", "b", d), F.levenshtein("a", revcomp(F.col("b")), d)
+    c = c.where((fwd >= 0) | (back >= 0)) if strands else c.where(fwd >= 0)
+    return c.withColumn("distance", F.least(F.when(fwd >= 0, fwd), F.when(back >= 0, back)) if strands else fwd)
 
 
 def similar_pairs(
@@ -93,26 +124,20 @@ def similar_pairs(
     with complemented seeds at the same offsets.  ``lengths`` keeps pairs of these
     two lengths only, and prunes before the seeds are made.
     """
-    _check(d)
-    if mode not in ("complete", "reference"):
-        raise ValueError(f"unknown mode {mode}")
-    u = uniques.select("sequence").where("sequence is not null")
-    if lengths is not None:
-        u = u.where(F.length("sequence").isin(*lengths))
-    c = candidates(u, d, mode, strands)
-    if lengths is not None:
-        c = c.where((F.col("n") == min(lengths)) & (F.length("b") == max(lengths)))
-    if mode == "complete":
-        c = c.withColumn("distance", F.levenshtein("a", "o", d)).where("distance >= 0")
-    else:
-        fwd, back = F.levenshtein("a", "b", d), F.levenshtein("a", revcomp(F.col("b")), d)
-        c = c.where((fwd >= 0) | (back >= 0)) if strands else c.where(fwd >= 0)
-        c = c.withColumn("distance", F.least(F.when(fwd >= 0, fwd), F.when(back >= 0, back)) if strands else fwd)
-    return c.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    return _verified(uniques.select("sequence"), d, mode, strands, lengths).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+
+
+def similar_edges(uniques: DataFrame, d: int, *, mode: str = "complete", strands: bool = True, lengths: tuple[int, int] | None = None, with_lengths: bool = False) -> DataFrame:
+    """(id_a, id_b, distance[, length_a, length_b]) with id_a < id_b: ``similar_pairs`` of uniques (seq_id, sequence), whose ids travel with the seeds.
+
+    length_a is that of the shorter string, whichever id it has.
+    """
+    c = _verified(uniques.select("seq_id", "sequence"), d, mode, strands, lengths)
+    return c.groupBy(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b")).agg(F.min("distance").alias("distance"), *([F.first(F.length("a")).alias("length_a"), F.first(F.length("b")).alias("length_b")] if with_lengths else []))
 
 
 def edges_by_id(pairs: DataFrame, uniques: DataFrame) -> DataFrame:
-    """(id_a, id_b, distance) with id_a < id_b, from uniques (seq_id, sequence)."""
+    """(id_a, id_b, distance) with id_a < id_b of pairs (a, b, distance), for pairs that were made without ids."""
     ids = uniques.select("seq_id", "sequence")
     e = pairs.join(ids.withColumnsRenamed({"seq_id": "x", "sequence": "a"}), "a").join(ids.withColumnsRenamed({"seq_id": "y", "sequence": "b"}), "b")
     return e.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "distance")
@@ -126,11 +151,9 @@ def raw_edges(uniques: DataFrame, d: int) -> DataFrame:
     twice; pairs of two lengths appear once, the shorter first.
     """
     _check(d)
-    e = similar_pairs(uniques, d, mode="reference")
     ids = uniques.select("seq_id", "sequence")
-    e = e.join(ids.withColumnsRenamed({"seq_id": "x", "sequence": "a"}), "a").join(ids.withColumnsRenamed({"seq_id": "y", "sequence": "b"}), "b")
-    same = F.length("a") == F.length("b")
-    both = e.select(F.explode(F.when(same, F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).otherwise(F.array(F.struct("x", "y")))).alias("p"))
+    e = _verified(ids, d, "reference", True, None).groupBy(F.col("a_id").alias("x"), F.col("b_id").alias("y")).agg(F.first(F.length("a") == F.length("b")).alias("same"))
+    both = e.select(F.explode(F.when(F.col("same"), F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).otherwise(F.array(F.struct("x", "y")))).alias("p"))
     s = ids.select("seq_id", F.length("sequence").alias("n"), "sequence", F.explode(parts(F.length("sequence"), d + 1)).alias("p"))
     seed = piece(F.col("sequence"), F.col("p.st"), F.col("p.sz"))
     s = s.select("seq_id", "n", F.col("p.part").alias("part"), F.explode(F.array(seed, revcomp(seed))).alias("seed"))

@@ -71,7 +71,7 @@ def unique_reads(spark, sf_dir):
 def unique_table(spark, sf_dir):
     """The uniques written as a text table and scanned again."""
     out = f"{scratch(spark, 'table')}/unique.csv"
-    sinks.write_unique_table(uniques(spark, sf_dir), out)
+    sinks.write_unique_table(uniques(spark, sf_dir), out, single=False)
     n, m = scan.unique_header(spark, out)
     return scan.read_unique_table(spark, out).withColumn("uniques", F.lit(n).cast("long")).withColumn("reads", F.lit(m).cast("long"))
 
@@ -128,14 +128,14 @@ def fastq_scan(spark, sf_dir):
     out = f"{scratch(spark, 'fastq')}/reads.fq"
     r = reads(spark, sf_dir)
     record = F.concat(F.lit("@read"), F.col("read_idx").cast("string"), F.lit("\n"), F.col("sequence"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("sequence")))
-    sinks.single_text(r.select("read_idx", "sequence", record.alias("value")), out, "read_idx", "sequence")
+    sinks.text_parts(r.select("read_idx", "sequence", record.alias("value")), out, "read_idx", "sequence")
     return scan.read_fastq_named(spark, out).select("read_idx", "header", "sequence")
 
 
 def fasta_scan(spark, sf_dir):
     """The uniques written as FASTA and scanned again as a ranking."""
     out = f"{scratch(spark, 'fasta')}/unique.fasta"
-    sinks.write_fasta(uniques(spark, sf_dir), out, F.desc("count"), "first_seen", "sequence")
+    sinks.write_fasta(uniques(spark, sf_dir), out, F.desc("count"), "first_seen", "sequence", single=False)
     return scan.read_ranked_fasta(spark, out).withColumnRenamed("rec", "place")
 
 
@@ -143,7 +143,7 @@ def edge_table(spark, sf_dir):
     """Edges within one edit written as a text table and scanned again."""
     out = f"{scratch(spark, 'edges')}/pairs_d1.csv"
     u = unique.with_ids(uniques(spark, sf_dir))
-    sinks.write_edge_table(simjoin.edges_by_id(simjoin.similar_pairs(u, 1), u), out)
+    sinks.write_edge_table(simjoin.similar_edges(u, 1), out, single=False)
     return scan.read_edges(spark, out)
 
 
@@ -203,7 +203,7 @@ def length_pairs(spark, sf_dir):
 
 def edges_d1(spark, sf_dir):
     u = unique.with_ids(uniques(spark, sf_dir))
-    return simjoin.edges_by_id(simjoin.similar_pairs(u, 1), u)
+    return simjoin.similar_edges(u, 1)
 
 
 def raw_edges_d1(spark, sf_dir):
@@ -221,7 +221,7 @@ def part_name_pairs(spark, sf_dir):
 
 def components_d1(spark, sf_dir):
     u = unique.with_ids(uniques(spark, sf_dir))
-    edges = simjoin.edges_by_id(simjoin.similar_pairs(u, 1), u)
+    edges = simjoin.similar_edges(u, 1)
     return components.connected_components(u.select(F.col("seq_id").alias("id")), edges)
 
 
@@ -234,7 +234,7 @@ def _clusters(d: int, mode: str = "complete"):
 
 def run_stats_d1(spark, sf_dir):
     u = unique.with_ids(uniques(spark, sf_dir))
-    edges = simjoin.edges_by_id(simjoin.similar_pairs(u, 1), u)
+    edges = simjoin.similar_edges(u, 1)
     return clusters.run_stats(u, edges, clusters.summarise(clusters.label(u, edges)))
 
 
@@ -306,19 +306,28 @@ root AS (SELECT s, top FROM climb WHERE top NOT IN (SELECT s FROM parent)),
 j AS (SELECT o.*, q.first_seen AS root_first_seen FROM root JOIN o ON o.sequence = s JOIN o q ON q.sequence = top),
 w AS (SELECT *, row_number() OVER (PARTITION BY root_first_seen ORDER BY n DESC, first_seen) AS place FROM j)
 SELECT max(CASE WHEN place = 1 THEN sequence END) AS sequence, count(*) AS cluster_size, CAST(sum(n) AS BIGINT) AS total_count, root_first_seen FROM w GROUP BY root_first_seen"""
-#: Expanders one by one in a list; two balls of radius 1 meet where their centres differ in two places.
-_BALL = """ordered AS (SELECT sequence, len, row_number() OVER (ORDER BY first_seen) AS k FROM o),
+_LETTERS = "(VALUES ('A', 1), ('T', 2), ('C', 3), ('G', 4))"
+#: Strings of a ball in their order: one mismatch, then two.
+_CLAIMS = {
+    1: f"SELECT sequence AS s, first_seen AS seen, concat(substr(sequence, 1, CAST(i.i AS INT) - 1), c.c, substr(sequence, CAST(i.i AS INT) + 1)) AS x, [1, i.i, 0, c.k, 0] AS place FROM e JOIN range(1, 40) i(i) ON i.i <= len JOIN {_LETTERS} c(c, k) ON sequence[i.i] <> c.c",
+    2: f"SELECT sequence, first_seen, concat(substr(sequence, 1, CAST(i.i AS INT) - 1), c.c, substr(sequence, CAST(i.i AS INT) + 1, CAST(j.j - i.i AS INT) - 1), d.c, substr(sequence, CAST(j.j AS INT) + 1)), [2, i.i, j.j, c.k, d.k] FROM e JOIN range(1, 40) i(i) ON i.i <= len JOIN range(1, 40) j(j) ON j.j <= len AND j.j > i.i JOIN {_LETTERS} c(c, k) ON sequence[i.i] <> c.c JOIN {_LETTERS} d(c, k) ON sequence[j.j] <> d.c",
+}
+
+
+def _ball(r: int) -> str:
+    """Expanders one by one in a list; then who first claimed which string of all balls."""
+    return f"""ordered AS (SELECT sequence, len, row_number() OVER (ORDER BY first_seen) AS k FROM o),
 st AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS ex
        UNION ALL
-       SELECT st.k + 1, CASE WHEN len(list_filter(ex, lambda e: CASE WHEN length(e) = q.len THEN hamming(e, q.sequence) <= 1 ELSE false END)) = 0 THEN list_append(ex, q.sequence) ELSE ex END
+       SELECT st.k + 1, CASE WHEN len(list_filter(ex, lambda e: CASE WHEN length(e) = q.len THEN hamming(e, q.sequence) <= {r} ELSE false END)) = 0 THEN list_append(ex, q.sequence) ELSE ex END
        FROM st JOIN ordered q ON q.k = st.k + 1),
 x AS (SELECT unnest(ex) AS sequence FROM st WHERE k = (SELECT max(k) FROM ordered)),
 e AS (SELECT o.* FROM o JOIN x USING (sequence)),
-own AS (SELECT s.sequence AS s, arg_min(e.sequence, e.first_seen) AS t FROM o s JOIN e ON e.len = s.len AND e.first_seen < s.first_seen AND hamming(e.sequence, s.sequence) <= 1
+own AS (SELECT s.sequence AS s, arg_min(e.sequence, e.first_seen) AS t FROM o s JOIN e ON e.len = s.len AND e.first_seen < s.first_seen AND hamming(e.sequence, s.sequence) <= {r}
         WHERE s.sequence NOT IN (SELECT sequence FROM x) GROUP BY s.sequence),
-meet AS (SELECT s.sequence AS s, t.sequence AS t, t.first_seen AS seen, list_filter(range(1, s.len + 1), lambda i: s.sequence[i] <> t.sequence[i])[1] AS place
-         FROM e s JOIN e t ON s.len = t.len AND t.first_seen < s.first_seen AND hamming(s.sequence, t.sequence) = 2),
-late AS (SELECT s, arg_min(t, (place, instr('ATCG', t[place]), seen)) AS t FROM meet GROUP BY s),
+claim AS ({" UNION ALL ".join(_CLAIMS[k] for k in range(1, r + 1))}),
+owner AS (SELECT x, arg_min(s, seen) AS t FROM claim GROUP BY x HAVING count(*) > 1),
+late AS (SELECT s, arg_min(t, place) AS t FROM claim JOIN owner USING (x) WHERE t <> s GROUP BY s),
 parent AS (SELECT * FROM own UNION ALL SELECT * FROM late)"""
 
 
@@ -360,7 +369,8 @@ SELECT x AS id_a, y AS id_b FROM p UNION ALL SELECT y, x FROM p WHERE length(a)
     "run_stats_d1": f"WITH RECURSIVE {UNIQUES}, {_brute(1)}, {COMPONENTS} SELECT (SELECT count(*) FROM u) AS uniques, CAST((SELECT sum(n) FROM u) AS BIGINT) AS reads, (SELECT count(*) FROM p) AS pairs, (SELECT count(DISTINCT component) FROM comp) AS clusters",
     "greedy_seen": f"WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=1)},\n{_GROUPS}",
     "greedy_seen_2": f"WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=2)},\n{_GROUPS}",
-    "greedy_ball": f"WITH RECURSIVE {UNIQUES}, {_BALL},\n{_GROUPS}",
+    "greedy_ball": f"WITH RECURSIVE {UNIQUES}, {_ball(1)},\n{_GROUPS}",
+    "greedy_ball_2": f"WITH RECURSIVE {UNIQUES}, {_ball(2)},\n{_GROUPS}",
     "ranked": f"WITH {_TWO} SELECT rank, sequence, n AS count FROM k WHERE side = 0",
     "count_cdf": f"WITH {_TWO} SELECT rank, sum(n) OVER (ORDER BY rank) / sum(n) OVER () AS cdf FROM k WHERE side = 0",
     "topn_overlap": f"{_SHARED} SELECT rank, fraction_shared FROM s",
