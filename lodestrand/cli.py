@@ -26,7 +26,7 @@ def run_unique(spark: SparkSession, a: argparse.Namespace) -> None:
     r = scan.read_fastq(spark, a.fastq, keep_invalid=True, strict=a.strict)
     u = unique.unique_sequences(r, min_length=a.min_length).cache()
     s = unique.read_stats(r).first()
-    sinks.write_unique_table(u, a.output)
+    sinks.write_unique_table(u, a.output, single=not a.parts)
     _say(f"{s.uniques:,} unique of {s.total:,} reads, {s.skipped:,} skipped", t)
 
 
@@ -57,9 +57,11 @@ def _pairs(spark: SparkSession, a: argparse.Namespace, lengths: tuple[int, int]
         print("no length pairs")
         return
     u = unique.with_ids(_by_length(spark, a.length_dir))  # ids are those of the whole table
-    e = simjoin.edges_by_id(simjoin.similar_pairs(u, a.distance, mode=a.mode, lengths=lengths), u).cache()
-    name = f"pairs_len{lengths[0]}_len{lengths[1]}_d{a.distance}.csv" if lengths else f"pairs_d{a.distance}.csv"
-    sinks.write_edge_table(e, f"{a.output_dir}/{name}")
+    e = simjoin.similar_edges(u, a.distance, mode=a.mode, lengths=lengths, with_lengths=True).cache()
+    if lengths:
+        sinks.write_edge_table(e, f"{a.output_dir}/pairs_len{lengths[0]}_len{lengths[1]}_d{a.distance}.csv")
+    else:
+        sinks.write_edge_files(e, a.output_dir, a.distance)
     _say(f"{e.count():,} pairs", t)
 
 
@@ -76,12 +78,12 @@ def run_all_pairs(spark: SparkSession, a: argparse.Namespace) -> None:
 def run_cluster(spark: SparkSession, a: argparse.Namespace) -> None:
     t = time.time()
     u = unique.with_ids(scan.read_unique_table(spark, a.unique)).cache()
-    e = scan.read_edges(spark, a.edges_dir)
+    e = scan.read_edges(spark, a.edges_dir, distance=a.distance)
     labelled = u.join(components.connected_components(u.select(F.col("seq_id").alias("id")), e).withColumnRenamed("id", "seq_id"), "seq_id")
     c = clusters.summarise(labelled).cache()
-    sinks.write_clusters(c, a.output)
+    sinks.write_clusters(c, a.output, single=not a.parts)
     if a.fasta:
-        sinks.write_fasta(c.select("sequence", F.col("total_count").alias("count"), "rep_id"), a.fasta, F.desc("count"), "rep_id")
+        sinks.write_fasta(c.select("sequence", F.col("total_count").alias("count"), "rep_id"), a.fasta, F.desc("count"), "rep_id", single=not a.parts)
     s = clusters.run_stats(u, e, c).first()
     _say(f"{s.clusters:,} clusters of {s.uniques:,} unique sequences by {s.pairs:,} pairs", t)
 
@@ -92,7 +94,7 @@ def run_greedy(spark: SparkSession, a: argparse.Namespace) -> None:
     r = 2 if a.include_next_nearest else 1
     grouped = greedy.greedy_ball(u, r) if a.kind == "ball" else greedy.greedy_seen(u, r)
     c = greedy.summarise_greedy(grouped).cache()
-    sinks.write_greedy_fasta(c, a.output, members=a.members)
+    sinks.write_greedy_fasta(c, a.output, members=a.members, single=not a.parts)
     _say(f"{c.count():,} clusters", t)
 
 
@@ -117,13 +119,14 @@ def parser() -> argparse.ArgumentParser:
 
     must = {"required": True}
     whole = {"required": True, "type": int}
+    parts = (("--parts",), {"action": "store_true", "help": "write folders of part files instead of single ones"})
     mode = (("--mode",), {"choices": ("complete", "reference"), "default": "complete"})
-    command("unique", run_unique, (("--fastq", "--input", "-i"), must), (("--output", "-o"), must), (("--strict",), {"action": "store_true"}), (("--min-length",), {"type": int, "default": 0}))
+    command("unique", run_unique, (("--fastq", "--input", "-i"), must), (("--output", "-o"), must), (("--strict",), {"action": "store_true"}), (("--min-length",), {"type": int, "default": 0}), parts)
     command("split", run_split, (("--input", "-i"), must), (("--output-dir", "-o"), must))
     command("pairs", run_pairs, (("--length-dir",), must), (("--length-a",), whole), (("--length-b",), whole), (("--distance", "--max-edits", "-d"), whole), (("--output-dir", "-o"), must), mode)
     command("all-pairs", run_all_pairs, (("--length-dir",), must), (("--distance", "--max-edits", "-d"), whole), (("--output-dir", "-o"), must), (("--workers", "-w"), {"type": int, "default": 1, "help": "kept for scripts; Spark decides"}), mode)
-    command("cluster", run_cluster, (("--unique",), must), (("--edges-dir",), must), (("--output", "-o"), must), (("--fasta",), {}))
-    command("greedy", run_greedy, (("--input", "-i"), {"default": "merged_lenfilt.fq"}), (("--output", "-o"), must), (("--kind",), {"choices": ("ball", "seen"), "default": "seen"}), (("--include_next_nearest",), {"action": "store_true"}), (("--members",), {"action": "store_true"}))
+    command("cluster", run_cluster, (("--unique",), must), (("--edges-dir",), must), (("--distance", "--max-edits", "-d"), {"type": int}), (("--output", "-o"), must), (("--fasta",), {}), parts)
+    command("greedy", run_greedy, (("--input", "-i"), {"default": "merged_lenfilt.fq"}), (("--output", "-o"), must), (("--kind",), {"choices": ("ball", "seen"), "default": "seen"}), (("--include_next_nearest",), {"action": "store_true"}), (("--members",), {"action": "store_true"}), parts)
     command("agree", run_agree, (("old",), {}), (("new",), {}), (("--data",), {}))
     return p
 

@@ -3,6 +3,10 @@
 Text formats number their lines across a whole file.  Spark gives each line its
 partition and place in it; offsets of the partitions are running sums over one
 row a partition, so numbering is distributed and needs no RDD.
+
+A path may be a file, a folder or a pattern.  Several files are read one after
+the other in the order of their paths, as sequencers write them lane by lane;
+a record never goes over the end of its file.
 """
 
 from __future__ import annotations
@@ -14,33 +18,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequences import header_count, is_valid, trimmed
+from ..storage import materialize
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): the lines of one file, numbered from 0 in file order.
+    """(file, line, value): the lines of one or more files, numbered from 0 in each file's order.
 
     Splits of one file are planned largest first, not in file order, so lines are
     placed by the split's offset, which the scan tells, and then by their order
     in the split.
     """
     text = spark.read.text(path).select(
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
     )
-    sizes = text.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("block", "first", before.alias("before"))
-    return text.join(F.broadcast(offsets), "block").select((F.col("at") - F.col("first") + F.col("before")).alias("line"), "value")
+    sizes = text.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = materialize(sizes.select("file", "block", "first", before.alias("before")), "splits")  # written, so that a short list is known as such
+    return text.join(offsets, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before")).alias("line"), "value")
 
 
 def _records(spark: SparkSession, path: str, per: int, strict: bool) -> DataFrame:
-    """(read_idx, header, sequence) of records of ``per`` lines, up to the first blank header."""
-    lines = numbered_lines(spark, path).select(F.floor(F.col("line") / per).alias("rec"), (F.col("line") % per).alias("field"), trimmed("value").alias("value"))
-    blank = lines.where((F.col("field") == 0) & (F.col("value") == "")).agg(F.min("rec").alias("stop"), F.max("rec").alias("last_blank"))
-    both = lines.where("field < 2").crossJoin(F.broadcast(blank))  # one row
+    """(read_idx, header, sequence) of records of ``per`` lines, of each file up to its first blank header."""
+    lines = numbered_lines(spark, path).select("file", F.floor(F.col("line") / per).alias("rec"), (F.col("line") % per).alias("field"), trimmed("value").alias("value"))
+    blank = F.when((F.col("field") == 0) & (F.col("value") == ""), F.col("rec"))
+    files = lines.groupBy("file").agg(F.min(blank).alias("stop"), (F.max("rec") + 1).alias("records"))
+    # the records of the files before; one row a file
+    before = F.coalesce(F.sum(F.coalesce("stop", "records")).over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files = materialize(files.select(F.col("file").alias("f"), "stop", before.alias("before")), "files")
+    both = lines.where("field < 2").join(files, F.col("file") == F.col("f"))
     if strict:
         late = F.col("stop").isNotNull() & (F.col("rec") > F.col("stop"))
         both = both.where(F.when(late, F.raise_error(F.lit("a blank header inside the file"))).otherwise(F.lit(True)))
-    kept = both.where(F.col("stop").isNull() | (F.col("rec") < F.col("stop")))
+    kept = both.where(F.col("stop").isNull() | (F.col("rec") < F.col("stop"))).withColumn("rec", F.col("rec") + F.col("before"))
     wide = kept.groupBy("rec").agg(F.max(F.when(F.col("field") == 0, F.col("value"))).alias("header"), F.max(F.when(F.col("field") == 1, F.col("value"))).alias("sequence"))
     # a record that the file's end cuts off has an empty sequence
     return wide.select(F.col("rec").alias("read_idx"), "header", F.coalesce("sequence", F.lit("")).alias("sequence"))
@@ -98,23 +107,39 @@ def read_unique_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(trimmed(cell[at["sequence"]]).alias("sequence"), cell[at["count"]].cast("long").alias("count"))
 
 
-def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """(id_a, id_b) of one edge file or of all in a folder; a malformed row is an error."""
-    d = spark.read.csv(path, sep="\t", header=True, schema="id_a bigint, id_b bigint", mode="FAILFAST", enforceSchema=True, pathGlobFilter="*.csv")
+def _names(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the files or folders that match."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
+    return [s.getPath().getName() for s in found]
+
+
+def read_edges(spark: SparkSession, path: str, *, distance: int | None = None) -> DataFrame:
+    """(id_a, id_b) of one edge file or of all in a folder; a malformed row is an error.
+
+    With ``distance`` only the folder's files ``*_d<distance>.csv`` are read; without,
+    files of different distances in one folder are an error.
+    """
+    if not path.endswith(".csv"):
+        if distance is not None:
+            path = f"{path}/*_d{distance}.csv"
+        else:
+            found = {m[1] for n in _names(spark, f"{path}/*.csv") if (m := re.search(r"_d(\d+)\.csv$", n))}
+            if len(found) > 1:
+                raise ValueError(f"edges of distances {sorted(map(int, found))} in {path}; say which")
+            path = f"{path}/*.csv"
+    d = spark.read.csv(path, sep="\t", header=True, schema="id_a bigint, id_b bigint", mode="FAILFAST", enforceSchema=True)
     return d.where("id_a is not null and id_b is not null")
 
 
 def discover_lengths(spark: SparkSession, folder: str) -> dict[int, str]:
     """Files length_<n>.csv of a folder by n; any other length_*.csv is an error."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{folder}/length_*.csv")
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
     out = {}
-    for s in found:
-        m = re.fullmatch(r"length_(\d+)\.csv", s.getPath().getName())
+    for name in _names(spark, f"{folder}/length_*.csv"):
+        m = re.fullmatch(r"length_(\d+)\.csv", name)
         if not m:
-            raise ValueError(f"unexpected file {s.getPath().getName()}")
-        out[int(m[1])] = s.getPath().toString()
+            raise ValueError(f"unexpected file {name}")
+        out[int(m[1])] = f"{folder}/{name}"
     return dict(sorted(out.items()))
 
 

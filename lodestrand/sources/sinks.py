@@ -1,7 +1,8 @@
 """Writers of the formats that ``reads`` scans, and of reports.
 
-Large results go to Parquet, partitioned where it helps.  The compatible text
-files are single files in a fixed order, for people and other tools.
+Large results go to Parquet, partitioned where it helps, or to folders of text
+whose numbered part files follow the order, written by all tasks.  For people
+and other tools the same text can be a single file, which one task writes.
 """
 
 from __future__ import annotations
@@ -12,6 +13,15 @@ from pyspark.sql import functions as F
 from ..storage import dense_ids, scratch
 
 
+def text_parts(lines: DataFrame, path: str, *order) -> None:
+    """Write column ``value`` as a folder of part files whose numbers follow the given order."""
+    (lines.orderBy(*order) if order else lines).select("value").write.text(path)
+
+
+def _write(lines: DataFrame, path: str, single: bool, *order) -> None:
+    (single_text if single else text_parts)(lines, path, *order)
+
+
 def single_text(lines: DataFrame, path: str, *order) -> None:
     """Write column ``value`` as one file at ``path``, in the given order."""
     spark = lines.sparkSession
@@ -33,13 +43,13 @@ def single_text(lines: DataFrame, path: str, *order) -> None:
     source_fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
 
 
-def write_unique_table(uniques: DataFrame, path: str) -> None:
+def write_unique_table(uniques: DataFrame, path: str, *, single: bool = True) -> None:
     """Tab-separated (sequence, count), most frequent first, under a line of totals."""
     first = [F.desc("count"), *(["first_seen"] if "first_seen" in uniques.columns else []), "sequence"]
     totals = uniques.agg(F.count("*").alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("m"))
     top = totals.select(F.array(F.format_string("# unique_sequences=%d, total_reads=%d", "n", "m"), F.lit("sequence\tcount\r")).alias("v"))
     rows = dense_ids(uniques, *first, name="at", start=2).select("at", F.concat_ws("\t", "sequence", F.concat(F.col("count").cast("string"), F.lit("\r"))).alias("value"))
-    single_text(top.select(F.posexplode("v").alias("at", "value")).unionByName(rows), path, "at")
+    _write(top.select(F.posexplode("v").alias("at", "value")).unionByName(rows), path, single, "at")
 
 
 def write_by_length(uniques: DataFrame, path: str) -> DataFrame:
@@ -63,31 +73,50 @@ def write_edges(edges: DataFrame, path: str, *, distance: int | None = None) ->
     (e.withColumn("distance", F.lit(distance)).write.mode("overwrite").partitionBy("distance") if distance is not None else e.write.mode("overwrite")).parquet(path)
 
 
-def write_edge_table(edges: DataFrame, path: str) -> None:
+def write_edge_table(edges: DataFrame, path: str, *, single: bool = True) -> None:
     """Tab-separated (index_a, index_b)."""
     e = edges.select(F.lit(1).alias("k"), "id_a", "id_b", F.concat_ws("\t", "id_a", F.concat(F.col("id_b").cast("string"), F.lit("\r"))).alias("value"))
     head = edges.sparkSession.createDataFrame([(0, 0, 0, "index_a\tindex_b\r")], "k int, id_a long, id_b long, value string")
-    single_text(head.unionByName(e), path, "k", "id_a", "id_b")
+    _write(head.unionByName(e), path, single, "k", "id_a", "id_b")
+
+
+def write_edge_files(edges: DataFrame, folder: str, d: int) -> None:
+    """Tab-separated edges (id_a, id_b, length_a, length_b), a folder of parts pairs_len<a>_len<b>_d<d>.csv for each pair of lengths.
+
+    All pairs are written by one job; only the folders are renamed after it.
+    """
+    spark = edges.sparkSession
+    tmp = scratch(spark, "edges")
+    name = F.format_string("pairs_len%d_len%d_d%d.csv", F.least("length_a", "length_b"), F.greatest("length_a", "length_b"), F.lit(d))
+    edges.select(F.col("id_a").alias("index_a"), F.col("id_b").alias("index_b"), name.alias("name")).write.partitionBy("name").option("header", True).option("sep", "\t").csv(tmp)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = hadoop.Path(tmp).getFileSystem(conf), hadoop.Path(folder).getFileSystem(conf)
+    target.mkdirs(hadoop.Path(folder))
+    for s in source.globStatus(hadoop.Path(f"{tmp}/name=*")) or []:
+        to = hadoop.Path(f"{folder}/{s.getPath().getName().removeprefix('name=')}")
+        target.delete(to, True)
+        hadoop.FileUtil.copy(source, s.getPath(), target, to, True, True, conf) if source.getUri() != target.getUri() else source.rename(s.getPath(), to)
+    source.delete(hadoop.Path(tmp), True)
 
 
-def write_clusters(clusters: DataFrame, path: str) -> None:
+def write_clusters(clusters: DataFrame, path: str, *, single: bool = True) -> None:
     """Tab-separated (sequence, cluster_size, total_count), largest total first."""
     c = clusters.select(F.lit(1).alias("k"), "total_count", "rep_id", F.concat_ws("\t", "sequence", "cluster_size", F.concat(F.col("total_count").cast("string"), F.lit("\r"))).alias("value"))
     head = clusters.sparkSession.createDataFrame([(0, 0, 0, "sequence\tcluster_size\ttotal_count\r")], "k int, total_count long, rep_id long, value string")
-    single_text(head.unionByName(c), path, "k", F.desc("total_count"), "rep_id")
+    _write(head.unionByName(c), path, single, "k", F.desc("total_count"), "rep_id")
 
 
-def write_fasta(rows: DataFrame, path: str, *order) -> None:
+def write_fasta(rows: DataFrame, path: str, *order, single: bool = True) -> None:
     """Numbered records ``>i N:count len:length``."""
     d = dense_ids(rows, *order, name="i", start=1)
-    single_text(d.select("i", F.concat(F.format_string(">%d N:%d len:%d\n", "i", "count", F.length("sequence")), F.col("sequence")).alias("value")), path, "i")
+    _write(d.select("i", F.concat(F.format_string(">%d N:%d len:%d\n", "i", "count", F.length("sequence")), F.col("sequence")).alias("value")), path, single, "i")
 
 
-def write_greedy_fasta(clusters: DataFrame, path: str, *, members: bool = False) -> None:
+def write_greedy_fasta(clusters: DataFrame, path: str, *, members: bool = False, single: bool = True) -> None:
     """Records of representatives by total: ``>header [Nmembers:k ]N:total``."""
     mid = F.concat(F.lit(" Nmembers:"), F.col("cluster_size").cast("string")) if members else F.lit("")
     value = F.concat(F.lit(">"), "header", mid, F.lit(" N:"), F.col("total_count").cast("string"), F.lit("\n"), F.col("sequence"))
-    single_text(clusters.select("total_count", "root_first_seen", value.alias("value")), path, F.desc("total_count"), "root_first_seen")
+    _write(clusters.select("total_count", "root_first_seen", value.alias("value")), path, single, F.desc("total_count"), "root_first_seen")
 
 
 def report_lines(shared: DataFrame) -> DataFrame:

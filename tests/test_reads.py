@@ -190,6 +190,19 @@ def test_hot_seeds_are_salted_without_loss(spark, monkeypatch):
     assert {(r.a, r.b) for r in simjoin.similar_pairs(df, 1).collect()} == want and want
 
 
+def test_a_seed_that_is_frequent_on_the_long_side_only(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    short = ["A" * 8 + letters(8) for _ in range(3)]
+    long_ = list({"A" * 8 + letters(9) for _ in range(400)}) + [s[:9] + "C" + s[9:] for s in short]
+    u = spark.createDataFrame([(s,) for s in dict.fromkeys(short + long_)], "sequence string")
+    want = {tuple(r) for r in simjoin.similar_pairs(u, 1).collect()}
+    monkeypatch.setattr(simjoin, "HOT_SEED", 20)
+    monkeypatch.setattr(simjoin, "SAMPLE", 2)
+    got = simjoin.similar_pairs(u, 1).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and len(want) >= 3
+
+
 def test_parts_tile_the_length(spark):
     for n, k, want in ((12, 2, [(0, 6), (6, 12)]), (25, 3, [(0, 9), (9, 17), (17, 25)]), (11, 3, [(0, 4), (4, 8), (8, 11)]), (2, 3, [(0, 1), (1, 2), (2, 2)])):
         p = spark.range(1).select(fn.parts(F.lit(n), k).alias("p")).first().p
@@ -220,6 +233,15 @@ def test_blank_header_ends_the_scan(spark, tmp_path):
         scan.read_fastq(spark, str(p), strict=True).collect()
 
 
+def test_many_files_are_read_one_after_the_other(spark, tmp_path):
+    lanes = [[("a", "ACGT"), ("b", "GGG")], [("c", "TTTT")], [], [("d", "CC"), ("", "XX"), ("e", "AA")], [("f", "G")]]
+    for k, lane in enumerate(lanes):
+        (tmp_path / f"L00{k}.fq").write_text("".join(f"@{h}\n{s}\n+\n{s}\n" if h else "\nXX\n+\nXX\n" for h, s in lane))
+    for path in (str(tmp_path), f"{tmp_path}/L*.fq"):
+        got = sorted((r.read_idx, r.header, r.sequence) for r in scan.read_fastq_named(spark, path).collect())
+        assert got == [(0, "a", "ACGT"), (1, "b", "GGG"), (2, "c", "TTTT"), (3, "d", "CC"), (4, "f", "G")]
+
+
 def test_cut_off_record_is_an_empty_read(spark, tmp_path):
     p = tmp_path / "a.fq"
     p.write_text("@a\nACGT\n+\nIIII\n@b\n")
@@ -283,8 +305,16 @@ def test_cli_end_to_end(spark, tmp_path, micro, capsys):
     main(["unique", "-i", fq, "-o", f"{tmp_path}/unique.csv"], spark)
     main(["split", "-i", f"{tmp_path}/unique.csv", "-o", f"{tmp_path}/len"], spark)
     main(["all-pairs", "--length-dir", f"{tmp_path}/len", "-d", "2", "-o", f"{tmp_path}/edges", "--mode", "reference"], spark)
-    main(["cluster", "--unique", f"{tmp_path}/unique.csv", "--edges-dir", f"{tmp_path}/edges", "-o", f"{tmp_path}/clusters.csv", "--fasta", f"{tmp_path}/clusters.fasta"], spark)
+    names = sorted(p.name for p in (tmp_path / "edges").iterdir() if p.name.startswith("pairs"))
+    assert names == ["pairs_len11_len12_d2.csv", "pairs_len12_len12_d2.csv", "pairs_len12_len13_d2.csv"]
+    main(["all-pairs", "--length-dir", f"{tmp_path}/len", "-d", "1", "-o", f"{tmp_path}/edges"], spark)
+    with pytest.raises(ValueError):  # two distances in one folder
+        main(["cluster", "--unique", f"{tmp_path}/unique.csv", "--edges-dir", f"{tmp_path}/edges", "-o", f"{tmp_path}/no.csv"], spark)
+    main(["cluster", "--unique", f"{tmp_path}/unique.csv", "--edges-dir", f"{tmp_path}/edges", "-d", "2", "--parts", "-o", f"{tmp_path}/cluster_parts"], spark)
+    parts = [p.read_text() for p in sorted((tmp_path / "cluster_parts").glob("part-*"))]
+    main(["cluster", "--unique", f"{tmp_path}/unique.csv", "--edges-dir", f"{tmp_path}/edges", "-d", "2", "-o", f"{tmp_path}/clusters.csv", "--fasta", f"{tmp_path}/clusters.fasta"], spark)
     lines = open(f"{tmp_path}/clusters.csv").read().split("\n")
+    assert "".join(parts) == "\n".join(lines)
     assert lines[0] == "sequence\tcluster_size\ttotal_count" and lines[1] == f"{IDS[0]}\t4\t8"
     main(["pairs", "--length-dir", f"{tmp_path}/len", "--length-a", "12", "--length-b", "13", "-d", "1", "-o", f"{tmp_path}/one"], spark)
     assert open(f"{tmp_path}/one/pairs_len12_len13_d1.csv").read().count("\n") == 2
@@ -306,6 +336,19 @@ def test_components_of_long_paths_and_stars(spark):
     assert all(got[i] == 0 for i in range(n)) and all(got[i] == 1000 for i in range(1000, 1200)) and 5000 not in got
 
 
+def test_a_hub_is_dealt_over_tasks(spark):
+    n = 100_000
+    star = spark.range(1, n + 1).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    got = components._with_least(both, 2 * n)
+    assert got.count() == 2 * n and got.where("m <> if(u = 0, 1, 0)").count() == 0
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < n
+    plan = got._jdf.queryExecution().toString()
+    assert "hashpartitioning(u" in plan and "salt" in plan
+    done = components.stars(star.select(F.col("u").alias("id_a"), F.col("v").alias("id_b")))
+    assert done.count() == n + 1 and done.where("component <> 0").count() == 0
+
+
 def test_components_of_nothing_and_bad_edges(spark):
     v = spark.range(3)
     none = spark.createDataFrame([], "id_a long, id_b long")
