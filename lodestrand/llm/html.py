@@ -1,16 +1,18 @@
-"""Main text of web pages: structure first, repeated runs of a host second.
+"""Main text of web pages: what a host's pages do not repeat, with markup as evidence.
 
 A page is cut into blocks.  Its markup places each block: inside the article's
-container (``article``, ``main`` and their like), in a part that never belongs to
-it (menus, headers, footers, sidebars, notices, adverts, forms, comments), or
-open.  A page with a container is its container's blocks, another one its open ones.
-
-Both kinds lose what their host repeats.  The token streams inside and outside
-containers are concatenated, page by page, and a suffix array over them finds the
+container (``article``, ``main`` and their like), open, or in a part that never
+belongs to the article (menus, headers, footers, sidebars, adverts, forms, comments).
+A class or id that only partly reads like such a part (``share-price``) makes a
+block doubtful, no more.  A page with a container is its container's blocks,
+another one its open ones.
+
+All blocks of all pages enter their host's token streams: those inside containers
+one, all others, the never wanted ones too, the other.  The streams are concatenated, page by page, and a suffix array over them finds the
 long substrings that occur on several pages.  Outside containers two pages make a
-substring boilerplate, whatever the host's size, and the open blocks of a page
-without container lose the tokens it covers.  Inside, where markup speaks for the
-text, it takes half of the host's pages with a container, and three.
+substring boilerplate, whatever the host's size: open and doubtful blocks lose
+the tokens it covers.  Inside, where markup speaks for the text, it takes half
+of the host's pages with a container, and three.
 
 Hosts with many pages are dealt over groups of bounded size by a hash of the page.
 Each group counts the pages of its runs of tokens by their hashes, and the counts
@@ -45,19 +47,24 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul title".split()
 )
-RAW = frozenset("script style textarea noscript template iframe svg math object canvas video audio select xmp noembed noframes".split())
+RAW = frozenset("script style textarea noscript template iframe svg object canvas video audio select xmp noembed noframes".split())
 #: An opening tag of the first closes open ones of the others.
 CLOSES = {k: v for ks, v in ((("li",), ("li", "p")), (("dd", "dt"), ("dd", "dt", "p")), (("tr",), ("tr", "p")), (("option",), ("option",)), (("tbody", "thead", "tfoot"), ("tr", "tbody", "thead", "tfoot", "p"))) for k in ks}
 #: Tags that keep an inner tag from closing outer ones.
 WALLS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html main nav ol section table td th ul menu".split())
-#: Parts that are not the article, by tag, role and by words of class and id.
+#: Parts that are not the article, by tag, role and by words of class and id.  A name of such words and of filling ones is a part's, another one with such a word is doubtful.
 OFF_TAGS = frozenset("nav footer aside form dialog menu head title button label fieldset".split())
 OFF_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 OFF_WORDS = frozenset(
     "ad ads adslot adbox adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promoted promo promotion banner cookie cookies consent gdpr notice notification alert newsletter subscribe subscription signup popup modal overlay paywall toast "
-    "sidebar widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager menu nav navbar navigation toolbar footer masthead comment comments commentlist respond responses discussion disqus reply replies "
-    "copyright legal disclaimer login signin search skip".split()
+    "sidebar widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager menu nav navbar navigation toolbar footer masthead comment comments commentlist respond disqus reply replies "
+    "copyright disclaimer login signin skip".split()
 )
+DOUBTFUL_WORDS = frozenset("legal search discussion responses".split())
+FILLING_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons card center column container content count feed fixed form free global group header icon icons inline inner item items large left link links list local main meta mobile module outer page panel posts primary "
+    "right row secondary section side site slot small sticky sub text thread title top unit up wide wrap wrapper".split()
+) | DOUBTFUL_WORDS
 #: Of these, what makes an article element no article of the page.
 OFF_ARTICLES = frozenset("comment comments reply replies related recommended recommendations sponsored promoted promo advert advertisement widget sidebar teaser".split())
 #: Classes that name a subject, not a part.
@@ -69,22 +76,25 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _ATTR = re.compile(r"""(?:^|(?<=[\s/"']))(class|id|role|hidden|itemprop|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>]|$)""", re.I)
 _PART = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
-MAIN, OFF, OPEN = "main", "off", "open"
+MAIN, OFF, OPEN, MAYBE_MAIN, MAYBE_OPEN = "main", "off", "open", "main?", "open?"
 #: A large host's pages are looked up under so many keys.
 SALTS = 64
 
 
-def _place(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """(is off, is a main container) of an opening tag."""
-    off, main = tag in OFF_TAGS or tag == "header" and not in_main, tag in ("article", "main")
+def _place(tag: str, attrs: str, in_main: bool, in_text: bool = False) -> tuple[bool, bool, bool]:
+    """(is off, is a main container, is doubtful) of an opening tag; a button amid a sentence is its text."""
+    off, main, doubt = tag in OFF_TAGS and not (in_text and tag in ("button", "label")) or tag == "header" and not in_main, tag in ("article", "main"), False
     if attrs and "=" in attrs or "hidden" in attrs:
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
                 if tag not in ("html", "body"):
-                    names = [x for x in value.split() if not x.lower().startswith(SUBJECT_CLASSES)]
-                    words = {y.lower() for x in names for y in _PART.split(x)}
-                    off = off or not (OFF_ARTICLES if main else OFF_WORDS).isdisjoint(words) or not main and not in_main and "header" in value.lower().split()
+                    names = [{y.lower() for y in _PART.split(x) if y and not y.isdigit()} for x in value.split() if not x.lower().startswith(SUBJECT_CLASSES)]
+                    if main:
+                        off = off or any(not OFF_ARTICLES.isdisjoint(words) for words in names)
+                    else:
+                        off = off or any(not OFF_WORDS.isdisjoint(words) and words <= OFF_WORDS | FILLING_WORDS for words in names) or not in_main and "header" in value.lower().split()
+                        doubt = doubt or any(not (OFF_WORDS | DOUBTFUL_WORDS).isdisjoint(words) for words in names)
                     main = main or not MAIN_WORDS.isdisjoint(value.lower().split())
             elif name == "role":
                 off, main = off or value.lower() in OFF_ROLES, main or value.lower() in ("main", "article")
@@ -92,15 +102,15 @@ def _place(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
                 main = main or value.lower() == "articlebody"
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 off = True
-    return off, main and not off
+    return off, main and not off, doubt and not off
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
     """(place, text) of a page's blocks in order; white space is one space, and trimmed."""
     out: list[tuple[str, str]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
     count: Counter = Counter()
-    off = main = 0
+    off = main = doubt = 0
     buf: list[str] = []
     pos, end, lower = 0, len(page), None
 
@@ -108,15 +118,16 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if buf:
             text = " ".join("".join(buf).split())
             if text:
-                out.append((OFF if off else MAIN if main else OPEN, text))
+                out.append((OFF if off else (MAYBE_MAIN if doubt else MAIN) if main else MAYBE_OPEN if doubt else OPEN, text))
             buf.clear()
 
     def pop():
-        nonlocal off, main
-        tag, o, m = stack.pop()
+        nonlocal off, main, doubt
+        tag, o, m, d = stack.pop()
         count[tag] -= 1
         off -= o
         main -= m
+        doubt -= d
 
     while pos < end:
         at = page.find("<", pos)
@@ -176,9 +187,10 @@ def blocks(page: str) -> list[tuple[str, str]]:
             if tag == "hr":
                 flush()
             else:
-                buf.append(" " if tag in ("br", "wbr") else "")
+                buf.append(" " if tag == "br" else "")
             continue
-        o, mn = _place(tag, m.group(3), main > 0)
+        o, mn, dt = _place(tag, m.group(3), main > 0, any(not x.isspace() for x in buf))
+        dt = dt and tag in BLOCK
         if tag in BLOCK or o or mn:
             if tag in BLOCK:
                 flush()
@@ -194,31 +206,27 @@ def blocks(page: str) -> list[tuple[str, str]]:
         elif tag in ("td", "th"):
             buf.append(" ")
         if tag in BLOCK or tag in ("td", "th", "option") or o or mn:
-            if (o or mn) and tag not in BLOCK:
-                flush_inline = o and not off
-                if flush_inline and buf:
-                    # an advert inside a sentence: what comes before and after stays one block
-                    kept = list(buf)
-                    inner, pos = _skip(page, pos, tag)
-                    buf[:] = kept
-                    continue
-            stack.append((tag, o, mn))
+            if o and not off and tag not in BLOCK and tag not in ("td", "th"):
+                pos = _skip(page, pos, tag)  # an advert inside a sentence: what comes before and after stays one block
+                continue
+            stack.append((tag, o, mn, dt))
             count[tag] += 1
             off += o
             main += mn
+            doubt += dt
     flush()
     return out
 
 
-def _skip(page: str, pos: int, tag: str) -> tuple[str, int]:
+def _skip(page: str, pos: int, tag: str) -> int:
     """Past the end tag that matches an inline element opened before ``pos``."""
     depth, at = 1, pos
     for m in re.compile(rf"<(/?){re.escape(tag)}\b[^>]*>", re.I).finditer(page, pos):
         depth += -1 if m.group(1) else 1
         at = m.end()
         if not depth:
-            return page[pos : m.start()], m.end()
-    return page[pos:at], at
+            break
+    return at
 
 
 def covered(pages: list[list[list[int]]], run: int, share: float, least: int = 2) -> list[list[np.ndarray]]:
@@ -377,10 +385,11 @@ def extract(
         t = t.combine_chunks()
         ids, urls, texts, places = (t.column(c).to_pylist() for c in ("page_id", "url", "blocks", "places"))
         out = {"page_id": ids, "url": urls, "text": []}
+        wanted = [(MAIN, MAYBE_MAIN) if MAIN in p or MAYBE_MAIN in p else (OPEN, MAYBE_OPEN) for p in places]
         gone: dict[tuple[int, int], np.ndarray] = {}
         for inside in (False, True):
-            if not inside and all(MAIN in p for p in places):
-                continue
+            if not any((x == MAIN) == inside and x in w for p, w in zip(places, wanted) for x in p):
+                continue  # no block depends on this stream
             words, at = streams(t, inside)
             if t.num_rows and t.column("groups")[0].as_py() > 1:
                 k = known.filter(pc.equal(known.column("inside"), inside))
@@ -393,10 +402,9 @@ def extract(
                 masks = covered(numbers, run, main_share, main_pages) if inside else covered(numbers, run, 0.0, pages)
             gone.update(zip((k for p in at for k in p), (m for p in masks for m in p)))
         for k in range(len(ids)):
-            wanted = MAIN if MAIN in places[k] else OPEN
             got = []
             for b, (text, place) in enumerate(zip(texts[k], places[k])):
-                if place == wanted:
+                if place in wanted[k]:
                     mask = gone[k, b]
                     left = " ".join(w for w, c in zip(text.split(), mask) if not c) if mask.any() else text
                     if left:

@@ -39,6 +39,84 @@ def test_blocks_in_the_article(page, want):
         assert main(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>long<wbr>word a<br>b</p></article>", ["longword a b"]),
+        ("<article><p>press <button>Save</button> and <math><mi>x</mi></math> is kept</p><button>Buy</button></article>", ["press Save and x is kept"]),
+        ("<article><p><span class='ad'>buy</span>one <i class=promo>two</i> three</article>", ["one three"]),
+        ("<article><div class='comment-list'>no</div><div class='site-footer'>no</div><div class='related-posts-2'>no</div><p>q</p></article>", ["q"]),
+    ],
+)
+def test_more_blocks_in_the_article(page, want):
+    assert main(page) == want
+
+
+NAMES = ("<p class='share-price'>{}</p>", "<p class='legal-analysis'>{}</p>", "<section class='search-engines'>{}</section>", "<div id='menu-planning'>{}</div>", "<div class='discussion'>{}</div>")
+
+
+def test_a_piece_of_a_name_makes_a_block_doubtful_and_repetition_decides(spark, monkeypatch):
+    own = lambda i, k: " ".join(f"p{i}k{k}x{j}" for j in range(9))
+    said = "press here to hear of our shares and of all our prices"
+    page = lambda i: "<article><h1>t</h1>" + "".join(n.format(own(i, k)) for k, n in enumerate(NAMES)) + f"<div class='share-price-box'>{said}</div></article>"
+    df = spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(5)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {i: "\n\n".join(["t", *(own(i, k) for k in range(len(NAMES)))]) for i in range(5)}
+    # the suffix array does that, not the name
+    html_decides = html.extract(df.where("page_id = 0")).first().text
+    assert html_decides.endswith(said)
+
+
+def test_what_one_page_marks_is_known_on_another(spark):
+    foot = "all rights kept by the makers of this fine site"
+    rows = [(1, "http://h/1", f"<article><p>one</p></article><footer>{foot}</footer>"), (2, "http://h/2", f"<div>two</div><div>{foot}</div>"), (3, "http://g/2", f"<div>two</div><div>{foot}</div>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "one", 2: "two", 3: f"two\n\n{foot}"}
+
+
+def brute_text(pages, run=8, least=2, main_least=3, share=0.5):
+    """The text of each page of one host by the definition, all its pages at once."""
+    found = [html.blocks(p) for p in pages]
+    mask = {}
+    for inside in (False, True):
+        at = [(i, [k for k, (place, _) in enumerate(b) if (place == html.MAIN) == inside]) for i, b in enumerate(found)]
+        at = [(i, ks) for i, ks in at if ks]
+        need = max(main_least, -(-len(at) * share // 1)) if inside else least
+        cover = brute_cover([[found[i][k][1].lower().split() for k in ks] for i, ks in at], run, need)
+        mask |= {(i, k): m for (i, ks), ms in zip(at, cover) for k, m in zip(ks, ms)}
+    out = []
+    for i, b in enumerate(found):
+        has = any(place in (html.MAIN, html.MAYBE_MAIN) for place, _ in b)
+        wanted = (html.MAIN, html.MAYBE_MAIN) if has else (html.OPEN, html.MAYBE_OPEN)
+        left = [" ".join(w for w, c in zip(t.split(), mask[i, k]) if not c) for k, (place, t) in enumerate(b) if place in wanted]
+        out.append("\n\n".join(x for x in left if x))
+    return out
+
+
+def test_hosts_of_any_size_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, want = [], {}
+    for size in (1, 2, 30, 400, 900):
+        shared = [some(rng.randrange(6, 16)) for _ in range(8)]
+        pages = []
+        for _ in range(size):
+            body = [some(rng.randrange(3, 25))] + [x for x in shared[:5] if rng.random() < 0.1] + [shared[5]] * (rng.random() < 0.6) + [shared[6]]
+            rng.shuffle(body)
+            tags = [rng.choice(["<p>{}</p>", "<div class='share-price'>{}</div>", "<footer>{}</footer>", "<p>{}</p>"]).format(x) for x in body]
+            pages.append(("<article>{}</article><nav>" + shared[7] + "</nav>" if rng.random() < 0.5 else "<body>{}</body>").format("".join(tags)))
+        for i, (p, t) in enumerate(zip(pages, brute_text(pages))):
+            rows.append((len(rows), f"http://h{size}/{i}", p))
+            want[rows[-1][0]] = t
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for groups in (400, 60):
+        got = {r.page_id: r.text for r in html.extract(df, group_pages=groups).collect()}
+        assert got == want
+
+
 def test_very_long_and_deep_pages_take_linear_time():
     assert main("<article>" + "<div>" * 50_000 + "x" + "</p>" * 50_000) == ["x"]
     assert main("<article><p>" + "<!--" * 50_000) == []
