@@ -7,7 +7,8 @@ centroids are nearest, and more until they hold as many candidates as are wanted
 In each block of a list the query's asymmetric distance
 tables rank all entries by their codes; the best, as many as the sample needs and
 all that tie with the last, are ranked again by the exact distance of the original vectors, which lie in the block, and blocks are merged.
-Long lists are dealt over blocks of bounded size, to all of which a query goes.
+Long lists are dealt over blocks of bounded size, to all of which a query goes,
+and the queries of a list that many ask for over parts of bounded size.
 
 Rows: null vectors, zero vectors, those with null or non-finite components and
 those whose length is not the most frequent one take no part, nor do null ids.
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from ..storage import materialize, ship
 from .common import slices
 
-#: Rows that the model is fitted on, at most; most lists; rows of a block.
-FIT_ROWS, MOST_LISTS, BLOCK_ROWS = 20_000, 4_096, 20_000
+#: Rows that the model is fitted on, at most; most lists; rows of a block; queries of a block.
+FIT_ROWS, MOST_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 20_000, 4_096, 20_000, 5_000
+#: Rows of a distance table that is held at once.
+CHUNK = 2_048
 
 
 @dataclass
@@ -71,17 +74,21 @@ class Index:
         return ((r - self.codebooks[None]) ** 2).sum(-1)
 
 
+def closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest row of ``c`` to each of ``x``, a chunk of the distances at a time."""
+    norm = (c**2).sum(1)[None, :]
+    return np.concatenate([(norm - 2 * x[i : i + CHUNK] @ c.T).argmin(1) for i in range(0, len(x), CHUNK)] or [np.zeros(0, np.int64)])
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = ((c**2).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
-        n = np.bincount(near, minlength=k)
-        full = n > 0
-        c[full] = total[full] / n[full, None]
-        if not full.all():
-            c[~full] = x[rng.choice(len(x), int((~full).sum()))]
+        near = closest(x, c)
+        order = np.argsort(near, kind="stable")
+        full, first = np.unique(near[order], return_index=True)
+        c[full] = np.add.reduceat(x[order], first, axis=0) / np.bincount(near, minlength=k)[full, None]
+        empty = np.setdiff1d(np.arange(k), full)
+        c[empty] = x[rng.choice(len(x), len(empty))]
     return c
 
 
@@ -98,7 +105,7 @@ def fit(sample: np.ndarray, rows: int, *, groups: int = 16, codes: int = 256, re
         groups -= 1
     lists = int(min(MOST_LISTS, max(1, round(rows**0.5)), max(1, len(x) // 8)))
     centroids = kmeans(x, lists, 8, rng)
-    near = ((centroids**2).sum(1)[None, :] - 2 * x @ centroids.T).argmin(1)
+    near = closest(x, centroids)
     res, w = x - centroids[near], dims // groups
     books = np.stack([kmeans(res[:, k * w : (k + 1) * w], min(codes, len(x)), 6, rng) for k in range(groups)])
     index = Index(centroids, books, lists)
@@ -208,12 +215,16 @@ def search(df: DataFrame, queries: Column, *, vec_id: str = "vec_id", vector: st
             c = b.take(pa.array([r for r, _, _ in at], pa.int64()))
             yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([i for _, i, _ in at], pa.int32()), pa.array([s for _, _, s in at], pa.int32())], names=["q", "qv", "list", "block"])
 
-    probes = q.select("id", "v", "own").mapInArrow(probe, "q long, qv array<double>, list int, block int")
-    how_many = F.lit(1)
-    long_lists = [(i, n_) for i, n_ in blocks.items() if n_ > 1]
-    if long_lists:
-        how_many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in long_lists for x in p]), F.col("list")), F.lit(1))
-    dealt = entries.withColumn("block", F.pmod(F.xxhash64("id"), how_many).cast("int"))
+    def parts_of(parts: dict[int, int]) -> Column:
+        many = [F.lit(x) for i, n_ in parts.items() if n_ > 1 for x in (i, n_)]
+        return F.coalesce(F.element_at(F.create_map(*many), F.col("list")), F.lit(1)) if many else F.lit(1)
+
+    probes = materialize(q.select("id", "v", "own").mapInArrow(probe, "q long, qv array<double>, list int, block int"), "ann-probes")
+    # both sides of a list are dealt: its vectors over blocks, to all of which a query goes, and its queries over parts, to all of which a vector goes
+    asked = {r.list: r["count"] for r in probes.where("block = 0").groupBy("list").count().collect()}
+    parts = parts_of({i: -(-n_ // BLOCK_QUERIES) for i, n_ in asked.items()})
+    probes = probes.withColumn("part", F.pmod(F.xxhash64("q"), parts).cast("int"))
+    dealt = entries.withColumn("block", F.pmod(F.xxhash64("id"), parts_of(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
 
     def scan(e: pa.Table, p: pa.Table) -> pa.Table:
         ix = shared.value
@@ -240,6 +251,6 @@ def search(df: DataFrame, queries: Column, *, vec_id: str = "vec_id", vector: st
                     out["score"] += exact[top_k].tolist()
         return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    found = dealt.groupBy("list", "block").cogroup(probes.groupBy("list", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    found = dealt.groupBy("list", "block", "part").cogroup(probes.groupBy("list", "block", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

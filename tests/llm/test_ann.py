@@ -37,6 +37,7 @@ def test_query_against_brute_force(spark, sf_dir):
 
 def test_clusters_long_lists_and_copies(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 3)
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.3, (250, 12)) for c in rng.normal(0, 4, (6, 12))] + [np.full((500, 12), 1.5)])
     ids = rng.permutation(len(x))
@@ -94,3 +95,14 @@ def test_large_groups_of_near_copies(spark):
 
 def test_all_ties_of_the_last_are_ranked():
     assert ann.nearest(np.array([1.0, 0.0, 1.0, 1.0, 2.0]), 2).tolist() == [0, 1, 2, 3]
+
+
+def test_small_remote_groups_get_all_ranks(spark):
+    """Groups of one to five vectors far from tight clusters: their lists hold fewer than ten."""
+    rng = np.random.default_rng(7)
+    x = [rng.normal(c, 0.05, (400, 12)) for c in rng.normal(0, 1, (8, 12))]
+    small = [rng.normal(c, 0.05, (1 + k % 5, 12)) for k, c in enumerate(rng.normal(0, 40, (25, 12)))]
+    x = np.concatenate(x + small)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.search(df, F.col("vec_id") >= 3200, groups=4).collect()
+    assert len(rows) == 10 * (len(x) - 3200) and recall(rows, np.arange(len(x)), x, range(3200, len(x))) >= 0.9
