@@ -6,8 +6,10 @@ radius ``r`` and those that meet in a value are linked; copies are collapsed
 first.  What is shuffled is not the ball's thousands of values one by one but
 its cells: the value space is cut by a prefix that grows with the logarithm of
 the number of fingerprints, a fingerprint goes once to each cell its ball
-touches, and the cell makes the values that fall into it.  Values are
-deduplicated by sorting, and colliding fingerprints are verified.
+touches, and the cell makes the values that fall into it.  Every value has one
+cell, so two fingerprints meet there exactly if they emit a common value, as if
+they were shuffled on the values themselves.  Values are deduplicated by sorting,
+and colliding fingerprints are verified.
 
 Rows: a null or empty text has fingerprint zero and is linked like any other.
 A null id never is the smallest of a class unless the class has no other.
@@ -22,12 +24,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import stars
 from ..storage import materialize
-from .common import free_name, map_batches
+from .common import free_name, map_batches, row_hash
 
 #: Ball values that a cell makes at once; fuller cells are dealt over more tasks.
 CELL_VALUES = 4_000_000
@@ -199,6 +200,21 @@ def ball_links(fps: DataFrame, fp: str = "fp", *, radius: int = 4) -> DataFrame:
     return dealt.groupBy("cell", "shard").applyInArrow(links, "a long, b long").distinct()
 
 
+def components(prints: DataFrame, fp: str = "fp", *, radius: int = 4) -> DataFrame:
+    """(fp, component) of each distinct fingerprint that links with another: the class is named by one of its fingerprints."""
+    return stars(ball_links(prints, fp, radius=radius), "a", "b").withColumnsRenamed({"id": "node"}).select(F.col("node").alias("fp"), "component")
+
+
+def _leaders(prints: DataFrame, leader: Column, radius: int) -> DataFrame:
+    """(fp, leader): the least ``leader`` of each fingerprint's class."""
+    reps = prints.groupBy("fp").agg(F.min(leader).alias("least"))
+    parts = components(prints, radius=radius).withColumnRenamed("fp", "node")
+    joined = reps.join(parts, reps.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    joined = materialize(joined, "simhash-reps")
+    whole = joined.groupBy("component").agg(F.min("least").alias("leader"))
+    return joined.join(whole, "component").select("fp", "leader")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of every row: its class is the smallest id it reaches.
 
@@ -206,28 +222,31 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     closed under links.
     """
     prints = materialize(fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text", width=width).select("doc_id", "fp"), "simhash-fp")
-    links = ball_links(prints, radius=radius)
-    parts = stars(links, "a", "b").withColumnsRenamed({"id": "node"})
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = reps.join(parts, reps.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    joined = materialize(joined, "simhash-reps")
-    whole = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = joined.join(whole, "component").select("fp", "component_id")
+    names = _leaders(prints, F.col("doc_id"), radius).withColumnRenamed("leader", "component_id")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each class: that with the smallest id.
+def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each class: that with the smallest id, of equal ids that whose columns hash lowest.
 
-    Rows without an id can't be named by a class and all stay; of rows that share
-    an id, the one whose columns hash lowest.  Columns are those of ``df``.
+    Rows without an id come last, and are copies like any other.  Different texts
+    that share an id are each looked at for themselves.  The columns are those of
+    ``df``.  What goes is listed, so texts stay where they are if the list is short.
     """
-    klass = near_duplicates(df.where(F.col(doc_id).isNotNull()), doc_id, text, **how)
-    kept = klass.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    n = free_name(df.columns, "_kept")
-    kept = kept.withColumnRenamed("_kept", n)
-    first = free_name(df.columns, "_first")
-    named = df.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col(n), "left_semi")
-    order = W.partitionBy(doc_id).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    named = named.withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).drop(first)
-    return named.unionByName(df.where(F.col(doc_id).isNull()))
+    h, f = free_name(df.columns, "_hash"), free_name(df.columns, "_fp")
+    rows = df.withColumn(h, row_hash(df))
+    prints = fingerprint(rows.select(F.col(doc_id).alias("doc_id"), F.col(h).alias("h"), F.col(text).alias("_text")), "_text", width=width).select("doc_id", "h", "fp")
+    prints = materialize(prints, "simhash-fp")
+    best = _leaders(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"), radius)
+    stays = F.col("doc_id").eqNullSafe(F.col("leader.doc_id")) & (F.col("h") == F.col("leader.h"))
+    # rows equal in all columns have one name; if it is to stay, one of them is added again
+    repeated = materialize(prints.groupBy("doc_id", "h", "fp").agg(F.count("*").alias("n")).where("n > 1").join(best, "fp").where(stays).select("doc_id", "h"), "simhash-repeated")
+    some = not repeated.isEmpty()
+    gone = prints.join(best, "fp").where(~stays).select("doc_id", "h").distinct()
+    gone = materialize(gone.unionByName(repeated) if some else gone, "simhash-gone").withColumnsRenamed({"doc_id": f + "i", "h": f + "h"})
+    same = lambda g: F.col(doc_id).eqNullSafe(g[f + "i"]) & (F.col(h) == g[f + "h"])
+    kept = rows.join(gone, same(gone), "left_anti")
+    if some:
+        again = repeated.withColumnsRenamed({"doc_id": f + "i", "h": f + "h"})
+        kept = kept.unionByName(rows.join(again, same(again), "left_semi").dropDuplicates([doc_id, h]))
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])

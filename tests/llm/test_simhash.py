@@ -100,4 +100,10 @@ def test_rows(spark):
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 5, 8]
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    shared = spark.createDataFrame(
+        [(1, words("a")), (1, words("b")), (1, words("b")), (2, words("b")), (None, words("c")), (None, words("c")), (None, words("a")), (3, words("d")), (3, words("d"))], "doc_id long, text string"
+    )
+    got = sorted(((r.doc_id, r.text[0]) for r in simhash.drop_near_duplicates(shared).collect()), key=str)
+    assert got == sorted([(1, "a"), (1, "b"), (None, "c"), (3, "d")], key=str)
     assert brute_print(long_text) == [r.fp for r in simhash.fingerprint(df.where("doc_id = 8").select("doc_id", "text")).collect()][0] % (1 << 64)
