@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from ..storage import discard, materialize
 
 
-#: A node with so many links, and with more than its share of all, is a hub.
-HUB, HUBS = 200, 500
-#: Up to so many links several star steps run before a round is written.
-FEW_LINKS, STEPS = 500_000, 2
+#: A node with so many links, and with more than its share of all, is a hub; among fewer links than FEW none is looked for.
+HUB, HUBS, FEW = 200, 500, 1_000
 
 
-def _with_least(links: DataFrame, rows: int) -> DataFrame:
+def _with_least(links: DataFrame, hub: int | None) -> DataFrame:
     """(u, v, m): links (u, v) with the smallest v of their u.
 
-    A hub's links are dealt over salts, and its one row of the smallest is repeated
-    for them.  ``rows`` is about the number of links; as hubs have a
-    share of them, their list is never longer than twice HUBS and is broadcast.
+    The links of a node with more than ``hub`` of them are dealt over salts, and its one row of the smallest is repeated
+    for them.  As hubs have a share of all links, their list is never longer than
+    a few times HUBS and is broadcast.
     """
-    hub = max(HUB, rows // HUBS)
+    if hub is None:
+        return links.join(links.groupBy("u").agg(F.min("v").alias("m")), "u")
     salts = F.ceil(F.col("links") / hub).cast("int")
     least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("links"))
     hubs = F.broadcast(least.where(F.col("links") > hub).select("u", salts.alias("salts")))
@@ -31,13 +30,16 @@ def _with_least(links: DataFrame, rows: int) -> DataFrame:
 
 
 def _star(cur: DataFrame, rows: int) -> DataFrame:
-    """One large-star and one small-star step over links (u, v), u > v."""
-    # large star: neighbours above a node get the smallest of the node and its neighbours
+    """A large-star and a small-star step over ``rows`` links (u, v), u > v."""
     both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = _with_least(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v")
+    hub = max(HUB, 2 * rows // HUBS)
+    if rows < FEW or both.groupBy("u").count().agg(F.max("count")).first()[0] <= hub:
+        hub = None
+    # large star: neighbours above a node get the smallest of the node and its neighbours
+    large = _with_least(both, hub).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v")
     # small star: neighbours below a node, and the node, get its smallest neighbour
     pair = F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))
-    small = _with_least(large, 2 * rows).select(F.explode(pair).alias("s"))
+    small = _with_least(large, hub).select(F.explode(pair).alias("s"))
     return small.select(F.col("s.x").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct()
 
 
@@ -57,11 +59,8 @@ def stars(edges: DataFrame, a: str = "id_a", b: str = "id_b", *, most_rounds: in
 
     cur, seen = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     for _ in range(most_rounds):
-        rows = cur
-        for _ in range(STEPS if seen["n"] <= FEW_LINKS else 1):
-            rows = _star(rows, seen["n"])
         before = cur
-        cur, now = written(rows)
+        cur, now = written(_star(cur, seen["n"]))
         discard(before)
         if seen == now:
             break
