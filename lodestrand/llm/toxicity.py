@@ -254,8 +254,8 @@ def summed(pats: DataFrame, table, shape: tuple[int, ...]) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"at": at, "s": total.ravel()[at]})
 
     out = np.zeros(shape)
-    got = pats.select("votes", "label", "n").mapInArrow(add, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).toPandas()
-    out.ravel()[got["at"].to_numpy()] = got["s"].to_numpy()
+    got = pats.select("votes", "label", "n").mapInArrow(add, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).toArrow()
+    out.ravel()[got.column("at").to_numpy()] = got.column("s").to_numpy()
     return out
 
 
