@@ -6,6 +6,10 @@ joined on (length, part, seed) - an equi-join that Spark shuffles by seed - and
 the bounded distance is a residual predicate of that join.  A theta join on the
 distance alone would be a Cartesian product.
 
+Most pairs that share a seed share nothing else.  An edit changes three
+substrings of three letters at most, so pairs that differ in more than 3 d of
+them are dropped by comparing two longs, before the distance is computed.
+
 Frequent seeds would make one task verify most candidates.  They are looked for
 in a sample of the strings, on both sides, and each side of a frequent seed is dealt over salts and
 repeated for the other's, so a task compares blocks of bounded size.  The sample
@@ -14,6 +18,9 @@ decides only how work is dealt, never what is found.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +31,25 @@ from ..storage import materialize
 HOT_SEED, SAMPLE = 1_000, 16
 
 
+#: The substrings of three letters that are compared as sets; one is a bit of a long.
+GRAM = 3
+GRAMS = ["".join(g) for g in product("ACGT", repeat=GRAM)]
+
+
+def grams(s: Column, *, back: bool = False) -> Column:
+    """Which of GRAMS a string, or its reverse complement, contains; those with other letters do not count."""
+    own = [g[::-1].translate(str.maketrans("ACGT", "TGCA")) if back else g for g in GRAMS]
+    bits = [1 << k if k < 63 else -(1 << 63) for k in range(len(own))]
+    one = [F.when(F.contains(s, F.lit(g)), F.lit(bit)).otherwise(F.lit(0)).cast("long") for g, bit in zip(own, bits)]
+    return reduce(lambda x, y: x.bitwiseOR(y), one)
+
+
+def may_be_near(x: Column, y: Column, d: int) -> Column:
+    """Whether strings with these ``grams`` can be within ``d`` edits."""
+    gone = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))) <= GRAM * d
+    return gone(x, y) & gone(y, x)
+
+
 def _check(d: int) -> None:
     if d < 0:
         raise ValueError("the distance must not be negative")
@@ -48,7 +74,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: list[str], left_of: str,
 
 def _seeds_short(u: DataFrame, d: int, both: bool) -> DataFrame:
     """Seeds of the shorter string: its parts, and their complements if ``both``."""
-    own = [F.col("sequence").alias("a"), *([F.col("seq_id").alias("a_id")] if "seq_id" in u.columns else [])]
+    own = [F.col("sequence").alias("a"), F.col("grams").alias("a_grams"), *([F.col("seq_id").alias("a_id")] if "seq_id" in u.columns else [])]
     s = u.select("*", F.length("sequence").alias("n"), F.explode(parts(F.length("sequence"), d + 1)).alias("p"))
     seed = piece(F.col("sequence"), F.col("p.st"), F.col("p.sz"))
     seed = F.explode(F.array_distinct(F.array(seed, revcomp(seed)))) if both else seed
@@ -61,7 +87,7 @@ def _seeds_long(u: DataFrame, d: int, complete: bool, strands: bool) -> DataFram
     Complete: both strands as strings of their own, shifts from -m to delta + m with
     m = (d - delta) / 2.  Otherwise: shifts from 0 to delta, and complements of the seeds.
     """
-    own = ["sequence", *(["seq_id"] if "seq_id" in u.columns else [])]
+    own = ["sequence", "grams", "back_grams", *(["seq_id"] if "seq_id" in u.columns else [])]
     n_b = F.length("sequence")
     s = u.select(*own, F.explode(F.sequence(F.lit(0), F.lit(d))).alias("delta")).where(F.col("delta") <= n_b)
     # shorter lengths that do not occur need no seeds
@@ -78,22 +104,26 @@ def _seeds_long(u: DataFrame, d: int, complete: bool, strands: bool) -> DataFram
     seeds_of = lambda text: F.transform(fits, lambda sh: piece(text, F.col("p.st") + sh, F.col("p.sz")))
     fwd = F.col("sequence")
     if complete:
-        sides = F.array(fwd, revcomp(fwd)) if strands else F.array(fwd)
-        s = s.select(*own, "delta", "n", "p", F.explode(F.array_distinct(sides)).alias("o"))
+        sides = [F.struct(fwd.alias("o"), "grams"), *([F.struct(revcomp(fwd).alias("o"), F.col("back_grams").alias("grams"))] if strands else [])]
+        s = s.select(*own, "delta", "n", "p", F.explode(F.array_distinct(F.array(*sides))).alias("side"))
+        s = s.withColumns({"o": F.col("side.o"), "grams": F.col("side.grams")})
         seeds = seeds_of(F.col("o"))
     else:
         s = s.withColumn("o", fwd)
         seeds = F.concat(seeds_of(fwd), F.transform(seeds_of(fwd), revcomp))
     ids = [F.col("seq_id").alias("b_id")] if "seq_id" in u.columns else []
-    return s.select(fwd.alias("b"), *ids, "o", "n", F.col("p.part").alias("part"), F.explode(F.array_distinct(seeds)).alias("seed"))
+    return s.select(fwd.alias("b"), *ids, "o", F.col("grams").alias("o_grams"), *([] if complete else ["back_grams"]), "n", F.col("p.part").alias("part"), F.explode(F.array_distinct(seeds)).alias("seed"))
 
 
 def candidates(u: DataFrame, d: int, mode: str, strands: bool) -> DataFrame:
-    """(a, b, o[, a_id, b_id]): pairs that share a seed, a the shorter, or the smaller of equal lengths."""
+    """(a, b, o[, a_id, b_id]): pairs that share a seed and most grams, a the shorter, or the smaller of equal lengths."""
     complete = mode == "complete"
     short, long_ = _seeds_short(u, d, not complete), _seeds_long(u, d, complete, strands)
     ordered = (F.length("b") > F.col("n")) | (F.col("a") < F.col("b"))
-    return salted_join(short, long_, ["n", "part", "seed"], "a", "b").where(ordered)
+    near = may_be_near(F.col("a_grams"), F.col("o_grams"), d)
+    if not complete:
+        near |= may_be_near(F.col("a_grams"), F.col("back_grams"), d)
+    return salted_join(short, long_, ["n", "part", "seed"], "a", "b").where(ordered).where(near)
 
 
 def _verified(u: DataFrame, d: int, mode: str, strands: bool, lengths: tuple[int, int] | None) -> DataFrame:
@@ -103,7 +133,10 @@ def _verified(u: DataFrame, d: int, mode: str, strands: bool, lengths: tuple[int
         raise ValueError(f"unknown mode {mode}")
     if lengths is not None:
         u = u.where(F.length("sequence").isin(*lengths))
-    c = candidates(u.where("sequence is not null"), d, mode, strands)
+    u = u.where("sequence is not null").repartition(u.sparkSession.sparkContext.defaultParallelism)
+    # written once: both sides of the join, their samples and the lengths are read from it, by all cores
+    u = materialize(u.withColumns({"grams": grams(F.col("sequence")), "back_grams": grams(F.col("sequence"), back=True)}), "grams")
+    c = candidates(u, d, mode, strands)
     if lengths is not None:
         c = c.where((F.col("n") == min(lengths)) & (F.length("b") == max(lengths)))
     if mode == "complete":
