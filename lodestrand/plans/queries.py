@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,6 +149,34 @@ def edge_table(spark, sf_dir):
     return scan.read_edges(spark, out)
 
 
+def length_tables(spark, sf_dir):
+    """The uniques written as one table a length, and found again by the names of the files."""
+    out = scratch(spark, "lengths")
+    sinks.write_length_tables(uniques(spark, sf_dir), out)
+    found = [scan.read_unique_table(spark, path).withColumn("length", F.lit(n)) for n, path in scan.discover_lengths(spark, out).items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def cluster_table(spark, sf_dir):
+    """Clusters within one edit written as a text table and scanned again."""
+    out = f"{scratch(spark, 'clusters')}/clusters.csv"
+    sinks.write_clusters(clusters.cluster(uniques(spark, sf_dir), 1), out, single=False)
+    rows = spark.read.csv(out, sep="\t", schema="sequence string, cluster_size string, total_count string").where("sequence <> 'sequence'")
+    return rows.select("sequence", F.col("cluster_size").cast("long").alias("cluster_size"), F.col("total_count").cast("long").alias("total_count"))
+
+
+def _greedy_fasta(members: bool):
+    def run(spark, sf_dir):
+        """Greedy groups written as FASTA and scanned again as a ranking by total."""
+        out = f"{scratch(spark, 'greedy')}/greedy.fasta"
+        named = reads(spark, sf_dir).where(fn.is_valid("sequence")).withColumn("header", F.concat(F.lit("read"), F.col("read_idx").cast("string")))
+        groups = greedy.summarise_greedy(greedy.greedy_seen(greedy.named_uniques(named)))
+        sinks.write_greedy_fasta(groups, out, members=members, single=False)
+        return scan.read_ranked_fasta(spark, out).withColumnRenamed("rec", "place")
+
+    return run
+
+
 def header_counts(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     h = o.select("o_orderkey", F.concat(F.lit("run 1:N:0:ACGT Nmembers:"), (F.col("o_custkey") % 7).cast("string"), F.lit(" N:"), (F.col("o_orderkey") % 1000).cast("string")).alias("header"))
@@ -225,6 +255,14 @@ def components_d1(spark, sf_dir):
     return components.connected_components(u.select(F.col("seq_id").alias("id")), edges)
 
 
+def disjoint_sets(spark, sf_dir):
+    """The same components by a batch of unions over numbers."""
+    u = unique.with_ids(uniques(spark, sf_dir))
+    sets = components.DisjointSets(spark, u.count())
+    sets.update(simjoin.similar_edges(u, 1))
+    return sets.components()
+
+
 def _clusters(d: int, mode: str = "complete"):
     def run(spark, sf_dir):
         return clusters.cluster(uniques(spark, sf_dir), d, mode=mode).select("sequence", "cluster_size", "total_count")
@@ -273,6 +311,11 @@ def agreement_report(spark, sf_dir):
     return sinks.report_lines(agreement.topn_overlap(*_two_rankings(spark, sf_dir)))
 
 
+def plot_data(spark, sf_dir):
+    old, new = _two_rankings(spark, sf_dir)
+    return sinks.plot_data(agreement.topn_overlap(old, new), agreement.count_cdf(old), agreement.count_cdf(new))
+
+
 QUERIES = {
     "unique_reads": unique_reads, "unique_table": unique_table, "read_stats": read_stats, "length_profile": length_profile, "length_totals": length_totals,
     "length_partitions": length_partitions, "length_offsets": length_offsets, "seq_ids": seq_ids, "invalid_reads": invalid_reads, "doc_dedup": doc_dedup,
@@ -283,6 +326,7 @@ QUERIES = {
     "part_name_pairs": part_name_pairs, "components_d1": components_d1, "clusters_d1": _clusters(1), "clusters_d2": _clusters(2), "clusters_d2_reference": _clusters(2, "reference"),
     "run_stats_d1": run_stats_d1, "greedy_seen": _greedy("seen", 1), "greedy_seen_2": _greedy("seen", 2), "greedy_ball": _greedy("ball", 1), "greedy_ball_2": _greedy("ball", 2),
     "ranked": ranked, "count_cdf": count_cdf, "topn_overlap": topn_overlap, "agreement_report": agreement_report,
+    "length_tables": length_tables, "cluster_table": cluster_table, "greedy_fasta": _greedy_fasta(False), "greedy_fasta_members": _greedy_fasta(True), "disjoint_sets": disjoint_sets, "plot_data": plot_data,
 }
 
 _TWO = f"""{UNIQUES},
@@ -338,6 +382,7 @@ ORACLE = {
     "length_profile": f"WITH {UNIQUES} SELECT len AS length, count(*) AS uniques, CAST(sum(n) AS BIGINT) AS reads FROM u GROUP BY len",
     "length_totals": f"WITH {UNIQUES} SELECT coalesce(len, -1) AS length, count(*) AS uniques, CAST(sum(n) AS BIGINT) AS reads FROM u GROUP BY ROLLUP (len)",
     "length_partitions": f"WITH {UNIQUES} SELECT sequence, n AS count, len AS length FROM u",
+    "length_tables": f"WITH {UNIQUES} SELECT sequence, n AS count, len AS length FROM u",
     "length_offsets": f"WITH {UNIQUES}, c AS (SELECT len AS length, count(*) AS uniques FROM u GROUP BY len) SELECT length, uniques, CAST(sum(uniques) OVER (ORDER BY length) - uniques AS BIGINT) AS offset FROM c",
     "seq_ids": f"WITH {UNIQUES} SELECT id AS seq_id, sequence, n AS count FROM o",
     "invalid_reads": f"WITH r AS ({READS}) SELECT read_idx, sequence FROM r WHERE length(translate(sequence, 'ACGT', '')) > 0",
@@ -366,6 +411,9 @@ SELECT x AS id_a, y AS id_b FROM p UNION ALL SELECT y, x FROM p WHERE length(a)
     "clusters_d1": f"WITH RECURSIVE {UNIQUES}, {_brute(1)}, {CLUSTERS}",
     "clusters_d2": f"WITH RECURSIVE {UNIQUES}, {_brute(2)}, {CLUSTERS}",
     "clusters_d2_reference": f"WITH RECURSIVE {UNIQUES}, {_seeded(2)}, {CLUSTERS}",
+    "cluster_table": f"WITH RECURSIVE {UNIQUES}, {_brute(1)}, {CLUSTERS}",
+    "disjoint_sets": f"WITH RECURSIVE {UNIQUES}, {_brute(1)}, {COMPONENTS} SELECT id, component FROM comp",
+    **{name: f"SELECT row_number() OVER (ORDER BY total_count DESC, root_first_seen) - 1 AS place, sequence, total_count AS count FROM (WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=1)},\n{_GROUPS})" for name in ("greedy_fasta", "greedy_fasta_members")},
     "run_stats_d1": f"WITH RECURSIVE {UNIQUES}, {_brute(1)}, {COMPONENTS} SELECT (SELECT count(*) FROM u) AS uniques, CAST((SELECT sum(n) FROM u) AS BIGINT) AS reads, (SELECT count(*) FROM p) AS pairs, (SELECT count(DISTINCT component) FROM comp) AS clusters",
     "greedy_seen": f"WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=1)},\n{_GROUPS}",
     "greedy_seen_2": f"WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=2)},\n{_GROUPS}",
@@ -374,5 +422,6 @@ SELECT x AS id_a, y AS id_b FROM p UNION ALL SELECT y, x FROM p WHERE length(a)
     "ranked": f"WITH {_TWO} SELECT rank, sequence, n AS count FROM k WHERE side = 0",
     "count_cdf": f"WITH {_TWO} SELECT rank, sum(n) OVER (ORDER BY rank) / sum(n) OVER () AS cdf FROM k WHERE side = 0",
     "topn_overlap": f"{_SHARED} SELECT rank, fraction_shared FROM s",
+    "plot_data": f"{_SHARED} SELECT 'shared' AS series, rank, fraction_shared AS value FROM s UNION ALL SELECT CASE side WHEN 0 THEN 'cdf_old' ELSE 'cdf_new' END, rank, sum(n) OVER (PARTITION BY side ORDER BY rank) / sum(n) OVER (PARTITION BY side) FROM k",
     "agreement_report": f"{_SHARED} SELECT rank, 'Top ' || lpad(format('{{:,}}', rank), 7, ' ') || ': ' || printf('%4.2f', 100 * fraction_shared) || '% shared' AS line FROM s WHERE rank IN (1, 10, 100, 1000, 10000, 100000) AND rank < (SELECT max(rank) FROM s)",
 }
