@@ -389,3 +389,24 @@ def test_nulls_and_empty_tables(spark):
     with_null = spark.createDataFrame([(1, None), (2, "AC"), (3, "")], "read_idx long, sequence string")
     assert {r.sequence for r in unique.unique_sequences(with_null).collect()} == {"AC", ""}
     assert {r.sequence for r in unique.unique_sequences(with_null, min_length=1).collect()} == {"AC"}
+
+
+def test_gram_sets_never_part_near_strings(spark):
+    """Strings made by up to d edits pass the filter, of any letters and lengths; most unrelated ones do not."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(3000):
+        letters, d = rng.choice(["ACGT", "AC", "ACGTN", "xyzé "]), rng.randint(0, 3)
+        a = b = "".join(rng.choices(letters, k=rng.choice([0, 1, 2, 3, 7, 25, 40])))
+        for _ in range(d):
+            i, kind = rng.randint(0, len(b)), rng.randint(0, 2)
+            b = b[:i] + (rng.choice(letters) if kind else "") + b[i + (kind != 1) :]
+        rows.append((a, b, d, "".join(rng.choices("ACGT", k=25)), "".join(rng.choices("ACGT", k=25))))
+    df = spark.createDataFrame(rows, "a string, b string, d int, x string, y string")
+    c = F.col
+    near = [simjoin.may_be_near(simjoin.grams(c("a")), simjoin.grams(c("b")), d) for d in range(4)]
+    back = [simjoin.may_be_near(simjoin.grams(c("a"), back=True), simjoin.grams(simjoin.revcomp(c("b"))), d) for d in range(4)]
+    of = lambda each: F.element_at(F.array(*each), c("d") + 1)
+    lost = df.where(~of(near) | ~of(back))
+    assert lost.count() == 0
+    assert df.where(simjoin.may_be_near(simjoin.grams(c("x")), simjoin.grams(c("y")), 2)).count() < len(rows) / 50
