@@ -32,9 +32,13 @@ from .common import free_name, map_batches, row_hash
 
 #: Ball values that a cell makes at once; fuller cells are dealt over more tasks.
 CELL_VALUES = 4_000_000
+#: A cell of more tasks than this sends each fingerprint only to the tasks that its values belong to, not to all.
+CELL_TASKS = 32
 #: Fingerprints aimed at for each cell's own prefix.
 CELL_OWN = 1_500
 HASHES_AT_ONCE = 1 << 16
+#: Rows of wide cells that a task deals out at once.
+REACH_ROWS = 1_000
 
 
 def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> list[int]:
@@ -106,6 +110,41 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _mixed(low: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """A hash of each value: rows are fingerprints, columns masks."""
+    v = low[:, None] ^ masks[None, :]
+    v ^= v >> np.uint64(29)
+    v *= np.uint64(0x9E3779B97F4A7C15)
+    v ^= v >> np.uint64(32)
+    v *= np.uint64(0xBF58476D1CE4E5B9)
+    return v
+
+
+def _task_of(mixed: np.ndarray, shards: np.ndarray | int) -> np.ndarray:
+    """The task of a hashed value among ``shards``; bits that ``meet`` keeps decide it."""
+    return (mixed >> np.uint64(40)) % (np.uint64(shards) if isinstance(shards, int) else shards)
+
+
+def tasks_reached(fps: np.ndarray, cell: np.ndarray, shards: np.ndarray, bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index, shard), each once: the tasks of its cell that the values of each fingerprint belong to."""
+    low_bits = 64 - bits
+    low = fps & np.uint64((1 << low_bits) - 1)
+    used = np.bitwise_count((fps >> np.uint64(low_bits)) ^ cell) if bits else np.zeros(len(fps), np.uint8)
+    rows, tasks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for spent in range(half + 1):
+        mine = np.flatnonzero(used == spent)
+        masks = np.array(flips(low_bits, half - spent), np.uint64)
+        step = max(1, 500_000 // len(masks))
+        for k in range(0, len(mine), step):
+            at = mine[k : k + step]
+            shard = np.sort(_task_of(_mixed(low[at], masks), shards[at][:, None]), axis=1)
+            first = np.ones(shard.shape, bool)
+            first[:, 1:] = shard[:, 1:] != shard[:, :-1]
+            rows.append(np.repeat(at, first.sum(axis=1)))
+            tasks.append(shard[first].astype(np.int64))
+    return np.concatenate(rows), np.concatenate(tasks)
+
+
 def meet(fps: np.ndarray, cell: int, shard: int, shards: int, bits: int, half: int) -> np.ndarray:
     """Links among fingerprints whose balls meet in a value of this cell and shard.
 
@@ -128,15 +167,9 @@ def meet(fps: np.ndarray, cell: int, shard: int, shards: int, bits: int, half: i
         step = max(1, 2_000_000 // len(masks))
         for k in range(0, len(mine), step):
             at = mine[k : k + step]
-            v = low[at][:, None] ^ masks[None, :]
-            v ^= v >> np.uint64(29)
-            v *= np.uint64(0x9E3779B97F4A7C15)
-            v ^= v >> np.uint64(32)
-            v *= np.uint64(0xBF58476D1CE4E5B9)
-            packed = (v & keep) | at.astype(np.uint64)[:, None]
-            packed = packed.ravel()
+            packed = ((_mixed(low[at], masks) & keep) | at.astype(np.uint64)[:, None]).ravel()
             if shards > 1:
-                packed = packed[(packed >> np.uint64(40)) % np.uint64(shards) == shard]
+                packed = packed[_task_of(packed, shards) == shard]
             parts.append(packed)
     p = np.concatenate(parts)
     p.sort()
@@ -167,7 +200,11 @@ def ball_links(fps: DataFrame, fp: str = "fp", *, radius: int = 4) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within ``radius`` bits.
 
     Within a cell the links are reduced to a spanning forest, so a large group of
-    near copies gives rows in proportion to its size, not to its square.
+    near copies gives rows in proportion to its size, not to its square.  A full
+    cell is dealt over tasks by the hash of the values.  Up to CELL_TASKS of them
+    each get all its fingerprints; of more, a fingerprint goes to those its values
+    belong to, thus to no more tasks than it has values, and a task holds about
+    CELL_VALUES values however full the cell is.
     """
     half = radius // 2
     if radius % 2:
@@ -182,14 +219,27 @@ def ball_links(fps: DataFrame, fp: str = "fp", *, radius: int = 4) -> DataFrame:
     made = [len(flips(low_bits, half - d)) for d in range(half + 1)]
     spent = F.bit_count(prefix.bitwiseXOR(F.col("cell")))
     weight = F.element_at(F.array(*[F.lit(x) for x in made]), spent.cast("int") + 1)
-    full = (
+    full = materialize(
         emitted.groupBy("cell").agg(F.sum(weight.cast("long")).alias("w"))
         .where(F.col("w") > CELL_VALUES)
-        .select("cell", F.ceil(F.col("w") / CELL_VALUES).cast("int").alias("shards"))
+        .select("cell", F.ceil(F.col("w") / CELL_VALUES).cast("long").alias("shards")),
+        "simhash-full",
     )
-    dealt = emitted.join(full, "cell", "left").select(
-        "fp", "cell", F.coalesce("shards", F.lit(1)).alias("shards")
-    ).select("fp", "cell", "shards", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    wide = F.col("shards") > CELL_TASKS
+    one = F.lit(1).cast("long")
+    listed = emitted.join(full, "cell", "left").select("fp", "cell", F.coalesce("shards", one).alias("shards"))
+    dealt = listed.where(~wide).select("fp", "cell", "shards", F.explode(F.sequence(one - 1, F.col("shards") - 1)).alias("shard"))
+
+    def reach(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, REACH_ROWS):
+                b = batch.slice(i, REACH_ROWS)
+                x, cell, shards = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns)
+                at, shard = tasks_reached(x, cell, shards, bits, half)
+                yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(at)) for k in range(3)] + [pa.array(shard)], names=["fp", "cell", "shards", "shard"])
+
+    if not full.where(wide).isEmpty():
+        dealt = dealt.unionByName(emitted.join(full.where(wide), "cell").select("fp", "cell", "shards").mapInArrow(reach, "fp long, cell long, shards long, shard long"))
 
     def links(t: pa.Table) -> pa.Table:
         x = t.column("fp").to_numpy().view(np.uint64)

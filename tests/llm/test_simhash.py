@@ -68,9 +68,11 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch):
     values = planted(random.Random(5), 1500)
     near = [(i, j) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(np.array(values[i + 1 :], np.uint64) ^ np.uint64(values[i])) <= 4) + i + 1]
     want = connected(len(values), near)
-    for own, cell in ((1_500, 4_000_000), (20, 4_000_000), (300, 60_000)):  # few cells, many cells, sharded cells
+    # few cells, many cells, sharded cells, cells of so many shards that not all get every fingerprint, some cells of that kind
+    for own, cell, tasks in ((1_500, 4_000_000, 32), (20, 4_000_000, 32), (300, 60_000, 10_000), (1_500, 400_000, 2), (300, 60_000, 5)):
         monkeypatch.setattr(simhash, "CELL_OWN", own)
         monkeypatch.setattr(simhash, "CELL_VALUES", cell)
+        monkeypatch.setattr(simhash, "CELL_TASKS", tasks)
         assert connected(len(values), links_of(spark, values)) == want
 
 
@@ -82,6 +84,25 @@ def test_a_tight_group_gives_a_forest(spark):
     assert set(connected(len(values), got)) == {0} and len(got) < 40 * len(values)
 
 
+def test_tasks_of_a_full_cell():
+    """Each fingerprint goes to the tasks of its values, once, and to no other."""
+    rng = np.random.default_rng(4)
+    bits, low = 3, 61
+    fps = rng.integers(0, 1 << 63, 200, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 200, dtype=np.uint64)
+    cell = rng.integers(0, 8, 200, dtype=np.uint64)
+    shards = rng.integers(2, 9_000, 200, dtype=np.uint64)
+    at, shard = simhash.tasks_reached(fps, cell, shards, bits, 2)
+    got = {}
+    for i, s in zip(at.tolist(), shard.tolist()):
+        assert s not in got.setdefault(i, set()) and s < shards[i]
+        got[i].add(s)
+    for i in range(200):
+        spent = (int(fps[i]) >> low ^ int(cell[i])).bit_count()
+        masks = np.array(simhash.flips(low, 2 - spent) if spent <= 2 else [], np.uint64)
+        want = simhash._task_of(simhash._mixed(fps[i : i + 1] & np.uint64((1 << low) - 1), masks), int(shards[i])).ravel()
+        assert got.get(i, set()) == set(want.tolist())
+
+
 def test_values_that_share_only_their_hash_are_told_apart():
     fps = np.array([0, 15, (1 << 64) - 1], np.uint64)
     got = simhash.meet(fps, 0, 0, 1, 0, 2)
