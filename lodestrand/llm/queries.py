@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, minhash, mixing, pii, simhash, tokenfile, toxicity, warc
+from . import ann, bpe, exactdedup, html, minhash, mixing, pii, simhash, tokenfile, toxicity, warc
 from ..storage import materialize, scratch
 from .common import table
 
@@ -89,8 +89,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.deduplicate(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_ann": op5_ann, "op6_warc": op6_warc, "op7_tokenfile": op7_tokenfile, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
+    ops = (op1_bpe, op2_html, op3_minhash, op4_mixing, op5_ann, op6_warc, op7_tokenfile, op8_toxicity, op9_pii, op10_simhash, op12_exact_dedup)
+    return {f.__name__: f for f in ops}
 
 
 OP6_SQL = """
@@ -167,5 +172,13 @@ FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """
 
 
+#: Lower-casing A to Z only, as a step of its own: texts equal after it are one group.
+OP12_SQL = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_html": OP2_SQL, "op9_pii": OP9_SQL, "op4_mixing": OP4_SQL, "op6_warc": OP6_SQL}
+    return {"op2_html": OP2_SQL, "op9_pii": OP9_SQL, "op4_mixing": OP4_SQL, "op6_warc": OP6_SQL, "op12_exact_dedup": OP12_SQL}
