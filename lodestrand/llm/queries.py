@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exactdedup, html, minhash, mixing, pii, simhash, tokenfile, toxicity, warc
+from . import ann, bpe, exactdedup, html, minhash, mixing, pii, simhash, tokenfile, toxicity, variants, warc
 from ..storage import materialize, scratch
 from .common import table
 
@@ -89,12 +89,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.count_words(table(spark, sf_dir, "documents"), key="doc_id"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.deduplicate(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
 def queries() -> dict:
-    ops = (op1_bpe, op2_html, op3_minhash, op4_mixing, op5_ann, op6_warc, op7_tokenfile, op8_toxicity, op9_pii, op10_simhash, op12_exact_dedup)
+    ops = (op1_bpe, op2_html, op3_minhash, op4_mixing, op5_ann, op6_warc, op7_tokenfile, op8_toxicity, op9_pii, op10_simhash, op11_variants, op12_exact_dedup)
     return {f.__name__: f for f in ops}
 
 
@@ -172,6 +176,33 @@ FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """
 
 
+#: CRC-32 a byte at a time by a table made from its rule; near words share what is left when one letter of either, or of the longer, is taken out.
+OP11_SQL = r"""
+WITH RECURSIVE
+     bit AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
+             UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+     crc AS (SELECT list(c ORDER BY i) AS entries FROM bit WHERE k = 8),
+     r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+     o AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+     b AS (SELECT run, n, hex(encode(concat(doc_id, ':', run))) AS bytes FROM o),
+     h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(bytes), 2), lambda i: CAST(concat('0x', bytes[i:i + 1]) AS BIGINT))),
+                                                      lambda c, x: xor(c >> 8, entries[(xor(c, x) & 255) + 1]))) AS h FROM b, crc),
+     d AS (SELECT CASE WHEN h % 31 = 0 THEN concat(left(run, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n FROM h),
+     w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+     z AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+     x AS (SELECT word, n, i, concat(left(word, i), substr(word, i + 2)) AS rest FROM z),
+     p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+           UNION SELECT a.word, b.word, b.n FROM x a JOIN w b ON a.rest = b.word
+           UNION SELECT b.word, a.word, a.n FROM x a JOIN w b ON a.rest = b.word),
+     g AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -near_n, near := near)) AS top FROM p GROUP BY word),
+     f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.less >= 10 * n THEN top.near END AS form, CASE WHEN -top.less >= 10 * n THEN -top.less END AS form_n
+           FROM w LEFT JOIN g USING (word)),
+     c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN c ON c.word = f.word JOIN f e ON e.word = c.at WHERE e.form IS NULL
+"""
+
+
 #: Lower-casing A to Z only, as a step of its own: texts equal after it are one group.
 OP12_SQL = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -181,4 +212,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_html": OP2_SQL, "op9_pii": OP9_SQL, "op4_mixing": OP4_SQL, "op6_warc": OP6_SQL, "op12_exact_dedup": OP12_SQL}
+    return {"op2_html": OP2_SQL, "op9_pii": OP9_SQL, "op4_mixing": OP4_SQL, "op6_warc": OP6_SQL, "op11_variants": OP11_SQL, "op12_exact_dedup": OP12_SQL}
