@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exactdedup, html, minhash, mixing, pii, simhash, tokenfile, toxicity, variants, warc
+from . import ann, bpe, exactdedup, html, minhash, mixing, pii, simhash, tokenfile, toxicity, turns, variants, warc
 from ..storage import materialize, scratch
 from .common import table
 
@@ -97,8 +97,17 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.deduplicate(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    summary, repaired = turns.repair(turns.damage(given))
+    found = summary.join(turns.digests(repaired), "lo", "left").withColumnRenamed("conv_id", "c")
+    every = given.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict:
-    ops = (op1_bpe, op2_html, op3_minhash, op4_mixing, op5_ann, op6_warc, op7_tokenfile, op8_toxicity, op9_pii, op10_simhash, op11_variants, op12_exact_dedup)
+    ops = (op1_bpe, op2_html, op3_minhash, op4_mixing, op5_ann, op6_warc, op7_tokenfile, op8_toxicity, op9_pii, op10_simhash, op11_variants, op12_exact_dedup, op13_repair)
     return {f.__name__: f for f in ops}
 
 
