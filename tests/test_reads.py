@@ -410,3 +410,76 @@ def test_gram_sets_never_part_near_strings(spark):
     lost = df.where(~of(near) | ~of(back))
     assert lost.count() == 0
     assert df.where(simjoin.may_be_near(simjoin.grams(c("x")), simjoin.grams(c("y")), 2)).count() < len(rows) / 50
+
+
+def _edited(rng, s, d, letters="ACGT"):
+    for _ in range(d):
+        i, kind = rng.randint(0, len(s)), rng.randint(0, 2)
+        s = s[:i] + (rng.choice(letters) if kind else "") + s[i + (kind != 1) :]
+    return s
+
+
+@pytest.mark.parametrize("d", [0, 1, 2, 3, 4])
+def test_strings_about_the_length_of_a_code_and_with_other_letters(spark, d):
+    """Pairs of coded strings, of others, and of one of each; ids are kept, and each pair comes once."""
+    rng = random.Random(d)
+    comp = str.maketrans("ACGT", "TGCA")
+    seqs = ["N" * 25, "", "A" * 31, "A" * 32, "AC" * 14]
+    for n in (9, 25, 28, 29, 30, 31, 32, 33, 70):
+        for letters in ("ACGT", "AC", "ACGTN"):
+            s = "".join(rng.choices(letters, k=n))
+            seqs += [s, s.translate(comp)[::-1]] + [_edited(rng, s, rng.randint(0, d + 1), letters) for _ in range(3)]
+            seqs += [_edited(rng, s.translate(comp)[::-1], rng.randint(0, d), letters)]
+    seqs = list(dict.fromkeys(seqs))
+    want = {}
+    for x, a in enumerate(seqs):
+        for y, b in enumerate(seqs):
+            if x < y and abs(len(a) - len(b)) <= d and (k := min(distance(a, b), distance(a, b.translate(comp)[::-1]))) <= d:
+                want[x, y] = k
+    u = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, sequence string")
+    got = simjoin.similar_edges(u, d).collect()
+    assert {(r.id_a, r.id_b): r.distance for r in got} == want and len(got) == len(want)
+
+
+def test_places_beyond_a_long_are_made_distinct(spark, monkeypatch):
+    rng = random.Random(2)
+    seqs = list(dict.fromkeys(_edited(rng, "ACGGTTACAGGATCCATTAG", k % 4) for k in range(60)))
+    u = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, sequence string")
+    want = sorted(map(tuple, simjoin.similar_edges(u, 3).collect()))
+    monkeypatch.setattr(simjoin.Join, "told", False)
+    assert sorted(map(tuple, simjoin.similar_edges(u, 3).collect())) == want and len(want) > 100
+
+
+def test_codes(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(2000):
+        d = rng.randint(0, 3)
+        a = "".join(rng.choices("ACGT", k=rng.choice([0, 1, 5, 20, 27])))
+        b = _edited(rng, a, d)
+        rows.append((min(a, b, key=len), max(a, b, key=len), d, "".join(rng.choices("ACGT", k=25)), "".join(rng.choices("ACGT", k=25))))
+    df = spark.createDataFrame(rows, "a string, b string, d int, x string, y string")
+    c = F.col
+    assert df.where(simjoin.letters(simjoin.code(c("b")), F.length("b")) != c("b")).count() == 0
+    assert df.where((simjoin.code(c("x")) < simjoin.code(c("y"))) != (c("x") < c("y"))).count() == 0
+
+    def misses(a, b, d):
+        """``unmatched`` as the join calls it, for each difference of lengths."""
+        out = F.lit(None)
+        for delta in range(d + 1):
+            pad = (d - delta) // 2
+            low = F.call_function("shiftleft", F.lit(1).cast("long"), 2 * F.length(a)) - 1
+            n = simjoin.unmatched(simjoin.code(a), F.shiftleft(simjoin.code(b), 2 * pad), low.bitwiseAND(F.lit(0x5555555555555555)), F.lit(-1 if delta + 2 * pad < d else 0).cast("long"), d)
+            out = F.when(F.length(b) - F.length(a) == delta, n).otherwise(out)
+        return out
+
+    for d in range(4):
+        assert df.where((c("d") == d) & (misses(c("a"), c("b"), d) > d)).count() == 0
+    assert df.where(misses(c("x"), c("y"), 2) <= 2).count() < len(rows) / 50
+
+
+def test_nothing_is_shuffled_after_the_distance_is_known(spark, capsys):
+    u = spark.createDataFrame([(k, s) for k, s in enumerate(["ACGTACGT", "ACGTACGA", "ACGTACG"])], "seq_id long, sequence string")
+    simjoin.similar_edges(u, 1).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" in plan and plan.index("levenshtein") < plan.index("Join") < plan.index("Exchange") and "Cartesian" not in plan
