@@ -75,6 +75,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder as a table of ``buckets`` by ``keys``, sorted, and read it back.
+
+    A join on the keys with what is dealt into as many parts moves none of its
+    rows, and a look-up of single keys reads their buckets only.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    table = f"lodestrand_{path.rpartition('/')[2].replace('-', '_')}"
+    # each bucket is one file: rows meet before they are written
+    whole = df.repartition(buckets, *keys)
+    whole.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``, which must not be read any more."""
     spark = df.sparkSession

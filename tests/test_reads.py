@@ -336,19 +336,44 @@ def test_components_of_long_paths_and_stars(spark):
     assert all(got[i] == 0 for i in range(n)) and all(got[i] == 1000 for i in range(1000, 1200)) and 5000 not in got
 
 
-def test_a_hub_is_dealt_over_tasks(spark):
-    n = 100_000
-    star = spark.range(1, n + 1).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
-    both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    got = components._with_least(both, 2 * n // components.HUBS)
-    assert got.count() == 2 * n and got.where("m <> if(u = 0, 1, 0)").count() == 0
-    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < n
-    plan = got._jdf.queryExecution().toString()
-    assert "hashpartitioning(u" in plan and "salt" in plan
-    done = components.stars(star.select(F.col("u").alias("id_a"), F.col("v").alias("id_b")))
+def test_links_of_a_hub_stay_where_they_are(spark):
+    n = 60_000
+    star = spark.range(1, n + 1).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v")).repartition(8)
+    to = components._least_hash(star, 0)
+    assert to.count() == n + 1 and to.where("links > 1").count() == 1
+    moved = components._moved(star, "v", to, 2 * n // components.HUBS)
+    assert moved.count() == n and max(r["count"] for r in moved.groupBy(F.spark_partition_id()).count().collect()) <= n // 8 + 1
+    done = components.stars(star.select(F.col("u").alias("id_a"), F.col("v").alias("id_b")), local=10)
     assert done.count() == n + 1 and done.where("component <> 0").count() == 0
 
 
+@pytest.mark.parametrize("local", [0, 7, 10_000])
+def test_components_of_random_graphs(spark, local):
+    """Trees, cycles, hubs, chains in both directions and repeated links, however many of them one task settles."""
+    rng = random.Random(local)
+    e = [(i, i + 1) for i in range(0, 150)] + [(i + 1, i) for i in range(200, 300)] + [(400, i) for i in range(401, 600)] + [(700 + rng.randrange(200), 700 + rng.randrange(200)) for _ in range(150)] + [(1, 0)] * 40 + [(-5, 9)]
+    forest = components.Forest()
+    for x, y in e:
+        if x != y:
+            forest.join(x, y)
+    got = components.stars(spark.createDataFrame(e, "id_a long, id_b long"), local=local).collect()
+    assert {r.id: r.component for r in got} == {x: forest.find(x) for x in list(forest)} and len(got) == len(forest)
+    named = components.stars(spark.createDataFrame([(f"n{x}", f"n{y}") for x, y in e], "id_a string, id_b string"), local=local)
+    assert named.select("component").distinct().count() == len({forest.find(x) for x in list(forest)})
+
+
+@pytest.mark.parametrize("local", [0, 5, 10_000])
+def test_unions_one_by_one(spark, local):
+    rng = random.Random(local)
+    e = list(dict.fromkeys((rng.randrange(60), rng.randrange(60, 120)) for _ in range(140)))
+    rng.shuffle(e)
+    forest = components.Forest()
+    want = {k for k, (x, y) in enumerate(e) if forest.join(x, y)}
+    moved, joined = components.union_in_order(spark.createDataFrame([(x, y, k) for k, (x, y) in enumerate(e)], "u long, v long, at long"), local=local)
+    assert sorted(r["at"] for r in joined.collect()) == sorted(want)
+    assert {r.id: r.to for r in moved.collect()} == {x: forest.find(x) for x in list(forest) if forest.find(x) != x}
+
+
 def test_components_of_nothing_and_bad_edges(spark):
     v = spark.range(3)
     none = spark.createDataFrame([], "id_a long, id_b long")
@@ -364,8 +389,27 @@ def test_disjoint_sets(spark):
     assert s.find(4) == 3 and s.find(2) == 1 and s.find(0) == 0
     with pytest.raises(IndexError):
         s.find(9)
-    with pytest.raises(IndexError):
-        s.update(spark.createDataFrame([(0, 9)], "id_a long, id_b long"))
+    for bad in (9, -1, None):
+        with pytest.raises(IndexError):
+            s.update(spark.createDataFrame([(0, bad)], "id_a long, id_b long"))
+
+
+def test_batches_write_the_sets_they_touch_and_say_what_merged(spark, monkeypatch):
+    monkeypatch.setattr(components.DisjointSets, "MANY", 2)
+    rng = random.Random(1)
+    n, forest, s = 400, components.Forest(), components.DisjointSets(spark, 400)
+    for k in range(4):
+        e = [(rng.randrange(n), rng.randrange(n), i) for i in range(60)]
+        e += [(x, y, 60 + i) for i, (x, y, _) in enumerate(e[:5])]
+        got = s.update(spark.createDataFrame(e, "id_a long, id_b long, place long"), order=["place"])
+        assert got.columns == ["id_a", "id_b", "merged"]
+        want = sorted((x, y, forest.join(x, y)) for x, y, _ in sorted(e, key=lambda r: r[2]))
+        assert sorted(map(tuple, got.collect())) == want
+        if len(s._tables) > 1:
+            assert s._tables[-1].count() == sum(w[2] for w in want)  # a row for each set that another one took in
+        assert {r.id: r.component for r in s.components().collect()} == {x: forest.find(x) for x in range(n)}
+        assert s.find_all([3, 7, 399]) == {x: forest.find(x) for x in (3, 7, 399)}
+    assert len(s._tables) <= 3
 
 
 def test_agreement_of_prefixes(spark):
