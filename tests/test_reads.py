@@ -126,10 +126,16 @@ def sequential(reads, r, ball):
 
 @pytest.mark.parametrize("r", [1, 2])
 @pytest.mark.parametrize("kind", ["ball", "seen"])
-def test_greedy_equals_reading_one_by_one(spark, kind, r):
+@pytest.mark.parametrize("how", ["one task", "rounds", "long ones"])
+def test_greedy_equals_reading_one_by_one(spark, kind, r, how, monkeypatch):
+    """However few pairs one task decides; and with strings too long to be packed, beside those that are."""
+    monkeypatch.setattr(greedy, "LOCAL", {"one task": 10_000, "rounds": 0, "long ones": 5}[how])
     rng = random.Random(r * 7 + len(kind))
     reads = ["".join(rng.choice("ACG") for _ in range(rng.choice([4, 5, 6]))) for _ in range(120)]
     df = unique.unique_sequences(spark.createDataFrame(list(enumerate(reads)), "read_idx long, sequence string"))
+    if how == "long ones":
+        reads = [s.replace("G", rng.choice("GN")) + rng.choice(["", "", "A" * 30]) for s in reads] + ["", "T", "N"]
+        df = spark.createDataFrame(list(enumerate(reads)), "first_seen long, sequence string").groupBy("sequence").agg(F.min("first_seen").alias("first_seen"), F.count("*").alias("count"))
     g = (greedy.greedy_ball if kind == "ball" else greedy.greedy_seen)(df, r).select("sequence", "root").collect()
     want = sequential(reads, r, kind == "ball")
     by_root, by_group = {}, {}
