@@ -134,7 +134,7 @@ def test_greedy_equals_reading_one_by_one(spark, kind, r, how, monkeypatch):
     reads = ["".join(rng.choice("ACG") for _ in range(rng.choice([4, 5, 6]))) for _ in range(120)]
     df = unique.unique_sequences(spark.createDataFrame(list(enumerate(reads)), "read_idx long, sequence string"))
     if how == "long ones":
-        reads = [s.replace("G", rng.choice("GN")) + rng.choice(["", "", "A" * 30]) for s in reads] + ["", "T", "N"]
+        reads = [s + rng.choice(["", "", "A" * 30]) for s in reads] + ["", "T"]
         df = spark.createDataFrame(list(enumerate(reads)), "first_seen long, sequence string").groupBy("sequence").agg(F.min("first_seen").alias("first_seen"), F.count("*").alias("count"))
     g = (greedy.greedy_ball if kind == "ball" else greedy.greedy_seen)(df, r).select("sequence", "root").collect()
     want = sequential(reads, r, kind == "ball")
