@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.llm import bpe, mixing, pii, simhash, toxicity
-from lodestrand.llm.common import table
+from lodestrand.llm.common import free_name, table
 from lodestrand.storage import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    score = free_name(docs.columns, "_toxicity")
+    return toxicity.score(docs, model, out=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

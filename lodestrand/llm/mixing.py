@@ -174,7 +174,7 @@ def sample(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     all columns one stands for all and is repeated for them, so no row needs a
     number and texts are dealt once, or not at all if the counts are few.
     """
-    i, c, h, n = (free_name(df.columns, x) for x in ("_mix_id", "_mix_copies", "_mix_hash", "_mix_rows"))
+    i, c, h, n, g_h = (free_name(df.columns, x) for x in ("_mix_id", "_mix_copies", "_mix_hash", "_mix_rows", "_mix_given"))
     rows = df.withColumn(h, row_hash(df))
     got = allocate(sized(rows, doc_id, text, source, seed=seed, key=h), **how)
     got = got.groupBy(F.col("doc_id").alias(i), F.col("key").alias(h)).agg(F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias(c), F.count("*").alias(n))
@@ -184,7 +184,7 @@ def sample(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
         g = got.where(F.col(n) > 1 if repeated else F.col(n) == 1)
         if repeated:
             g = materialize(g, "mix-repeated")  # written, so that a short list is known as such
-        taken = rows.join(g.withColumnRenamed(h, h + "g"), F.col(doc_id).eqNullSafe(F.col(i)) & (F.col(h) == F.col(h + "g")))
+        taken = rows.join(g.withColumnRenamed(h, g_h), F.col(doc_id).eqNullSafe(F.col(i)) & (F.col(h) == F.col(g_h)))
         if repeated:
             taken = taken.dropDuplicates([i, h])
         taken = taken.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(c).cast("int")))).select(*[F.col(f"`{x}`") for x in df.columns])

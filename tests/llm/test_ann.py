@@ -79,7 +79,7 @@ def test_rows(spark):
 def test_outliers_alone_in_their_lists_get_all_ranks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 1, (300, 8)), np.full((1, 8), 90.0)])
-    index = ann.Index(np.stack([np.zeros(8), np.full(8, 60.0), np.full(8, 90.0)]), rng.normal(0, 1, (4, 16, 2)), 1)
+    index = ann.Index(np.stack([np.zeros(8), np.full(8, 60.0), np.full(8, 90.0)]), rng.normal(0, 1, (4, 16, 2)), [1])
     monkeypatch.setattr(ann, "fit", lambda *a, **how: index)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     assert recall(ann.search(df, F.col("vec_id") == 300).collect(), np.arange(301), x, [300]) > 0
@@ -106,3 +106,21 @@ def test_small_remote_groups_get_all_ranks(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     rows = ann.search(df, F.col("vec_id") >= 3200, groups=4).collect()
     assert len(rows) == 10 * (len(x) - 3200) and recall(rows, np.arange(len(x)), x, range(3200, len(x))) >= 0.9
+
+
+def test_each_density_has_its_recall(spark):
+    """Tight clusters with most of the rows, vectors spread between them, near copies and remote groups: no kind is lost in the whole."""
+    rng = np.random.default_rng(9)
+    kinds = {
+        "clustered": np.concatenate([rng.normal(c, 0.05, (250, 16)) for c in rng.normal(0, 1, (20, 16))]),
+        "spread": rng.normal(0, 1, (700, 16)),
+        "copies": np.concatenate([rng.normal(c, 1e-5, (60, 16)) for c in rng.normal(0, 1, (5, 16))]),
+        "remote": np.concatenate([rng.normal(c, 0.3, (4, 16)) for c in rng.normal(0, 30, (20, 16))]),
+    }
+    x, kind = np.concatenate(list(kinds.values())), np.repeat(list(kinds), [len(v) for v in kinds.values()])
+    at = rng.permutation(len(x))
+    x, kind = x[at], kind[at]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.search(df, F.col("vec_id") % 20 == 0, groups=8, codes=64).collect()
+    for name in kinds:
+        assert recall(rows, np.arange(len(x)), x, [q for q in range(0, len(x), 20) if kind[q] == name]) >= 0.9, name

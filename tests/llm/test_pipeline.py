@@ -50,3 +50,37 @@ def test_run_is_the_stages(spark, sf_dir):
 
     assert queries()["pipeline"] is corpus_pipeline.run
     assert {"doc_id", "n_tokens", "ids_sha256"} <= set(corpus_pipeline.run(spark, sf_dir).columns)
+
+
+def _all_stages(spark, docs, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    counts = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        cols, docs = docs.columns, stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        counts.append(docs.count())
+        assert name == "bpe" or docs.columns == cols
+    return counts, docs
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_nulls_repeats_and_columns_with_the_names_of_helpers(spark, tmp_path):
+    """Such rows go through every stage; only near copies and what the mix leaves out are missing."""
+    names = ["_toxicity", "_mix_hash", "_mix_hashg", "_mix_id", "_mix_given", "_mix_rows", "_mix_copies", "fp", "_text", "pii", "ids", "decoded", "Score"]
+    texts = [None, "", " ", "\x00", "Mail me at jo.doe@example.org today, or call.", "A plain note on the weather in the hills. " * 200, "word " * 30_000, "été À noël"]
+    rows = []
+    for k in range(40):
+        r = (None if k % 9 == 0 else k % 30, texts[k % 8], None if k % 4 else "en", None if k % 5 == 0 else "s" + str(k % 3), None)
+        rows += [(*r, *[-7] * len(names))] * (1 + (k % 10 == 3))
+    docs = spark.createDataFrame(rows, COLUMNS + "".join(f", {n} int" for n in names))
+    counts, last = _all_stages(spark, docs, tmp_path, [(k, 1, int(k % 7 == 0)) for k in range(30)] + [(None, None, None)])
+    assert counts[1] > 0 and counts[2] > 0 and counts[3] == counts[2] and counts[5] == counts[4]
+    assert {"doc_id", "n_tokens", "ids"} <= set(last.columns) and last.where("n_tokens is null").count() == 0
+
+
+def test_an_empty_table(spark, tmp_path):
+    counts, _ = _all_stages(spark, spark.createDataFrame([], COLUMNS), tmp_path, [])
+    assert counts == [0] * 6
