@@ -40,20 +40,36 @@ def hamming_pairs(uniques: DataFrame, r: int) -> DataFrame:
     seen = Observation()
     u = uniques.select("sequence", "first_seen", F.length("sequence").alias("n"), _coded("sequence").alias("code"))
     u = materialize(u.observe(seen, F.count("*").alias("n")), "strings")
+    rows = _seeds(u, r)
+    return _met(rows, rows, r, seen.get["n"] > simjoin.HOT_SEED).where("s_seen > t_seen").select("s", "s_seen", "t", "t_seen")
+
+
+def new_pairs(new: DataFrame, old: DataFrame, r: int) -> DataFrame:
+    """(s, t): strings (sequence) within ``r`` mismatches of which one is new, s, and the other old, or both are new and s is the greater."""
+    told = lambda d: d.select("sequence", F.lit(None).cast("long").alias("first_seen"), F.length("sequence").alias("n"), _coded("sequence").alias("code"))
+    u, rest = _seeds(told(new), r), _seeds(told(old), r)
+    return _met(u, rest, r, True).select("s", "t").unionByName(_met(u, u, r, True).where("s > t").select("s", "t"))
+
+
+def _seeds(u: DataFrame, r: int) -> DataFrame:
     rows = u.select("*", F.explode(parts(F.col("n"), r + 1)).alias("p"))
-    rows = rows.select("sequence", "first_seen", "code", "n", F.col("p.part").alias("part"), piece(F.col("sequence"), F.col("p.st"), F.col("p.sz")).alias("seed"))
-    s = rows.withColumnsRenamed({"sequence": "s", "first_seen": "s_seen", "code": "s_code"})
-    t = rows.withColumnsRenamed({"sequence": "t", "first_seen": "t_seen", "code": "t_code"})
+    return rows.select("sequence", "first_seen", "code", "n", F.col("p.part").alias("part"), piece(F.col("sequence"), F.col("p.st"), F.col("p.sz")).alias("seed"))
+
+
+def _met(s: DataFrame, t: DataFrame, r: int, salted: bool) -> DataFrame:
+    """(s, s_seen, t, t_seen, ...) of seeds that meet and whose strings are within ``r`` mismatches, each pair once; equal strings too."""
+    s = s.withColumnsRenamed({"sequence": "s", "first_seen": "s_seen", "code": "s_code"})
+    t = t.withColumnsRenamed({"sequence": "t", "first_seen": "t_seen", "code": "t_code"})
     key = ["n", "part", "seed"]
-    pairs = salted_join(s, t, key, "s", "t") if seen.get["n"] > simjoin.HOT_SEED else s.join(t, key)
+    pairs = salted_join(s, t, key, "s", "t") if salted else s.join(t, key)
     differs = F.col("s_code").bitwiseXOR(F.col("t_code"))
     packed = F.bit_count(differs.bitwiseOR(F.shiftright(differs, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    pairs = pairs.where("s_seen > t_seen").where(F.coalesce(packed, F.size(mismatches(F.col("s"), F.col("t")))) <= r)
+    pairs = pairs.where(F.coalesce(packed, F.size(mismatches(F.col("s"), F.col("t")))) <= r)
     earlier = F.lit(False)
     for k in range(r):
         at = parts(F.col("n"), r + 1)[k]
         earlier |= (F.col("part") > k) & (piece(F.col("s"), at["st"], at["sz"]) == piece(F.col("t"), at["st"], at["sz"]))
-    return pairs.where(~earlier).select("s", "s_seen", "t", "t_seen")
+    return pairs.where(~earlier)
 
 
 def _tops(parents: DataFrame) -> DataFrame:
@@ -105,7 +121,11 @@ def greedy_seen(uniques: DataFrame, r: int = 1) -> DataFrame:
     """uniques (sequence, count, first_seen) with (root, root_first_seen): only observed strings are looked up."""
     _check(r)
     uniques = materialize(uniques, "uniques")  # read several times
-    near = hamming_pairs(uniques, r)
+    return seen_groups(uniques, hamming_pairs(uniques, r))
+
+
+def seen_groups(uniques: DataFrame, near: DataFrame) -> DataFrame:
+    """``greedy_seen`` of uniques whose near pairs (s, t), s after t, are known."""
     parents = near.groupBy(F.col("s").alias("sequence")).agg(F.min_by("t", generation_key(F.col("s"), F.col("t"))).alias("parent"))
     return _grouped(uniques, roots(uniques, parents))
 

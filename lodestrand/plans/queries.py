@@ -11,8 +11,9 @@ from ..functions import sequences as fn
 from ..operators import agreement, clusters, components, greedy, simjoin, unique
 from ..sources import reads as scan
 from ..sources import sinks
-from ..storage import scratch
+from ..storage import dense_ids, materialize, scratch
 from ..streaming import unique as stream
+from ..streaming.greedy import OnlineGreedy
 from .reads import ORACLE_KEYS, READS_SQL, reads, reads_from
 
 READS = READS_SQL.format(lineitem="lineitem", keys=ORACLE_KEYS)
@@ -57,6 +58,10 @@ p AS (SELECT a, b, x.id AS x, y.id AS y, CAST(least(levenshtein(a, b), levenshte
 COMPONENTS = """e AS (SELECT x AS s, y AS t FROM p UNION ALL SELECT y, x FROM p),
 reach AS (SELECT id AS s, id AS t FROM o UNION SELECT reach.s, e.t FROM reach JOIN e ON e.s = reach.t),
 comp AS (SELECT s AS id, min(t) AS component FROM reach GROUP BY s)"""
+#: The same after the edges whose smaller id leaves a remainder by 3 of 0, of 1 at most, of 2 at most.
+_REACHES = ",\n".join(f"""e{k} AS (SELECT x AS s, y AS t FROM p WHERE least(x, y) % 3 <= {k} UNION ALL SELECT y, x FROM p WHERE least(x, y) % 3 <= {k}),
+reach{k} AS (SELECT id AS s, id AS t FROM o UNION SELECT reach{k}.s, e{k}.t FROM reach{k} JOIN e{k} ON e{k}.s = reach{k}.t),
+c{k} AS (SELECT s AS id, min(t) AS component FROM reach{k} GROUP BY s)""" for k in range(3))
 CLUSTERS = f"""{COMPONENTS},
 ranked AS (SELECT o.*, component, row_number() OVER (PARTITION BY component ORDER BY n DESC, o.id) AS place FROM o JOIN comp USING (id))
 SELECT max(CASE WHEN place = 1 THEN sequence END) AS sequence, count(*) AS cluster_size, CAST(sum(n) AS BIGINT) AS total_count
@@ -149,6 +154,15 @@ def edge_table(spark, sf_dir):
     return scan.read_edges(spark, out)
 
 
+def edge_folder(spark, sf_dir):
+    """Edges of two distances written as tables by pairs of lengths to one folder, and those of one distance scanned again."""
+    out = scratch(spark, "edge-folder")
+    u = unique.with_ids(uniques(spark, sf_dir))
+    for d in (1, 2):
+        sinks.write_edge_files(simjoin.similar_edges(u, d, with_lengths=True), out, d)
+    return scan.read_edges(spark, out, distance=1)
+
+
 def length_tables(spark, sf_dir):
     """The uniques written as one table a length, and found again by the names of the files."""
     out = scratch(spark, "lengths")
@@ -191,12 +205,11 @@ def revcomp(spark, sf_dir):
 
 
 def seed_parts(spark, sf_dir):
-    grid = spark.range(0, 41).select(F.col("id").cast("int").alias("n"))
-    out = None
-    for k in range(1, 6):
-        one = grid.select("n", F.lit(k).alias("k"), F.explode(fn.parts(F.col("n"), k)).alias("p")).select("n", "k", "p.part", "p.st", "p.sz")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Parts of the lengths that the uniques have, for one to five parts."""
+    lengths = uniques(spark, sf_dir).select(F.col("length").alias("n")).distinct()
+    each = lengths.select("n", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"))
+    by = reduce(lambda out, k: F.when(F.col("k") == k, fn.parts(F.col("n"), k)).otherwise(out), range(1, 5), fn.parts(F.col("n"), 5))
+    return each.select("n", "k", F.explode(by).alias("p")).select("n", "k", "p.part", "p.st", "p.sz")
 
 
 def sql_functions(spark, sf_dir):
@@ -263,6 +276,39 @@ def disjoint_sets(spark, sf_dir):
     return sets.components()
 
 
+def _batches(spark, sf_dir):
+    """Disjoint sets after the edges of ids that leave the remainders 0, 1 and 2 by 3, one batch after another; with what each merged."""
+    u = unique.with_ids(uniques(spark, sf_dir))
+    edges = materialize(simjoin.similar_edges(u, 1), "edges")
+    sets = components.DisjointSets(spark, u.count())
+    for k in range(3):
+        yield k, sets.update(edges.where(F.col("id_a") % 3 == k).select("id_a", "id_b")), sets
+
+
+def disjoint_sets_batches(spark, sf_dir):
+    """The set of each number after each of three batches."""
+    out = None
+    for k, _, sets in _batches(spark, sf_dir):
+        now = sets.components().withColumnRenamed("component", f"after_{k}")
+        out = now if out is None else out.join(now, "id")
+    return out
+
+
+def disjoint_sets_merges(spark, sf_dir):
+    """Of each batch how many edges it had, how many joined two sets, and the set of number 7 then."""
+    out = None
+    for k, flags, sets in _batches(spark, sf_dir):
+        one = flags.agg(F.count("*").alias("edges"), F.count_if("merged").alias("merged")).select(F.lit(k).alias("batch"), "edges", "merged", F.lit(sets.find(7)).cast("long").alias("set_of_7"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def ranked_clusters(spark, sf_dir):
+    """Clusters with their place in the order of results."""
+    c = clusters.cluster(uniques(spark, sf_dir), 1)
+    return dense_ids(c, F.desc("total_count"), "rep_id", name="place").select("place", "sequence", "cluster_size", "total_count")
+
+
 def _clusters(d: int, mode: str = "complete"):
     def run(spark, sf_dir):
         return clusters.cluster(uniques(spark, sf_dir), d, mode=mode).select("sequence", "cluster_size", "total_count")
@@ -285,6 +331,17 @@ def _greedy(kind: str, r: int):
     return run
 
 
+def greedy_stream(spark, sf_dir):
+    """Greedy groups of reads that come as a stream of five micro-batches or more."""
+    out = scratch(spark, "arrivals")
+    dealt = reads(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("read_idx", "sequence"), F.lit(5)).cast("int"))
+    dealt.repartition(5, "part").write.parquet(f"{out}/reads")
+    arriving = spark.readStream.schema("read_idx long, sequence string").option("maxFilesPerTrigger", 1).parquet(f"{out}/reads")
+    online = OnlineGreedy(spark, f"{out}/state")
+    online.run(arriving, f"{out}/checkpoint")
+    return greedy.summarise_greedy(online.groups())
+
+
 # -- agreement ---------------------------------------------------------------
 
 
@@ -307,6 +364,13 @@ def topn_overlap(spark, sf_dir):
     return agreement.topn_overlap(*_two_rankings(spark, sf_dir))
 
 
+def metrics(spark, sf_dir):
+    """The three tables of an agreement, as series."""
+    u = uniques(spark, sf_dir)
+    strands = u.groupBy(F.least("sequence", fn.revcomp("sequence")).alias("sequence")).agg(F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"))
+    return sinks.plot_data(*agreement.compute_metrics(u, strands, "first_seen"))
+
+
 def agreement_report(spark, sf_dir):
     return sinks.report_lines(agreement.topn_overlap(*_two_rankings(spark, sf_dir)))
 
@@ -327,6 +391,7 @@ QUERIES = {
     "run_stats_d1": run_stats_d1, "greedy_seen": _greedy("seen", 1), "greedy_seen_2": _greedy("seen", 2), "greedy_ball": _greedy("ball", 1), "greedy_ball_2": _greedy("ball", 2),
     "ranked": ranked, "count_cdf": count_cdf, "topn_overlap": topn_overlap, "agreement_report": agreement_report,
     "length_tables": length_tables, "cluster_table": cluster_table, "greedy_fasta": _greedy_fasta(False), "greedy_fasta_members": _greedy_fasta(True), "disjoint_sets": disjoint_sets, "plot_data": plot_data,
+    "disjoint_sets_batches": disjoint_sets_batches, "disjoint_sets_merges": disjoint_sets_merges, "ranked_clusters": ranked_clusters, "edge_folder": edge_folder, "metrics": metrics, "greedy_stream": greedy_stream,
 }
 
 _TWO = f"""{UNIQUES},
@@ -393,7 +458,7 @@ ORACLE = {
     "edge_table": f"WITH {UNIQUES}, {_brute(1)} SELECT least(x, y) AS id_a, greatest(x, y) AS id_b FROM p",
     "header_counts": "SELECT o_orderkey, concat('run 1:N:0:ACGT Nmembers:', o_custkey % 7, ' N:', o_orderkey % 1000) AS header, o_orderkey % 1000 AS count FROM orders",
     "revcomp": f"WITH {UNIQUES} SELECT sequence, rc FROM o",
-    "seed_parts": "SELECT CAST(n.n AS INT) AS n, CAST(k.k AS INT) AS k, CAST(i.i AS INT) AS part, CAST(i.i * (n.n // k.k) + least(i.i, n.n % k.k) AS INT) AS st, CAST(n.n // k.k + CASE WHEN i.i < n.n % k.k THEN 1 ELSE 0 END AS INT) AS sz FROM range(0, 41) n(n), range(1, 6) k(k), range(0, 5) i(i) WHERE i.i < k.k",
+    "seed_parts": f"WITH {UNIQUES} SELECT n.len AS n, CAST(k.k AS INT) AS k, CAST(i.i AS INT) AS part, CAST(i.i * (n.len // k.k) + least(i.i, n.len % k.k) AS INT) AS st, CAST(n.len // k.k + CASE WHEN i.i < n.len % k.k THEN 1 ELSE 0 END AS INT) AS sz FROM (SELECT DISTINCT len FROM u) n, range(1, 6) k(k), range(0, 5) i(i) WHERE i.i < k.k",
     "sql_functions": f"WITH r AS ({READS}) SELECT DISTINCT sequence, reverse(translate(sequence, 'ACGT', 'TGCA')) AS rc, length(translate(sequence, 'ACGT', '')) = 0 AS valid, 3 AS parts FROM r",
     "hamming_neighbors": f"WITH {UNIQUES} SELECT sequence, CAST(row_number() OVER (PARTITION BY sequence ORDER BY i.i, c.k) - 1 AS INT) AS ordinal, concat(substr(sequence, 1, CAST(i.i AS INT) - 1), c.c, substr(sequence, CAST(i.i AS INT) + 1)) AS neighbor FROM u JOIN range(1, 40) i(i) ON i.i <= len JOIN (VALUES ('A', 1), ('T', 2), ('C', 3), ('G', 4)) c(c, k) ON substr(sequence, CAST(i.i AS INT), 1) <> c.c",
     "seed_index": f"WITH {UNIQUES}, {_parts(2)}, s AS (SELECT len AS length, part, unnest([substr(sequence, st + 1, sz), reverse(translate(substr(sequence, st + 1, sz), 'ACGT', 'TGCA'))]) AS seed FROM o JOIN parts ON parts.n = o.len) SELECT length, part, seed, count(*) AS entries FROM s GROUP BY ALL",
@@ -415,13 +480,19 @@ SELECT x AS id_a, y AS id_b FROM p UNION ALL SELECT y, x FROM p WHERE length(a)
     "disjoint_sets": f"WITH RECURSIVE {UNIQUES}, {_brute(1)}, {COMPONENTS} SELECT id, component FROM comp",
     **{name: f"SELECT row_number() OVER (ORDER BY total_count DESC, root_first_seen) - 1 AS place, sequence, total_count AS count FROM (WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=1)},\n{_GROUPS})" for name in ("greedy_fasta", "greedy_fasta_members")},
     "run_stats_d1": f"WITH RECURSIVE {UNIQUES}, {_brute(1)}, {COMPONENTS} SELECT (SELECT count(*) FROM u) AS uniques, CAST((SELECT sum(n) FROM u) AS BIGINT) AS reads, (SELECT count(*) FROM p) AS pairs, (SELECT count(DISTINCT component) FROM comp) AS clusters",
-    "greedy_seen": f"WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=1)},\n{_GROUPS}",
+    **{name: f"WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=1)},\n{_GROUPS}" for name in ("greedy_seen", "greedy_stream")},
+    "ranked_clusters": f"SELECT row_number() OVER (ORDER BY total_count DESC, rep) - 1 AS place, sequence, cluster_size, total_count FROM (WITH RECURSIVE {UNIQUES}, {_brute(1)}, {CLUSTERS}) c JOIN (SELECT sequence, rep FROM (WITH {UNIQUES} SELECT sequence, id AS rep FROM o)) USING (sequence)",
+    "edge_folder": f"WITH {UNIQUES}, {_brute(1)} SELECT least(x, y) AS id_a, greatest(x, y) AS id_b FROM p",
+    "disjoint_sets_batches": f"WITH RECURSIVE {UNIQUES}, {_brute(1)}, {_REACHES} SELECT c0.id, c0.component AS after_0, c1.component AS after_1, c2.component AS after_2 FROM c0 JOIN c1 USING (id) JOIN c2 USING (id)",
+    "disjoint_sets_merges": f"""WITH RECURSIVE {UNIQUES}, {_brute(1)}, {_REACHES},
+n AS (SELECT -1 AS k, count(*) AS sets, 7 AS set_of_7 FROM o {" ".join(f"UNION ALL SELECT {k}, count(DISTINCT component), max(CASE WHEN id = 7 THEN component END) FROM c{k}" for k in range(3))})
+SELECT n.k AS batch, (SELECT count(*) FROM p WHERE least(x, y) % 3 = n.k) AS edges, b.sets - n.sets AS merged, CAST(n.set_of_7 AS BIGINT) AS set_of_7 FROM n JOIN n b ON b.k = n.k - 1""",
     "greedy_seen_2": f"WITH RECURSIVE {UNIQUES}, {_NEIGHBOR_KEY.format(r=2)},\n{_GROUPS}",
     "greedy_ball": f"WITH RECURSIVE {UNIQUES}, {_ball(1)},\n{_GROUPS}",
     "greedy_ball_2": f"WITH RECURSIVE {UNIQUES}, {_ball(2)},\n{_GROUPS}",
     "ranked": f"WITH {_TWO} SELECT rank, sequence, n AS count FROM k WHERE side = 0",
     "count_cdf": f"WITH {_TWO} SELECT rank, sum(n) OVER (ORDER BY rank) / sum(n) OVER () AS cdf FROM k WHERE side = 0",
     "topn_overlap": f"{_SHARED} SELECT rank, fraction_shared FROM s",
-    "plot_data": f"{_SHARED} SELECT 'shared' AS series, rank, fraction_shared AS value FROM s UNION ALL SELECT CASE side WHEN 0 THEN 'cdf_old' ELSE 'cdf_new' END, rank, sum(n) OVER (PARTITION BY side ORDER BY rank) / sum(n) OVER (PARTITION BY side) FROM k",
+    **dict.fromkeys(("plot_data", "metrics"), f"{_SHARED} SELECT 'shared' AS series, rank, fraction_shared AS value FROM s UNION ALL SELECT CASE side WHEN 0 THEN 'cdf_old' ELSE 'cdf_new' END, rank, sum(n) OVER (PARTITION BY side ORDER BY rank) / sum(n) OVER (PARTITION BY side) FROM k"),
     "agreement_report": f"{_SHARED} SELECT rank, 'Top ' || lpad(format('{{:,}}', rank), 7, ' ') || ': ' || printf('%4.2f', 100 * fraction_shared) || '% shared' AS line FROM s WHERE rank IN (1, 10, 100, 1000, 10000, 100000) AND rank < (SELECT max(rank) FROM s)",
 }

@@ -1,8 +1,10 @@
 """Scans of read files: FASTQ, FASTA, ranked FASTA, and the tables the pipeline writes.
 
 Text formats number their lines across a whole file.  Spark gives each line its
-partition and place in it; offsets of the partitions are running sums over one
-row a partition, so numbering is distributed and needs no RDD.
+split and place in it.  A first pass counts the lines of each split; the second
+one puts records together inside a split, in the order of its lines.  A record that
+a split's end cuts gets its other line from the first pass, which keeps the first
+line of each split.  So no line is shuffled.
 
 A path may be a file, a folder or a pattern.  Several files are read one after
 the other in the order of their paths, as sequencers write them lane by lane;
@@ -12,47 +14,84 @@ a record never goes over the end of its file.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequences import header_count, is_valid, trimmed
-from ..storage import materialize
+from ..storage import materialize, ship
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): the lines of one or more files, numbered from 0 in each file's order.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value): the lines of one or more files; ``at`` rises within a split, which starts at byte ``block``."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), trimmed("value").alias("value")
+    )
+
 
-    Splits of one file are planned largest first, not in file order, so lines are
-    placed by the split's offset, which the scan tells, and then by their order
-    in the split.
+def _splits(lines: DataFrame, per: int) -> DataFrame:
+    """(file, block, last, shift, next_line, stop, records, base): a row for each split.
+
+    at + shift is a line's number in its file; next_line follows the split's last
+    one; stop is the file's first record with a blank header, records how many it
+    has, base how many the files before it count.
     """
-    text = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
-    )
-    sizes = text.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = materialize(sizes.select("file", "block", "first", before.alias("before")), "splits")  # written, so that a short list is known as such
-    return text.join(offsets, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before")).alias("line"), "value")
+    # which lines are headers isn't known before lines are counted, so blank ones are kept by their remainder
+    blank = [F.min(F.when((F.col("at") % per == k) & (F.col("value") == ""), F.col("at"))) for k in range(per)]
+    s = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.min_by("value", "at").alias("line"), F.array(*blank).alias("blank"))
+    order = W.partitionBy("file").orderBy("block")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    s = s.withColumns({"shift": before - F.col("first"), "next_line": F.lead("line").over(order)})
+    headers = F.pmod(-F.col("shift"), F.lit(per)).cast("int")
+    s = s.withColumn("empty", F.floor((F.get("blank", headers) + F.col("shift")) / per))
+    files = s.groupBy("file").agg(F.min("empty").alias("stop"), F.ceil(F.sum("n") / per).cast("long").alias("records"))
+    base = F.coalesce(F.sum(F.coalesce("stop", "records")).over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a file
+    return materialize(s.join(files.withColumn("base", base), "file").select("file", "block", "last", "shift", "next_line", "stop", "records", "base"), "splits")
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Headers with the line that follows them; a header at a batch's end waits for the next one."""
+    held = None
+
+    def joined(rows: pa.RecordBatch, more: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+        field = rows["field"].to_numpy()
+        at = np.flatnonzero(field == 0)
+        waits = more and len(at) and at[-1] == len(field) - 1 and not rows["following"][len(field) - 1].is_valid
+        rest, at = (rows.slice(len(field) - 1), at[:-1]) if waits else (None, at)
+        follows = np.append(field, 0)[at + 1] == 1
+        own = rows["value"].take(pa.array(np.where(follows, at + 1, 0), mask=~follows))
+        sequence = pc.coalesce(own, rows["following"].take(pa.array(at)), pa.scalar("", rows.schema.field("value").type))
+        return pa.RecordBatch.from_arrays([rows["read_idx"].take(pa.array(at)), rows["value"].take(pa.array(at)), sequence], ["read_idx", "header", "sequence"]), rest
+
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        done, held = joined(batch, True)
+        yield done
+    if held is not None:
+        yield joined(held, False)[0]
 
 
 def _records(spark: SparkSession, path: str, per: int, strict: bool) -> DataFrame:
     """(read_idx, header, sequence) of records of ``per`` lines, of each file up to its first blank header."""
-    lines = numbered_lines(spark, path).select("file", F.floor(F.col("line") / per).alias("rec"), (F.col("line") % per).alias("field"), trimmed("value").alias("value"))
-    blank = F.when((F.col("field") == 0) & (F.col("value") == ""), F.col("rec"))
-    files = lines.groupBy("file").agg(F.min(blank).alias("stop"), (F.max("rec") + 1).alias("records"))
-    # the records of the files before; one row a file
-    before = F.coalesce(F.sum(F.coalesce("stop", "records")).over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    files = materialize(files.select(F.col("file").alias("f"), "stop", before.alias("before")), "files")
-    both = lines.where("field < 2").join(files, F.col("file") == F.col("f"))
-    if strict:
-        late = F.col("stop").isNotNull() & (F.col("rec") > F.col("stop"))
-        both = both.where(F.when(late, F.raise_error(F.lit("a blank header inside the file"))).otherwise(F.lit(True)))
-    kept = both.where(F.col("stop").isNull() | (F.col("rec") < F.col("stop"))).withColumn("rec", F.col("rec") + F.col("before"))
-    wide = kept.groupBy("rec").agg(F.max(F.when(F.col("field") == 0, F.col("value"))).alias("header"), F.max(F.when(F.col("field") == 1, F.col("value"))).alias("sequence"))
+    ship(spark)
+    lines = _lines(spark, path)
+    splits = _splits(lines, per)
+    if strict and splits.where("records - 1 > stop").limit(1).count():
+        raise ValueError("a blank header inside the file")
+    # a row for each split, so a millionth of the input
+    d = lines.join(F.broadcast(splits.drop("records")), ["file", "block"])
+    line = F.col("at") + F.col("shift")
+    d = d.select("at", "last", "next_line", "stop", "base", "value", F.floor(line / per).alias("rec"), (line % per).cast("int").alias("field"))
+    d = d.where("field < 2").where("stop is null or rec < stop")
+    d = d.select((F.col("rec") + F.col("base")).alias("read_idx"), "field", "value", F.when(F.col("at") == F.col("last"), F.col("next_line")).alias("following"))
     # a record that the file's end cuts off has an empty sequence
-    return wide.select(F.col("rec").alias("read_idx"), "header", F.coalesce("sequence", F.lit("")).alias("sequence"))
+    return d.mapInArrow(_paired, "read_idx long, header string, sequence string")
 
 
 def read_fastq(spark: SparkSession, path: str, *, keep_invalid: bool = False, strict: bool = False) -> DataFrame:

@@ -533,3 +533,26 @@ def test_nothing_is_shuffled_after_the_distance_is_known(spark, capsys):
     simjoin.similar_edges(u, 1).explain()
     plan = capsys.readouterr().out
     assert "Exchange" in plan and plan.index("levenshtein") < plan.index("Join") < plan.index("Exchange") and "Cartesian" not in plan
+
+
+def test_records_are_put_together_inside_splits(spark, tmp_path, capsys):
+    """However lines are cut into splits and batches; no line is shuffled."""
+    names = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "0", "spark.sql.execution.arrow.maxRecordsPerBatch": "3"}
+    old = {k: spark.conf.get(k) for k in names}
+    rng = random.Random(3)
+    reads = ["".join(rng.choices("ACGT", k=rng.choice([0, 3, 30, 120]))) for _ in range(60)]
+    fastq(tmp_path / "a.fq", reads[:25])
+    (tmp_path / "b.fq").write_bytes(b"".join(f"@r{i}\r\n{s}\r\n+\r\n@II\r\n".encode() for i, s in enumerate(reads[25:])) + b"@cut")
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = scan.read_fastq(spark, str(tmp_path / "*.fq"))
+        rows = got.collect()
+        got.explain()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((r.read_idx, r.sequence) for r in rows) == list(enumerate([*reads, ""]))
+    assert [r.header for r in sorted(rows, key=lambda r: r.read_idx)] == [f"@r{i}" for i in range(25)] + [f"@r{i}" for i in range(35)] + ["@cut"]
+    plan = capsys.readouterr().out
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange")

@@ -31,3 +31,46 @@ def test_windows_leave_out_late_reads(spark, tmp_path):
         run()
     got = {(r.start.minute, r.sequence, r["count"]) for r in spark.read.parquet(out).collect()}
     assert got == {(0, "AC", 2), (30, "GG", 1)}
+
+
+def test_online_groups_whatever_the_micro_batches_and_after_a_restart(spark, tmp_path):
+    import random
+
+    from lodestrand.operators import greedy, unique
+    from lodestrand.streaming.greedy import OnlineGreedy
+
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choice("ACGN" if k % 20 == 0 else "ACG") for _ in range(rng.choice([5, 6])))) for k in range(150)]
+    schema = "read_idx long, sequence string"
+    want = sorted(map(tuple, greedy.greedy_seen(unique.unique_sequences(spark.createDataFrame(rows, schema)).drop("length"), 2).collect()))
+    for cuts, order in (((40, 90, 91), False), ((), False), ((30, 60), True)):
+        parts = [rows[a:b] for a, b in zip((0, *cuts), (*cuts, len(rows)))]
+        online = OnlineGreedy(spark, str(tmp_path / f"state{len(cuts)}{order}"), 2)
+        for k, part in enumerate(reversed(parts) if order else parts):
+            online.add(spark.createDataFrame(part, schema), k)
+        assert sorted(map(tuple, online.groups().select("root", "sequence", "count", "first_seen", "root_first_seen").collect())) == want
+    # a micro-batch that fails after it has written pairs is repeated by another run
+    folder = str(tmp_path / "broken")
+    OnlineGreedy(spark, folder, 2).add(spark.createDataFrame(rows[:50], schema), 0)
+    spark.createDataFrame([("AAAAA", "CCCCC")], "s string, t string").write.parquet(f"{folder}/near/1")
+    again = OnlineGreedy(spark, folder, 2)
+    again.add(spark.createDataFrame(rows[50:], schema), 1)
+    again.add(spark.createDataFrame(rows[50:], schema), 1)
+    assert sorted(map(tuple, again.groups().select("root", "sequence", "count", "first_seen", "root_first_seen").collect())) == want
+
+
+def test_a_stream_of_reads_goes_on_where_it_ended(spark, tmp_path):
+    from lodestrand.operators import greedy, unique
+    from lodestrand.streaming.greedy import OnlineGreedy
+
+    schema = "read_idx long, sequence string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "reads"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "reads"))
+    first, second = [(0, "ACGT"), (1, "ACGA"), (2, "TTTT")], [(3, "ACGT"), (4, "TTTA"), (5, "ACCA")]
+    put(first)
+    OnlineGreedy(spark, str(tmp_path / "state")).run(stream(), str(tmp_path / "checkpoint"))
+    put(second)
+    online = OnlineGreedy(spark, str(tmp_path / "state"))
+    online.run(stream(), str(tmp_path / "checkpoint"))
+    want = greedy.greedy_seen(unique.unique_sequences(spark.createDataFrame(first + second, schema)).drop("length"))
+    assert sorted(map(tuple, online.groups().select(want.columns).collect())) == sorted(map(tuple, want.collect()))
