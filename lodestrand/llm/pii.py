@@ -52,7 +52,7 @@ _ANY_DIGIT = re.compile("[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 _CHAR = re.compile(f"[{INVISIBLE}²³¹]|[^\\x00-\\u024f]")
-#: Ends of domains by which a spoken "at" is told from the preposition.
+#: Ends of domains that a spoken "at" must lead to.
 _ENDS = "(?:com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|eu|uk|us|de|fr|es|it|nl|be|ch|at|pl|pt|se|no|dk|fi|ru|cn|jp|in|br|mx|ca|au|nz|za)"
 _SPOKEN_DOT = r"[ \t]+(?:dot|punkt|punto|point|\.)[ \t]+"
 _ANY_DOT = rf"(?:\.|{_SPOKEN_DOT}|[ \t]*{_OPEN}[ \t]*{_DOT}[ \t]*{_SHUT}[ \t]*)"
@@ -61,16 +61,16 @@ _BRACKETED = re.compile(rf"(?<!\s)\s*{_OPEN}\s*(?:({_AT})\s*{_SHUT}\s*{_DOMAIN_A
 _BRACKET_HINT = re.compile(rf"{_OPEN}\s*(?:{_AT}|{_DOT})\s*{_SHUT}", re.I)
 _ESCAPED = re.compile(r"&#0*64;|&#x0*40;|&commat;|%40|(&#0*46;|&#x0*2e;|&period;)", re.I)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9.])(?:([Oo])|[Il])(?=[0-9.])")
-#: Words after which a spoken "at" is the preposition.
-_BEFORE_AT = frozenset(
-    "a all am an and are around arrive arrived available back be been being book both buy call chat check come contact download early employed end even found free get go guest had has have he her here him hosted hours i image in info information is it join just "
-    "late learn least link listed live located look looked looking looks me meet meeting met more no not now of offered office on one online only or order out page photo picture posted published read register registered seen server she shop shown sign site sold staff start started "
-    "starting starts still store stay story submit subscribe support talk that the them there they this time tickets to up us version video visit was watch we website well went were while work worked working works write yes you".split()
-)
 _SPOKEN = re.compile(
     rf"(?<=[A-Za-z0-9])(?:[ \t]+(at|arroba|arobase)[ \t]+|[ \t]+(@)[ \t]*|(@)[ \t]+){_DOMAIN_AHEAD}|(?<=[A-Za-z0-9])[ \t]+(?:dot|punkt|punto|point)[ \t]+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[ \t]+\.[ \t]+(?={_ENDS}\b)", re.I
 )
-_LAST_WORD = re.compile(r"[A-Za-z0-9]+\Z")
+#: What stands before and after a spoken "at".
+_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_AFTER = re.compile(rf"([A-Za-z0-9-]+)((?:{_ANY_DOT}[A-Za-z0-9-]+){{0,6}}{_ANY_DOT}({_ENDS}))\b", re.I)
+#: A local part that no word looks like, an announcement before one, and pronouns, which are none after it.
+_NAME_LIKE = re.compile(r"[A-Za-z0-9]+[._+%][A-Za-z0-9._+%-]*[A-Za-z0-9]|[A-Za-z]{2,}[0-9]{2,}")
+_CUE = re.compile(r"\b(?:e-?mail|mail|contact|reach|correo|courriel|kontakt)(?:[ \t]+(?:address|me|us|is|to|at))*[ \t]*[:=]?[ \t]+\Z", re.I)
+_PRONOUNS = frozenset("me us him her them it you".split())
 #: Hints: each is found wherever its transducer changes something.
 _SPOKEN_HINT = re.compile(rf"[ \t]@|@[ \t]|[ \t](?:dot|punkt|punto|point)[ \t]|[ \t]\.[ \t]+{_ENDS}\b|[ \t](?:at|arroba|arobase)[ \t]+[A-Za-z0-9-]+[ \t]*[.\[({{<]", re.I)
 _SPELLED_HINT = re.compile(rf"\bplus[ ,-]+{_DIGIT}\b|\b{_DIGIT}\b[ ,-]+(?:{_DIGIT}\b|[0-9])", re.I)
@@ -187,10 +187,36 @@ def _plain_char(m: re.Match) -> list[tuple[str, int, int]] | None:
     return None if new is None else [(new, m.start(), m.end())]
 
 
+def _evident(m: re.Match) -> bool:
+    """Whether a spoken "at" is one of an address, not the preposition before the name of a site.
+
+    Evidence is a dot that is disguised too, a local part that is no word, a word that announces
+    an address right before it, or a line that holds nothing else.
+    """
+    t = m.string
+    local, domain = _BEFORE.search(t, max(0, m.start() - 64), m.start()), _AFTER.match(t, m.end())
+    if local is None or domain is None:
+        return False
+    dots = [c for c in domain.group(2) if not c.isalnum() and c != "-"]
+    if (set(dots) != {"."} or re.search(r"\s", domain.group(2))) and domain.group(1).lower() not in DIGIT_WORDS:
+        return True
+    if _NAME_LIKE.fullmatch(local.group()):
+        return True
+    if _CUE.search(t, max(0, local.start() - 40), local.start()) and local.group().lower() not in _PRONOUNS:
+        return True
+    before, after = t[t.rfind("\n", 0, local.start()) + 1 : local.start()], t[domain.end() : domain.end() + 8].partition("\n")[0]
+    return not before.strip() and not after.strip()
+
+
 def _sign(m: re.Match) -> list[tuple[str, int, int]] | None:
     word = next((g for g in m.groups() if g), ".")
-    if word.lower() == "at" and m.re is _SPOKEN and _LAST_WORD.search(m.string, max(0, m.start() - 30), m.start()).group().lower() in _BEFORE_AT:
+    if m.re is _SPOKEN and word.lower() == "at" and not _evident(m):
         return None
+    if m.re is _BRACKETED and m.group(1) and m.group()[-1].isspace():
+        # a remark in brackets may stand before a name with the end of a country's domain
+        domain = _AFTER.match(m.string, m.end())
+        if domain and len(domain.group(3)) == 2 and not _evident(m):
+            return None
     return [("@" if word.lower() in _AT_WORDS else ".", m.start(), m.end())]
 
 

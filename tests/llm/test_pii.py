@@ -135,6 +135,46 @@ def test_prose_joined_to_one_text_has_no_span():
     assert len(PROSE) >= 55 and pii.spans("\n".join(PROSE)) == []
 
 
+SITES = """I ordered at amazon.com
+Prices at walmart.com fell
+John spoke at ted.com
+We were buying shoes at zappos.com
+She smiled at him.me too
+We laughed at me.it was
+A log(at) x.me
+Contact us at example.com
+Please e-mail me at example.org
+Reach them at example.net
+He bought a check-in at hotels.com""".splitlines()
+
+
+def test_the_preposition_before_a_site_is_none_of_an_address():
+    verbs = "ordered spoke paid waited lives studied teaches sells shopped browsed subscribed danced smiled pointed arrived sang cooked trained argued voted".split()
+    nouns = "Prices Shoes Jobs Books Lectures Tickets Friends Engineers Deals Offers".split()
+    sites = ["amazon.com", "ted.com", "example.org", "him.me", "www.python.org", "news.bbc.co.uk", "spiegel.de"]
+    made = [f"They {v} at {s} last year." for v in verbs for s in sites] + [f"{n} at {s} are new" for n in nouns for s in sites]
+    assert len(made) >= 200
+    for text in SITES + made + ["\n".join(made)]:
+        assert [(k, text[a:b]) for a, b, k, _ in pii.spans(text)] == [], text
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("ask jane.doe at example.com about it", "jane.doe at example.com"),
+        ("ask jdoe42 at example.com about it", "jdoe42 at example.com"),
+        ("E-mail: jane at example.com, or call", "jane at example.com"),
+        ("you can reach sales at example.org daily", "sales at example.org"),
+        ("ask Jane at example dot com about it", "Jane at example dot com"),
+        ("first line\njane at example.com\nlast line", "jane at example.com"),
+        ("it was jane(at)x.me then", "jane(at)x.me"),
+        ("escribe a ana arroba example.es hoy", "ana arroba example.es"),
+    ],
+)
+def test_addresses_with_evidence(text, want):
+    assert [text[a:b] for a, b, k, _ in pii.spans(text) if k == "email"] == [want]
+
+
 def test_tape_offsets_point_at_what_was_rewritten():
     text = "ａ b​ [at] c five six seven eight"
     tape = pii.normalise(text)
