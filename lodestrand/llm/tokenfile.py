@@ -167,7 +167,7 @@ class WordIds:
     below; texts go whole to the library if the file has others.
     """
 
-    MEMO, RUN, JOINED = 350_000, 48, 4_000
+    MEMO, RUN, JOINED = 500_000, 48, 4_000
     #: What the tokenizer's file must say.
     NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
     SPLIT = {
@@ -217,12 +217,21 @@ class WordIds:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [self._runs(t) for t in texts]
-        new = set().union(*split).difference(self.memo)
+        get, split, open_, new = self.memo.get, [], [], set()
+        for t in texts:
+            words = self._runs(t)
+            pieces = list(map(get, words))
+            if None in pieces:  # most words are known: one look-up is all they cost
+                at = [k for k, p in enumerate(pieces) if p is None]
+                new.update(map(words.__getitem__, at))
+                open_.append((pieces, at, [words[k] for k in at]))
+            split.append(pieces)
         if new:
             self._encode(list(new))
-        get = self.memo.__getitem__
-        out = [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        for pieces, at, words in open_:
+            for k, w in zip(at, words):
+                pieces[k] = self.memo[w]
+        out = [np.frombuffer(b"".join(pieces), "<u4") for pieces in split]
         if len(self.memo) > self.MEMO:  # the newest go, the oldest are the most frequent
             for w in new:
                 del self.memo[w]
