@@ -35,7 +35,7 @@ def run_split(spark: SparkSession, a: argparse.Namespace) -> None:
     u = scan.read_unique_table(spark, a.input)
     for r in unique.length_profile(u).orderBy("length").collect():
         print(f"length {r.length}: {r.uniques:,} unique, {r.reads:,} reads")
-    sinks.write_length_tables(u, a.output_dir)
+    sinks.write_length_tables(u, a.output_dir, single=not a.parts)
     _say("split", t)
 
 
@@ -122,7 +122,7 @@ def parser() -> argparse.ArgumentParser:
     parts = (("--parts",), {"action": "store_true", "help": "write folders of part files instead of single ones"})
     mode = (("--mode",), {"choices": ("complete", "reference"), "default": "complete"})
     command("unique", run_unique, (("--fastq", "--input", "-i"), must), (("--output", "-o"), must), (("--strict",), {"action": "store_true"}), (("--min-length",), {"type": int, "default": 0}), parts)
-    command("split", run_split, (("--input", "-i"), must), (("--output-dir", "-o"), must))
+    command("split", run_split, (("--input", "-i"), must), (("--output-dir", "-o"), must), parts)
     command("pairs", run_pairs, (("--length-dir",), must), (("--length-a",), whole), (("--length-b",), whole), (("--distance", "--max-edits", "-d"), whole), (("--output-dir", "-o"), must), mode)
     command("all-pairs", run_all_pairs, (("--length-dir",), must), (("--distance", "--max-edits", "-d"), whole), (("--output-dir", "-o"), must), (("--workers", "-w"), {"type": int, "default": 1, "help": "kept for scripts; Spark decides"}), mode)
     command("cluster", run_cluster, (("--unique",), must), (("--edges-dir",), must), (("--distance", "--max-edits", "-d"), {"type": int}), (("--output", "-o"), must), (("--fasta",), {}), parts)

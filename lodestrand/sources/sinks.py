@@ -59,12 +59,38 @@ def write_by_length(uniques: DataFrame, path: str) -> DataFrame:
     return d.groupBy("length").agg(F.count("*").alias("uniques"), F.sum("count").alias("reads"))
 
 
-def write_length_tables(uniques: DataFrame, folder: str) -> list[int]:
-    """One text table length_<n>.csv a length, for tools that expect them."""
-    lengths = [r.n for r in uniques.select(F.length("sequence").alias("n")).distinct().orderBy("n").collect()]
-    for n in lengths:
-        write_unique_table(uniques.where(F.length("sequence") == n), f"{folder}/length_{n}.csv")
-    return lengths
+def write_length_tables(uniques: DataFrame, folder: str, *, single: bool = True) -> list[int]:
+    """One text table length_<n>.csv a length, for tools that expect them: a file each, or with ``single=False`` a folder of parts.
+
+    All lengths are written by one job, which reads the table once; afterwards the
+    results are renamed, so a job that is cut off leaves what was there before.
+    """
+    spark = uniques.sparkSession
+    tmp = scratch(spark, "lengths")
+    first = "first_seen" if "first_seen" in uniques.columns else "sequence"
+    u = uniques.where("sequence is not null").select("sequence", "count", F.length("sequence").alias("length"), F.col(first).alias("first"))
+    totals = u.groupBy("length").agg(F.count("*").alias("n"), F.sum("count").alias("m"))
+    top = F.posexplode(F.array(F.format_string("# unique_sequences=%d, total_reads=%d", "n", "m"), F.lit("sequence\tcount\r"))).alias("k", "value")
+    none = F.lit(None)
+    heads = totals.select("length", none.cast("long").alias("count"), none.cast(u.schema["first"].dataType).alias("first"), none.cast("string").alias("sequence"), top)
+    line = F.concat_ws("\t", "sequence", F.concat(F.col("count").cast("string"), F.lit("\r"))).alias("value")
+    rows = heads.unionByName(u.select("length", "count", "first", "sequence", F.lit(2).alias("k"), line))
+    order = ["length", "k", F.desc("count"), "first", "sequence"]
+    dealt = rows.repartition("length") if single else rows.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).select("value", "length").write.partitionBy("length").text(tmp)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = hadoop.Path(tmp).getFileSystem(conf), hadoop.Path(folder).getFileSystem(conf)
+    target.mkdirs(hadoop.Path(folder))
+    lengths = []
+    for s in source.globStatus(hadoop.Path(f"{tmp}/length=*")) or []:
+        n = int(s.getPath().getName().removeprefix("length="))
+        got = source.globStatus(hadoop.Path(f"{tmp}/length={n}/part-*"))[0].getPath() if single else s.getPath()
+        to = hadoop.Path(f"{folder}/length_{n}.csv")
+        target.delete(to, True)
+        hadoop.FileUtil.copy(source, got, target, to, True, True, conf) if source.getUri() != target.getUri() else source.rename(got, to)
+        lengths.append(n)
+    source.delete(hadoop.Path(tmp), True)
+    return sorted(lengths)
 
 
 def write_edges(edges: DataFrame, path: str, *, distance: int | None = None) -> None:

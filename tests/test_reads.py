@@ -1,6 +1,7 @@
 """A small read set with known results, edge cases of the formats, and properties."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -556,3 +557,17 @@ def test_records_are_put_together_inside_splits(spark, tmp_path, capsys):
     assert [r.header for r in sorted(rows, key=lambda r: r.read_idx)] == [f"@r{i}" for i in range(25)] + [f"@r{i}" for i in range(35)] + ["@cut"]
     plan = capsys.readouterr().out
     assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
+
+
+def test_length_tables_of_parts_and_of_single_files(spark, tmp_path, micro):
+    """One job for all lengths; files and folders have the same lines in the same order, and replace older ones."""
+    u = micro[1]
+    for single in (True, False, False):
+        found = sinks.write_length_tables(u, str(tmp_path / str(single)), single=single)
+        assert found == sorted({len(r.sequence) for r in u.collect()})
+        for n, path in scan.discover_lengths(spark, str(tmp_path / str(single))).items():
+            own = sorted(((-r["count"], r.first_seen, r.sequence) for r in u.collect() if len(r.sequence) == n))
+            files = [path] if single else sorted(str(p) for p in Path(path).glob("part-*"))
+            lines = "".join(open(f, newline="").read() for f in files).split("\n")[:-1]
+            assert lines == [f"# unique_sequences={len(own)}, total_reads={-sum(o[0] for o in own)}", "sequence\tcount\r"] + [f"{s}\t{-c}\r" for c, _, s in own]
+            assert scan.unique_header(spark, path) == (len(own), -sum(o[0] for o in own))
