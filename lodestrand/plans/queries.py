@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as fn
-from ..operators import agreement, clusters, components, greedy, simjoin, unique
+from ..operators import agreement, clusters, components, greedy, seedindex, simjoin, unique
 from ..sources import reads as scan
 from ..sources import sinks
 from ..storage import dense_ids, materialize, scratch
@@ -249,6 +249,12 @@ def edges_d1(spark, sf_dir):
     return simjoin.similar_edges(u, 1)
 
 
+def indexed_edges(spark, sf_dir):
+    """Edges that a stored seed index finds: nine tenths of the uniques are stored first, then a tenth is added."""
+    u = unique.with_ids(uniques(spark, sf_dir))
+    return seedindex.edges_in_batches(u, 2, (F.col("seq_id") % 10 == 9).cast("int"), 2)
+
+
 def raw_edges_d1(spark, sf_dir):
     return simjoin.raw_edges(unique.with_ids(uniques(spark, sf_dir)), 1)
 
@@ -392,6 +398,7 @@ QUERIES = {
     "ranked": ranked, "count_cdf": count_cdf, "topn_overlap": topn_overlap, "agreement_report": agreement_report,
     "length_tables": length_tables, "cluster_table": cluster_table, "greedy_fasta": _greedy_fasta(False), "greedy_fasta_members": _greedy_fasta(True), "disjoint_sets": disjoint_sets, "plot_data": plot_data,
     "disjoint_sets_batches": disjoint_sets_batches, "disjoint_sets_merges": disjoint_sets_merges, "ranked_clusters": ranked_clusters, "edge_folder": edge_folder, "metrics": metrics, "greedy_stream": greedy_stream,
+    "indexed_edges": indexed_edges,
 }
 
 _TWO = f"""{UNIQUES},
@@ -468,6 +475,7 @@ ORACLE = {
     "pairs_by_length": f"WITH {UNIQUES}, {_brute(2, 'AND a.len = 23 AND b.len = 24')} {_PAIRS}",
     "length_pairs": f"WITH {UNIQUES}, n AS (SELECT DISTINCT len FROM u) SELECT a.len AS length_a, b.len AS length_b FROM n a JOIN n b ON a.len <= b.len AND b.len - a.len <= 1",
     "edges_d1": f"WITH {UNIQUES}, {_brute(1)} SELECT least(x, y) AS id_a, greatest(x, y) AS id_b, distance FROM p",
+    "indexed_edges": f"WITH {UNIQUES}, {_brute(2)} SELECT least(x, y) AS id_a, greatest(x, y) AS id_b, distance FROM p",
     "raw_edges_d1": f"""WITH {UNIQUES}, {_seeded(1)},
 loops AS (SELECT DISTINCT o.id FROM (SELECT *, count(*) OVER (PARTITION BY n, part, seed) AS m FROM sa) q JOIN o USING (sequence) WHERE m > 1)
 SELECT x AS id_a, y AS id_b FROM p UNION ALL SELECT y, x FROM p WHERE length(a) = length(b) UNION ALL SELECT id, id FROM loops""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 import zipfile
@@ -121,3 +122,58 @@ def dense_ids(df: DataFrame, *order, name: str = "id", start: int = 0) -> DataFr
     numbered = spread.withColumn("_part", part).join(offsets, "_part")
     low = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return numbered.withColumn(name, (F.col("_before") + low + start).cast("long")).drop("_part", "_before", "_at")
+
+
+def _hadoop(spark: SparkSession, at: str):
+    """A path and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _manifests(spark: SparkSession, folder: str) -> list[int]:
+    path, fs = _hadoop(spark, f"{folder}/_manifest/*.json")
+    return sorted(int(s.getPath().getName().removesuffix(".json")) for s in fs.globStatus(path) or [])
+
+
+def committed(spark: SparkSession, folder: str) -> dict | None:
+    """What the newest manifest of ``folder`` says; None where there is none."""
+    found = _manifests(spark, folder)
+    if not found:
+        return None
+    path, fs = _hadoop(spark, f"{folder}/_manifest/{found[-1]}.json")
+    stream = fs.open(path)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def commit(spark: SparkSession, folder: str, state: dict) -> None:
+    """Make ``state`` the newest manifest of ``folder``, by one rename of a written file.
+
+    Readers that trust manifests see all of a write or nothing of it.  One writer at a time.
+    """
+    new = (_manifests(spark, folder) or [-1])[-1] + 1
+    draft, fs = _hadoop(spark, f"{folder}/_manifest/.{uuid.uuid4().hex}")
+    stream = fs.create(draft, True)
+    stream.write(json.dumps(state, sort_keys=True).encode())
+    stream.close()
+    if not fs.rename(draft, _hadoop(spark, f"{folder}/_manifest/{new}.json")[0]):
+        raise OSError(f"manifest {new} of {folder} was written by another")
+
+
+def vacuum(spark: SparkSession, folder: str) -> list[str]:
+    """Delete folders ``v-*`` that the newest manifest does not name, and older manifests; nobody may read or write the folder meanwhile."""
+    named = json.dumps(committed(spark, folder))
+    path, fs = _hadoop(spark, f"{folder}/v-*")
+    gone = [s.getPath() for s in fs.globStatus(path) or [] if s.getPath().getName() not in named]
+    for p in gone:
+        fs.delete(p, True)
+    for k in _manifests(spark, folder)[:-1]:
+        fs.delete(_hadoop(spark, f"{folder}/_manifest/{k}.json")[0], False)
+    return sorted(p.getName() for p in gone)
+
+
+def version() -> str:
+    """A new name for a folder that a manifest will name."""
+    return f"v-{uuid.uuid4().hex}"
