@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .operators import agreement, clusters, components, greedy, simjoin, unique
 from .sources import reads as scan
 from .sources import sinks
-from .storage import clear
+from .storage import clear, publish, scratch
 
 
 def _say(text: str, since: float) -> None:
@@ -58,8 +58,12 @@ def _pairs(spark: SparkSession, a: argparse.Namespace, lengths: tuple[int, int]
         return
     u = unique.with_ids(_by_length(spark, a.length_dir))  # ids are those of the whole table
     e = simjoin.similar_edges(u, a.distance, mode=a.mode, lengths=lengths, with_lengths=True).cache()
-    if lengths:
-        sinks.write_edge_table(e, f"{a.output_dir}/pairs_len{lengths[0]}_len{lengths[1]}_d{a.distance}.csv")
+    if a.parts:
+        sinks.write_edge_files(e, a.output_dir, a.distance, lengths=lengths, versioned=True)
+    elif lengths:
+        name, tmp = f"pairs_len{lengths[0]}_len{lengths[1]}_d{a.distance}.csv", scratch(spark, "pairs")
+        sinks.write_edge_table(e, tmp)
+        publish(spark, a.output_dir, {name: tmp}, lambda n: n == name, versioned=False)
     else:
         sinks.write_edge_files(e, a.output_dir, a.distance)
     _say(f"{e.count():,} pairs", t)
@@ -123,8 +127,8 @@ def parser() -> argparse.ArgumentParser:
     mode = (("--mode",), {"choices": ("complete", "reference"), "default": "complete"})
     command("unique", run_unique, (("--fastq", "--input", "-i"), must), (("--output", "-o"), must), (("--strict",), {"action": "store_true"}), (("--min-length",), {"type": int, "default": 0}), parts)
     command("split", run_split, (("--input", "-i"), must), (("--output-dir", "-o"), must), parts)
-    command("pairs", run_pairs, (("--length-dir",), must), (("--length-a",), whole), (("--length-b",), whole), (("--distance", "--max-edits", "-d"), whole), (("--output-dir", "-o"), must), mode)
-    command("all-pairs", run_all_pairs, (("--length-dir",), must), (("--distance", "--max-edits", "-d"), whole), (("--output-dir", "-o"), must), (("--workers", "-w"), {"type": int, "default": 1, "help": "kept for scripts; Spark decides"}), mode)
+    command("pairs", run_pairs, (("--length-dir",), must), (("--length-a",), whole), (("--length-b",), whole), (("--distance", "--max-edits", "-d"), whole), (("--output-dir", "-o"), must), mode, parts)
+    command("all-pairs", run_all_pairs, (("--length-dir",), must), (("--distance", "--max-edits", "-d"), whole), (("--output-dir", "-o"), must), (("--workers", "-w"), {"type": int, "default": 1, "help": "kept for scripts; Spark decides"}), mode, parts)
     command("cluster", run_cluster, (("--unique",), must), (("--edges-dir",), must), (("--distance", "--max-edits", "-d"), {"type": int}), (("--output", "-o"), must), (("--fasta",), {}), parts)
     command("greedy", run_greedy, (("--input", "-i"), {"default": "merged_lenfilt.fq"}), (("--output", "-o"), must), (("--kind",), {"choices": ("ball", "seen"), "default": "seen"}), (("--include_next_nearest",), {"action": "store_true"}), (("--members",), {"action": "store_true"}), parts)
     command("agree", run_agree, (("old",), {}), (("new",), {}), (("--data",), {}))

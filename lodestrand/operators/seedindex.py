@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import is_valid, piece, revcomp
@@ -136,19 +136,25 @@ class SeedIndex:
             first = first.when((F.col("delta") == p.delta) & fits & same, F.lit(k))
         return first
 
+    def _shared(self, p: DataFrame) -> DataFrame | None:
+        """Keys that many new strings share, by a sample; None if there are none."""
+        some = p.where(F.pmod(F.xxhash64("b_id"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("rows"))
+        seen = Observation()
+        shared = materialize(some.where(F.col("rows") * SAMPLE > HOT_SEED).select("key").observe(seen, F.count("*").alias("keys")), "shared-seeds")
+        return shared if seen.get["keys"] else None
+
     def _meet(self, new: DataFrame, generation: str, *, own: bool) -> DataFrame:
         """(id_a, id_b, distance) of new strings with those of a generation; ``own``: with each other, each pair once."""
         d, one = self.d, F.lit(1)
         stored = self._stored(generation).select("key", "salt", F.col("id").alias("a_id"), F.col("sequence").alias("a"), F.col("code").alias("a_code"))
         p = self._looked_for(new, self._of(generation, "lengths", "m int"))
-        some = p.where(F.pmod(F.xxhash64("b_id"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("rows"))
-        shared = materialize(some.where(F.col("rows") * SAMPLE > HOT_SEED).select("key"), "shared-seeds")
+        shared = self._shared(p) if new._rows > HOT_SEED else None  # of fewer strings no key is frequent
         hot = self._of(generation, "hot", "key long, salts int")
-        q = p.join(shared, "key", "left_anti").join(hot, "key", "left")
+        q = (p if shared is None else p.join(shared, "key", "left_anti")).join(hot, "key", "left")
         q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", one) - 1))).drop("salts")
         # by sort and merge the new strings stream past the few rows of a stored key; a small batch may be broadcast instead
         c = q.join(stored, ["key", "salt"]).drop("salt")
-        if not shared.isEmpty():
+        if shared is not None:
             apart = stored.drop("salt").join(shared, "key", "left_semi")
             c = c.unionByName(salted_join(apart, p.join(shared, "key", "left_semi"), ["key"], "a_id", "b_id"))
         if own:
@@ -164,7 +170,11 @@ class SeedIndex:
         return c.select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"), distance.alias("distance"))
 
     def _given(self, strings: DataFrame) -> DataFrame:
-        return materialize(strings.where("sequence is not null").select(F.col("id").cast("long").alias("id"), "sequence"), "new-strings")
+        seen = Observation()
+        new = strings.where("sequence is not null").select(F.col("id").cast("long").alias("id"), "sequence").observe(seen, F.count("*").alias("rows"))
+        new = materialize(new, "new-strings")
+        new._rows = seen.get["rows"]
+        return new
 
     def near(self, strings: DataFrame) -> DataFrame:
         """(id_a, id_b, distance) of strings (id, sequence), with ids that the index has not, with what is stored; they are not added."""

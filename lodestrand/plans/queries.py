@@ -159,14 +159,14 @@ def edge_folder(spark, sf_dir):
     out = scratch(spark, "edge-folder")
     u = unique.with_ids(uniques(spark, sf_dir))
     for d in (1, 2):
-        sinks.write_edge_files(simjoin.similar_edges(u, d, with_lengths=True), out, d)
+        sinks.write_edge_files(simjoin.similar_edges(u, d, with_lengths=True), out, d, versioned=True)
     return scan.read_edges(spark, out, distance=1)
 
 
 def length_tables(spark, sf_dir):
     """The uniques written as one table a length, and found again by the names of the files."""
     out = scratch(spark, "lengths")
-    sinks.write_length_tables(uniques(spark, sf_dir), out)
+    sinks.write_length_tables(uniques(spark, sf_dir), out, single=False)
     found = [scan.read_unique_table(spark, path).withColumn("length", F.lit(n)) for n, path in scan.discover_lengths(spark, out).items()]
     return reduce(DataFrame.unionByName, found)
 

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequences import header_count, is_valid, trimmed
-from ..storage import materialize, ship
+from ..storage import current_files, materialize, ship
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -146,39 +146,34 @@ def read_unique_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(trimmed(cell[at["sequence"]]).alias("sequence"), cell[at["count"]].cast("long").alias("count"))
 
 
-def _names(spark: SparkSession, pattern: str) -> list[str]:
-    """Names of the files or folders that match."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
-    return [s.getPath().getName() for s in found]
-
-
 def read_edges(spark: SparkSession, path: str, *, distance: int | None = None) -> DataFrame:
     """(id_a, id_b) of one edge file or of all in a folder; a malformed row is an error.
 
     With ``distance`` only the folder's files ``*_d<distance>.csv`` are read; without,
     files of different distances in one folder are an error.
     """
+    paths = path
     if not path.endswith(".csv"):
+        found = current_files(spark, path)
         if distance is not None:
-            path = f"{path}/*_d{distance}.csv"
-        else:
-            found = {m[1] for n in _names(spark, f"{path}/*.csv") if (m := re.search(r"_d(\d+)\.csv$", n))}
-            if len(found) > 1:
-                raise ValueError(f"edges of distances {sorted(map(int, found))} in {path}; say which")
-            path = f"{path}/*.csv"
-    d = spark.read.csv(path, sep="\t", header=True, schema="id_a bigint, id_b bigint", mode="FAILFAST", enforceSchema=True)
+            found = {n: p for n, p in found.items() if n.endswith(f"_d{distance}.csv")}
+        elif len(given := {m[1] for n in found if (m := re.search(r"_d(\d+)\.csv$", n))}) > 1:
+            raise ValueError(f"edges of distances {sorted(map(int, given))} in {path}; say which")
+        paths = sorted(found.values()) or f"{path}/{'*' if distance is None else f'*_d{distance}'}.csv"
+    d = spark.read.csv(paths, sep="\t", header=True, schema="id_a bigint, id_b bigint", mode="FAILFAST", enforceSchema=True)
     return d.where("id_a is not null and id_b is not null")
 
 
 def discover_lengths(spark: SparkSession, folder: str) -> dict[int, str]:
     """Files length_<n>.csv of a folder by n; any other length_*.csv is an error."""
     out = {}
-    for name in _names(spark, f"{folder}/length_*.csv"):
+    for name, path in current_files(spark, folder).items():
+        if not name.startswith("length_"):
+            continue
         m = re.fullmatch(r"length_(\d+)\.csv", name)
         if not m:
             raise ValueError(f"unexpected file {name}")
-        out[int(m[1])] = f"{folder}/{name}"
+        out[int(m[1])] = path
     return dict(sorted(out.items()))
 
 

@@ -7,10 +7,12 @@ and other tools the same text can be a single file, which one task writes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import dense_ids, scratch
+from ..storage import dense_ids, publish, scratch
 
 
 def text_parts(lines: DataFrame, path: str, *order) -> None:
@@ -62,8 +64,9 @@ def write_by_length(uniques: DataFrame, path: str) -> DataFrame:
 def write_length_tables(uniques: DataFrame, folder: str, *, single: bool = True) -> list[int]:
     """One text table length_<n>.csv a length, for tools that expect them: a file each, or with ``single=False`` a folder of parts.
 
-    All lengths are written by one job, which reads the table once; afterwards the
-    results are renamed, so a job that is cut off leaves what was there before.
+    All lengths are written by one job, which reads the table once, and replace all
+    there were.  Files are then renamed one by one; folders of parts are versioned, so
+    ``discover_lengths`` finds all new ones or all old ones (``storage.publish``).
     """
     spark = uniques.sparkSession
     tmp = scratch(spark, "lengths")
@@ -78,19 +81,17 @@ def write_length_tables(uniques: DataFrame, folder: str, *, single: bool = True)
     order = ["length", "k", F.desc("count"), "first", "sequence"]
     dealt = rows.repartition("length") if single else rows.repartitionByRange(*order)
     dealt.sortWithinPartitions(*order).select("value", "length").write.partitionBy("length").text(tmp)
+    found = _written(spark, tmp, "length", lambda n: f"length_{n}.csv", single)
+    publish(spark, folder, found, lambda n: re.fullmatch(r"length_\d+\.csv", n) is not None, versioned=not single)
+    return sorted(int(n[len("length_") : -len(".csv")]) for n in found)
+
+
+def _written(spark: SparkSession, tmp: str, column: str, name, single: bool) -> dict[str, str]:
+    """The folders of a partitioned write, or the only file of each, by the names they shall have."""
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-    source, target = hadoop.Path(tmp).getFileSystem(conf), hadoop.Path(folder).getFileSystem(conf)
-    target.mkdirs(hadoop.Path(folder))
-    lengths = []
-    for s in source.globStatus(hadoop.Path(f"{tmp}/length=*")) or []:
-        n = int(s.getPath().getName().removeprefix("length="))
-        got = source.globStatus(hadoop.Path(f"{tmp}/length={n}/part-*"))[0].getPath() if single else s.getPath()
-        to = hadoop.Path(f"{folder}/length_{n}.csv")
-        target.delete(to, True)
-        hadoop.FileUtil.copy(source, got, target, to, True, True, conf) if source.getUri() != target.getUri() else source.rename(got, to)
-        lengths.append(n)
-    source.delete(hadoop.Path(tmp), True)
-    return sorted(lengths)
+    found = hadoop.Path(tmp).getFileSystem(conf).globStatus(hadoop.Path(f"{tmp}/{column}=*/part-*" if single else f"{tmp}/{column}=*")) or []
+    paths = [s.getPath() for s in found]
+    return {name((p.getParent() if single else p).getName().removeprefix(f"{column}=")): p.toString() for p in paths}
 
 
 def write_edges(edges: DataFrame, path: str, *, distance: int | None = None) -> None:
@@ -106,23 +107,18 @@ def write_edge_table(edges: DataFrame, path: str, *, single: bool = True) -> Non
     _write(head.unionByName(e), path, single, "k", "id_a", "id_b")
 
 
-def write_edge_files(edges: DataFrame, folder: str, d: int) -> None:
+def write_edge_files(edges: DataFrame, folder: str, d: int, *, lengths: tuple[int, int] | None = None, versioned: bool = False) -> None:
     """Tab-separated edges (id_a, id_b, length_a, length_b), a folder of parts pairs_len<a>_len<b>_d<d>.csv for each pair of lengths.
 
-    All pairs are written by one job; only the folders are renamed after it.
+    All pairs are written by one job, and replace those of distance ``d``, or of these ``lengths`` only.
+    ``versioned``: ``read_edges`` finds all new ones or all old ones (``storage.publish``).
     """
     spark = edges.sparkSession
     tmp = scratch(spark, "edges")
     name = F.format_string("pairs_len%d_len%d_d%d.csv", F.least("length_a", "length_b"), F.greatest("length_a", "length_b"), F.lit(d))
     edges.select(F.col("id_a").alias("index_a"), F.col("id_b").alias("index_b"), name.alias("name")).write.partitionBy("name").option("header", True).option("sep", "\t").csv(tmp)
-    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-    source, target = hadoop.Path(tmp).getFileSystem(conf), hadoop.Path(folder).getFileSystem(conf)
-    target.mkdirs(hadoop.Path(folder))
-    for s in source.globStatus(hadoop.Path(f"{tmp}/name=*")) or []:
-        to = hadoop.Path(f"{folder}/{s.getPath().getName().removeprefix('name=')}")
-        target.delete(to, True)
-        hadoop.FileUtil.copy(source, s.getPath(), target, to, True, True, conf) if source.getUri() != target.getUri() else source.rename(s.getPath(), to)
-    source.delete(hadoop.Path(tmp), True)
+    own = rf"pairs_len\d+_len\d+_d{d}\.csv" if lengths is None else rf"pairs_len{min(lengths)}_len{max(lengths)}_d{d}\.csv"
+    publish(spark, folder, _written(spark, tmp, "name", str, False), lambda n: re.fullmatch(own, n) is not None, versioned=versioned)
 
 
 def write_clusters(clusters: DataFrame, path: str, *, single: bool = True) -> None:

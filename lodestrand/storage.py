@@ -162,6 +162,58 @@ def commit(spark: SparkSession, folder: str, state: dict) -> None:
         raise OSError(f"manifest {new} of {folder} was written by another")
 
 
+def current_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Tables ``*.csv`` of a folder by name, as paths: those its manifest names, and others at its top that no manifest replaced."""
+    path, fs = _hadoop(spark, f"{folder}/*.csv")
+    state = committed(spark, folder) or {}
+    top = {s.getPath().getName(): f"{folder}/{s.getPath().getName()}" for s in fs.globStatus(path) or []}
+    out = {n: p for n, p in top.items() if n not in state.get("replaced", [])}
+    return out | {n: f"{folder}/{p}" for n, p in state.get("files", {}).items()}
+
+
+def move(spark: SparkSession, found: dict[str, str]) -> None:
+    """Rename files or folders (from: to), across file systems too; what was there before goes."""
+    for source, target in found.items():
+        (a, from_), (b, to) = _hadoop(spark, source), _hadoop(spark, target)
+        to.mkdirs(b.getParent())
+        to.delete(b, True)
+        same = from_.getUri() == to.getUri()
+        done = from_.rename(a, b) if same else spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(from_, a, to, b, True, True, spark.sparkContext._jsc.hadoopConfiguration())
+        if not done:
+            raise OSError(f"{source} could not be moved to {target}")
+
+
+def publish(spark: SparkSession, folder: str, found: dict[str, str], replaces, *, versioned: bool) -> None:
+    """Put tables (name: path of what a job wrote) into ``folder``, in place of those whose names ``replaces`` accepts.
+
+    Versioned, they go to a new folder in it, and the manifest then names them and
+    what they replace: ``current_files`` sees the old tables until then and the new
+    ones afterwards, however the writer ends.  Otherwise they go to the top of the
+    folder one by one, where other tools look for them.
+    """
+    state = committed(spark, folder)
+    if not versioned:
+        stale = [p for n, p in current_files(spark, folder).items() if replaces(n) and n not in found and p == f"{folder}/{n}"]
+        move(spark, {path: f"{folder}/{name}" for name, path in found.items()})
+        for old in stale:
+            path, fs = _hadoop(spark, old)
+            fs.delete(path, True)
+        if state is not None:
+            files = {n: p for n, p in state.get("files", {}).items() if n not in found and not replaces(n)}
+            gone = [n for n in {*state.get("replaced", []), *filter(replaces, state.get("files", {}))} if n not in found]
+            commit(spark, folder, {"files": files, "replaced": sorted(gone)})
+        return
+    own = version()
+    move(spark, {path: f"{folder}/{own}/{name}" for name, path in found.items()})
+    state = state or {}
+    old = [n for n in current_files(spark, folder) if replaces(n)]
+    files = {n: p for n, p in state.get("files", {}).items() if not replaces(n)} | {n: f"{own}/{n}" for n in found}
+    commit(spark, folder, {"files": files, "replaced": sorted({*state.get("replaced", []), *old})})
+    for n in old:
+        path, fs = _hadoop(spark, f"{folder}/{n}")
+        fs.delete(path, True)
+
+
 def vacuum(spark: SparkSession, folder: str) -> list[str]:
     """Delete folders ``v-*`` that the newest manifest does not name, and older manifests; nobody may read or write the folder meanwhile."""
     named = json.dumps(committed(spark, folder))

@@ -59,7 +59,7 @@ def got(df):
     return sorted(tuple(r) for r in df.select("id_a", "id_b", "distance").collect())
 
 
-@pytest.mark.parametrize("d", [0, 1, 2, 3])
+@pytest.mark.parametrize("d", [0, 2, 3])
 def test_batches_find_all_pairs_once(spark, tmp_path, d):
     rng = random.Random(d)
     rows = list(enumerate(strings(rng, 90)))
