@@ -340,9 +340,11 @@ def _greedy(kind: str, r: int):
 def greedy_stream(spark, sf_dir):
     """Greedy groups of reads that come as a stream of five micro-batches or more."""
     out = scratch(spark, "arrivals")
+    # each task of the scan writes five files, so no task gets a fifth of all reads
     dealt = reads(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("read_idx", "sequence"), F.lit(5)).cast("int"))
-    dealt.repartition(5, "part").write.parquet(f"{out}/reads")
-    arriving = spark.readStream.schema("read_idx long, sequence string").option("maxFilesPerTrigger", 1).parquet(f"{out}/reads")
+    dealt.write.partitionBy("part").parquet(f"{out}/reads")
+    files = len(spark.read.parquet(f"{out}/reads").inputFiles())
+    arriving = spark.readStream.schema("read_idx long, sequence string, part int").option("maxFilesPerTrigger", max(1, files // 5)).parquet(f"{out}/reads").drop("part")
     online = OnlineGreedy(spark, f"{out}/state")
     online.run(arriving, f"{out}/checkpoint")
     return greedy.summarise_greedy(online.groups())

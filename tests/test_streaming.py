@@ -74,3 +74,21 @@ def test_a_stream_of_reads_goes_on_where_it_ended(spark, tmp_path):
     online.run(stream(), str(tmp_path / "checkpoint"))
     want = greedy.greedy_seen(unique.unique_sequences(spark.createDataFrame(first + second, schema)).drop("length"))
     assert sorted(map(tuple, online.groups().select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_the_query_writes_a_large_table_by_as_many_tasks_as_its_scan_has(spark, sf_dir, tmp_path, monkeypatch):
+    from lodestrand.plans import queries
+
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(13).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = sorted(map(tuple, queries.QUERIES["greedy_seen"](spark, sf_dir).collect()))
+    monkeypatch.setattr(queries, "scratch", lambda s, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 20))
+    try:
+        got = sorted(map(tuple, queries.QUERIES["greedy_stream"](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want
+    assert len(list((tmp_path / "arrivals" / "reads").rglob("*.parquet"))) == 65
+    assert len(list((tmp_path / "arrivals" / "state" / "done").glob("[0-9]*"))) == 5
