@@ -17,8 +17,10 @@ of the host's pages with a container, and three.
 Hosts with many pages are dealt over groups of bounded size by a hash of the page.
 Each group counts the pages of its runs of tokens by their hashes, and the counts
 are summed over the host before anything is decided, so the groups' number and
-size change nothing.  Inside containers a group leaves out runs on less than a
-hundredth of its pages, which half of a host's pages can't have.
+size change nothing.  What no decision needs is not counted: outside containers
+the runs of a host none of whose pages has an open or doubtful block in its text,
+inside those that are on less than the share of pages in every group, or whose
+counts can't add up to it.  The rest is counted exactly.
 
 Rows: a null or empty html has an empty text; a null url is a host of its own.
 Unclosed tags, comments, scripts and cut-off pages are read as far as they go.
@@ -360,41 +362,71 @@ def extract(
         used = [x for x in by_page.values() if x[0]]
         return [x[0] for x in used], [x[1] for x in used]
 
-    def count(t: pa.Table) -> pa.Table:
-        out = {"host": [], "group": [], "inside": [], "run": [], "n": []}
-        if t.num_rows and t.column("groups")[0].as_py() > 1:
-            for inside in (False, True):
-                words = streams(t, inside)[0]
-                hashes = [np.unique(h) for h in run_hashes(words, run)]
-                runs, n = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    def counted(t: pa.Table, inside: bool) -> tuple[np.ndarray, np.ndarray, int]:
+        """Each run of the group's pages, on how many of them it is, and the number of pages."""
+        hashes = [np.unique(h) for h in run_hashes(streams(t, inside)[0], run)]
+        runs, n = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return runs, n, len(hashes)
+
+    def wanted_of(places: list[str]) -> tuple[str, str]:
+        return (MAIN, MAYBE_MAIN) if MAIN in places or MAYBE_MAIN in places else (OPEN, MAYBE_OPEN)
+
+    def asks(t: pa.Table, inside: bool) -> bool:
+        """Whether a block of some page's text depends on this stream."""
+        return any((x == MAIN) == inside and x in wanted_of(p) for p in t.column("places").to_pylist() for x in p)
+
+    def propose(t: pa.Table) -> pa.Table:
+        """Runs on the share of a group's pages with a container, and a row without a run that tells of the group."""
+        kinds = [("host", pa.string()), ("groups", pa.int64()), ("run", pa.int64()), ("above", pa.int64()), ("of", pa.int64()), ("under", pa.int64()), ("asks", pa.bool_())]
+        if not t.num_rows or t.column("groups")[0].as_py() == 1:
+            return pa.schema(kinds).empty_table()
+        runs, n, of = counted(t, True)
+        under = max(1, int(np.ceil(main_share * of))) - 1  # what a run that is left out is on, at most
+        runs, n = runs[n > under], n[n > under]
+        size = len(runs)
+        host_, groups = (t.column(c)[0].as_py() for c in ("host", "groups"))
+        rows = [[host_] * (size + 1), [groups] * (size + 1), [None, *runs.tolist()], [0, *(n - under).tolist()], [of] + [0] * size, [under] + [0] * size, [asks(t, False)] + [False] * size]
+        return pa.table([pa.array(x, k) for x, (_, k) in zip(rows, kinds)], schema=pa.schema(kinds))
+
+    def count(t: pa.Table, open_: pa.Table) -> pa.Table:
+        """On how many of a group's pages the host's open runs are; outside containers all are open, if any page asks."""
+        kinds = [("host", pa.string()), ("group", pa.int64()), ("inside", pa.bool_()), ("run", pa.int64()), ("n", pa.int64()), ("need", pa.int64())]
+        out = [pa.schema(kinds).empty_table()]
+        for inside in (False, True) if t.num_rows else ():
+            mine = open_.filter(pc.equal(open_.column("inside"), inside))
+            if mine.num_rows:
+                runs, n, _ = counted(t, inside)
                 if inside:
-                    runs, n = runs[n >= len(words) // 100], n[n >= len(words) // 100]
-                size = len(runs) + inside  # the row without a run counts the pages
-                for c in ("host", "group"):
-                    out[c] += [t.column(c)[0].as_py()] * size
-                out["inside"] += [inside] * size
-                out["run"] += [None] * inside + runs.tolist()
-                out["n"] += [len(words)] * inside + n.tolist()
-        return pa.table(out, schema=pa.schema([("host", pa.string()), ("group", pa.int64()), ("inside", pa.bool_()), ("run", pa.int64()), ("n", pa.int64())]))
-
-    counts = dealt.groupBy("host", "group").applyInArrow(count, "host string, group long, inside boolean, run long, n long")
+                    some = np.isin(runs, mine.column("run").to_numpy())
+                    runs, n = runs[some], n[some]
+                rows = [[t.column("host")[0].as_py()] * len(runs), [t.column("group")[0].as_py()] * len(runs), [inside] * len(runs), runs, n, [mine.column("need")[0].as_py()] * len(runs)]
+                out.append(pa.table([pa.array(x, k) for x, (_, k) in zip(rows, kinds)], schema=pa.schema(kinds)))
+        return pa.concat_tables(out)
+
+    # a run on the share of a host's pages is on that share of some group's; what the groups left out of its count is bounded, so few runs stay open
+    proposed = dealt.groupBy("host", "group").applyInArrow(propose, "host string, groups long, run long, above long, of long, under long, asks boolean")
+    proposed = proposed.groupBy("host", "groups", "run").agg(*(F.sum(c).alias(c) for c in ("above", "of", "under")), F.max("asks").alias("asks"))
+    whole = W.partitionBy("host")
+    proposed = proposed.withColumn("need", F.greatest(F.lit(main_pages), F.ceil(main_share * F.sum("of").over(whole)))).withColumn("most", F.col("above") + F.sum("under").over(whole))
+    open_ = proposed.where(F.when(F.col("run").isNull(), F.col("asks")).otherwise(F.col("most") >= F.col("need")))
+    inside = F.col("run").isNotNull()
+    open_ = open_.select("host", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), inside.alias("inside"), "run", F.when(inside, F.col("need")).otherwise(pages).cast("long").alias("need"))
+    counts = dealt.groupBy("host", "group").cogroup(open_.groupBy("host", "group")).applyInArrow(count, "host string, group long, inside boolean, run long, n long, need long")
     total = counts.withColumn("total", F.sum("n").over(W.partitionBy("host", "inside", "run")))
-    known_ = total.where(F.col("run").isNull() | (F.col("total") >= F.when(F.col("inside"), main_pages).otherwise(pages))).select("host", "group", "inside", "run", "total")
+    known_ = total.where("total >= need").select("host", "group", "inside", "run")
 
     def decide(t: pa.Table, known: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         ids, urls, texts, places = (t.column(c).to_pylist() for c in ("page_id", "url", "blocks", "places"))
         out = {"page_id": ids, "url": urls, "text": []}
-        wanted = [(MAIN, MAYBE_MAIN) if MAIN in p or MAYBE_MAIN in p else (OPEN, MAYBE_OPEN) for p in places]
+        wanted = [wanted_of(p) for p in places]
         gone: dict[tuple[int, int], np.ndarray] = {}
         for inside in (False, True):
-            if not any((x == MAIN) == inside and x in w for p, w in zip(places, wanted) for x in p):
-                continue  # no block depends on this stream
+            if not asks(t, inside):
+                continue
             words, at = streams(t, inside)
             if t.num_rows and t.column("groups")[0].as_py() > 1:
                 k = known.filter(pc.equal(known.column("inside"), inside))
-                of = pc.sum(k.filter(pc.is_null(k.column("run"))).column("total")).as_py() or 0
-                k = k.filter(pc.and_(pc.is_valid(k.column("run")), pc.greater_equal(k.column("total"), int(np.ceil(main_share * of)))))
                 masks = covered_by(words, run, k.column("run").to_numpy())
             else:
                 number: dict[str, int] = {}

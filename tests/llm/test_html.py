@@ -221,3 +221,44 @@ def test_containers_lose_what_most_pages_of_the_host_repeat(spark, groups):
     rows = [(i, f"http://h.example/{i}", f"<main><p>{text(i)}</p>" + f"<p>{quote}</p>" * (i < 6) + f"<p>{sign}</p>" * (i % 4 > 0) + "</main>") for i in range(40)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), group_pages=groups).collect()}
     assert got == {i: text(i) + f"\n\n{quote}" * (i < 6) for i in range(40)}
+
+
+def rows_of_python_steps(df):
+    """(node, rows its Python workers returned) of a query that has run."""
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        below = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+        metric = plan.metrics().get("pythonNumRowsReceived")
+        return ([(name, metric.get().value())] if metric.isDefined() else []) + [x for p in below for x in walk(p)]
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_groups_count_only_runs_that_a_decision_needs(spark):
+    menu, sign = "home news sport weather travel money health science", "sign up for our letter and never miss a story again"
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    page = lambda i: f"<nav>{menu} {text(-i)}</nav><article><p>{text(i)}</p>" + f"<p>{sign}</p>" * (i % 3 > 0) + "</article>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(300)]
+    df = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), group_pages=100)
+    assert {r.page_id: r.text for r in df.collect()} == {i: text(i) for i in range(300)}
+    made = sorted(n for name, n in rows_of_python_steps(df) if name != "MapInArrowExec")
+    assert made == [12, 15, 300]  # of three groups four runs' counts, and before that those runs and a row; texts
+
+
+def test_runs_near_the_share_are_counted_exactly_over_groups(spark):
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared = [(some(12), p) for p in (0.02, 0.42, 0.46, 0.5, 0.5, 0.5, 0.54, 0.58)]
+    pages = []
+    for _ in range(180):
+        body = [some(10)] + [x for x, p in shared if rng.random() < p]
+        rng.shuffle(body)
+        pages.append("".join(["<article>" if rng.random() < 0.9 else "<div>", *(f"<p>{x}</p>" for x in body)]))
+    want = dict(enumerate(brute_text(pages)))
+    assert 0 < sum(any(shared[3 + k][0] in x for k in range(3)) for x in want.values())
+    df = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for groups in (60, 7, 1):
+        assert {r.page_id: r.text for r in html.extract(df, group_pages=groups).collect()} == want
